@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintara.llm import bpe, exact
+from vintara.llm import bpe, exact, packing, sstable
+from vintara.llm.common import shared_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -19,7 +24,13 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_round_trip(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op8_bpe_round_trip)}
+def op9_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "shards")
+    shards = sstable.write_shards(documents(spark, sf_dir), folder)
+    return sstable.read_shards(shards, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output)}
 
 ORACLES = {
     "op6_exact_dedup": """
