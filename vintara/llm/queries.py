@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintara.llm import bpe, exact, packing, secrets, sstable
+from vintara.llm import bpe, exact, licenses, packing, secrets, sstable
 from vintara.llm.common import shared_path
 
 
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(documents(spark, sf_dir)))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
@@ -34,7 +38,7 @@ def op9_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(shards, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_secret_scan, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op4_secret_scan, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output)}
 
 ORACLES = {
     "op6_exact_dedup": """
