@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vintara.llm import bpe, exact, licenses, packing, secrets, sstable
+from vintara.llm import bpe, exact, licenses, packing, secrets, simhash, sstable
 from vintara.llm.common import shared_path
 
 
@@ -24,6 +25,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -38,7 +44,7 @@ def op9_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(shards, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op4_secret_scan, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op4_secret_scan, op5_simhash_near_dedup, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output)}
 
 ORACLES = {
     "op6_exact_dedup": """
