@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import bpe, exact, licenses, packing, secrets, simhash, sstable
+from vintara.llm import ann, bpe, exact, licenses, packing, secrets, simhash, sstable
 from vintara.llm.common import shared_path
 
 
@@ -21,6 +21,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(documents(spark, sf_dir)))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest_neighbours(embeddings, F.col("vec_id") % 20 == 0)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(documents(spark, sf_dir)))
 
@@ -44,7 +49,7 @@ def op9_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(shards, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op4_secret_scan, op5_simhash_near_dedup, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_nearest_neighbours, op4_secret_scan, op5_simhash_near_dedup, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output)}
 
 ORACLES = {
     "op6_exact_dedup": """
