@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import ann, bpe, exact, licenses, packing, secrets, simhash, sstable
+from vintara.llm import ann, bpe, exact, licenses, packing, quality, secrets, simhash, sstable
 from vintara.llm.common import shared_path
 
 
@@ -49,7 +49,13 @@ def op9_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(shards, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_nearest_neighbours, op4_secret_scan, op5_simhash_near_dedup, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_documents(docs, model)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_nearest_neighbours, op4_secret_scan, op5_simhash_near_dedup, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output, op10_quality_classifier)}
 
 ORACLES = {
     "op6_exact_dedup": """
