@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import ann, bpe, exact, licenses, packing, quality, secrets, simhash, sstable
+from vintara.llm import ann, bpe, exact, licenses, packing, pii, quality, secrets, simhash, sstable
 from vintara.llm.common import shared_path
 
 
@@ -39,6 +39,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_digest(pii.personal_data(documents(spark, sf_dir)))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_round_trip(documents(spark, sf_dir))
 
@@ -55,7 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_nearest_neighbours, op4_secret_scan, op5_simhash_near_dedup, op6_exact_dedup, op8_bpe_round_trip, op9_sstable_output, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_nearest_neighbours, op4_secret_scan, op5_simhash_near_dedup, op6_exact_dedup, op7_personal_data, op8_bpe_round_trip, op9_sstable_output, op10_quality_classifier)}
 
 ORACLES = {
     "op6_exact_dedup": """
