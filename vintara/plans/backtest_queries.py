@@ -1,0 +1,415 @@
+"""Queries over books: portfolio arithmetic, ledger, allocation, metrics, experiments."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vintara.operators import allocate as alloc
+from vintara.operators import ledger as led
+from vintara.operators import metrics as met
+from vintara.operators import portfolio as ptf
+from vintara.plans import views
+from vintara.plans.registry import query
+from vintara.plans.views import DECISIONS, INVERSE_VOL, MONTHS, PANEL, WINDOWS
+
+RATE = 0.001
+STRATEGIES = ("equal_weight", "inverse_vol")
+_BASE = f"{PANEL}, {MONTHS}, {DECISIONS}, {WINDOWS}, {INVERSE_VOL}"
+
+# Targets of both strategies at every decision.
+_TARGETS = """targets AS (
+    SELECT 'inverse_vol' AS strategy_id, decision_time, asset, weight FROM inverse_vol
+    UNION ALL SELECT 'equal_weight', decision_time, asset, 1.0 / count(*) OVER (PARTITION BY decision_time) FROM inverse_vol)"""
+
+
+def _windows(spark, sf_dir):
+    returns = views.panel(spark, sf_dir).select("asset", F.col("month").alias("t"), "available_time", "r")
+    return alloc.decision_windows(returns, views.decisions(spark, sf_dir), views.WINDOW, checked=False)
+
+
+def _targets(spark, sf_dir):
+    inverse = alloc.inverse_volatility(_windows(spark, sf_dir))
+    equal = alloc.equal_weight(inverse.select("decision_time", "asset"))
+    named = lambda df, name: df.select(F.lit(name).alias("strategy_id"), "decision_time", "asset", "weight")
+    return named(inverse, "inverse_vol").unionByName(named(equal, "equal_weight"))
+
+
+def _rounded(df, *names, places=8):
+    return df.withColumns({n: F.round(n, places) + F.lit(0.0) for n in names})
+
+
+def _r(x, places=8):
+    return f"round({x}, {places}) + 0.0"
+
+
+# Books of customers: weights are shares of what they spent by priority.
+_BOOKS = """spent AS (SELECT o_custkey AS book_id, o_orderpriority AS asset, sum(o_totalprice) AS spent FROM orders GROUP BY ALL),
+  books AS (SELECT book_id, asset, spent / sum(spent) OVER (PARTITION BY book_id) AS weight FROM spent)"""
+
+
+def _books(spark, sf_dir):
+    from pyspark.sql import Window
+
+    spent = (
+        views.table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_custkey").alias("book_id"), F.col("o_orderpriority").alias("asset"))
+        .agg(F.sum("o_totalprice").alias("spent"))
+    )
+    return spent.select("book_id", "asset", (F.col("spent") / F.sum("spent").over(Window.partitionBy("book_id"))).alias("weight"))
+
+
+def _growth(spark):
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return spark.createDataFrame([(n, 0.9 + 0.05 * i) for i, n in enumerate(names)], "asset string, g double")
+
+
+_GROWTH = """growth(asset, g) AS (VALUES ('1-URGENT', 0.9), ('2-HIGH', 0.95), ('3-MEDIUM', 1.0), ('4-NOT SPECIFIED', 1.05), ('5-LOW', 1.1))"""
+
+
+@query(f"""WITH {_BOOKS} SELECT book_id, {_r('sum(abs(weight))')} AS gross, {_r('sum(weight)')} AS net, count(*) AS n_assets FROM books GROUP BY ALL""")
+def ptf_exposure(spark, sf_dir):
+    found = ptf.exposures(_books(spark, sf_dir), ["book_id"])
+    return _rounded(found, "gross", "net").select("book_id", "gross", "net", "n_assets")
+
+
+@query(f"""WITH {_BOOKS}, short AS (SELECT book_id, asset, CASE WHEN book_id % 3 = 0 THEN weight - 0.3 ELSE weight END AS weight FROM books)
+    SELECT book_id, {_r('sum(weight)')} AS net, count(*) AS n_assets FROM short GROUP BY ALL HAVING abs(sum(weight) - 1) > 1e-9 OR min(weight) < 0""")
+def ptf_validate_target(spark, sf_dir):
+    short = _books(spark, sf_dir).withColumn("weight", F.when(F.col("book_id") % 3 == 0, F.col("weight") - 0.3).otherwise(F.col("weight")))
+    found = ptf.target_violations(short, ["book_id"])
+    return _rounded(found, "net").select("book_id", "net", "n_assets")
+
+
+@query(f"""WITH {_BOOKS}, {_GROWTH} SELECT book_id, asset, {_r('weight * g / sum(weight * g) OVER (PARTITION BY book_id)')} AS weight
+    FROM books JOIN growth USING (asset)""")
+def ptf_drift(spark, sf_dir):
+    found = ptf.drift(_books(spark, sf_dir), _growth(spark), ["book_id"], [])
+    return _rounded(found, "weight").select("book_id", "asset", "weight")
+
+
+_TRADES = f"""{_BOOKS}, pre AS (SELECT book_id, asset, weight FROM books WHERE book_id % 2 = 0),
+    aim AS (SELECT book_id, asset, 1.0 / count(*) OVER (PARTITION BY book_id) AS weight FROM books WHERE asset <> '5-LOW' AND book_id % 2 = 0),
+    trades AS (SELECT coalesce(p.book_id, a.book_id) AS book_id, coalesce(p.asset, a.asset) AS asset,
+        coalesce(a.weight, 0) - coalesce(p.weight, 0) AS delta
+        FROM pre p FULL JOIN aim a ON p.book_id = a.book_id AND p.asset = a.asset)"""
+
+
+def _trades(spark, sf_dir):
+    from pyspark.sql import Window
+
+    books = _books(spark, sf_dir).where("book_id % 2 = 0")
+    n = F.count(F.lit(1)).over(Window.partitionBy("book_id"))
+    aim = books.where("asset <> '5-LOW'").withColumn("weight", F.lit(1.0) / n)
+    return books, aim
+
+
+@query(f"WITH {_TRADES} SELECT book_id, asset, {_r('delta')} AS delta FROM trades")
+def ptf_trade_delta(spark, sf_dir):
+    return _rounded(ptf.trade_deltas(*_trades(spark, sf_dir), ["book_id"]), "delta").select("book_id", "asset", "delta")
+
+
+@query(f"WITH {_TRADES} SELECT book_id, {_r('0.5 * sum(abs(delta))')} AS turnover FROM trades GROUP BY ALL")
+def ptf_turnover_one_way(spark, sf_dir):
+    deltas = ptf.trade_deltas(*_trades(spark, sf_dir), ["book_id"])
+    return _rounded(ptf.turnover(deltas, ["book_id"], "one_way"), "turnover")
+
+
+@query(f"WITH {_TRADES} SELECT book_id, {_r('sum(abs(delta))')} AS turnover FROM trades GROUP BY ALL")
+def ptf_turnover_two_sided(spark, sf_dir):
+    deltas = ptf.trade_deltas(*_trades(spark, sf_dir), ["book_id"])
+    return _rounded(ptf.turnover(deltas, ["book_id"], "two_sided"), "turnover")
+
+
+@query(f"""WITH {_TRADES} SELECT book_id, {_r('0.5 * sum(abs(delta))')} AS turnover, {_r('0.005 * sum(abs(delta))')} AS q,
+    {_r('1 - 0.005 * sum(abs(delta))')} AS f_cost FROM trades GROUP BY ALL""")
+def ptf_cost(spark, sf_dir):
+    found = ptf.trade_costs(*_trades(spark, sf_dir), ["book_id"], 0.01, "one_way")
+    return _rounded(found, "turnover", "q", "f_cost")
+
+
+@query(f"""WITH {_BOOKS}, short AS (SELECT book_id, asset, weight * 0.999 AS weight FROM books), x AS (
+    SELECT *, 1 - sum(weight) OVER (PARTITION BY book_id) AS rest, row_number() OVER (PARTITION BY book_id ORDER BY asset) AS k FROM short)
+    SELECT book_id, asset, {_r('CASE WHEN k = 1 THEN weight + rest ELSE weight END')} AS weight FROM x""")
+def ptf_exact_unit_books(spark, sf_dir):
+    short = _books(spark, sf_dir).withColumn("weight", F.col("weight") * 0.999)
+    return _rounded(ptf.exact_unit_books(short, ["book_id"]), "weight")
+
+
+# The ledger of both strategies: the recursion, month by month, as the reference.
+_FIRST = "(SELECT min(position) FROM decisions)"
+_LEDGER = f"""{_BASE}, {_TARGETS},
+  steps AS (SELECT m.position, m.instant, lead(m.instant) OVER (ORDER BY m.position) AS period_end FROM months m WHERE m.position >= {_FIRST}),
+  aims AS (SELECT strategy_id, d.position, map(list(asset ORDER BY asset), list(weight ORDER BY asset)) AS aim
+           FROM targets t JOIN decisions d USING (decision_time) GROUP BY ALL),
+  grows AS (SELECT position, list(asset ORDER BY asset) AS assets, list(g ORDER BY asset) AS gs FROM panel JOIN months USING (month) GROUP BY ALL),
+  flow AS (
+    SELECT s.strategy_id, p.position, p.instant, p.period_end, g.assets, g.gs,
+           CASE WHEN a.aim IS NULL THEN NULL ELSE list_transform(g.assets, lambda x: a.aim[x]) END AS aim
+    FROM (SELECT DISTINCT strategy_id FROM targets) s CROSS JOIN steps p JOIN grows g USING (position)
+    LEFT JOIN aims a ON a.strategy_id = s.strategy_id AND a.position = p.position
+    WHERE p.period_end IS NOT NULL)"""
+_PATH = f"""WITH RECURSIVE {_LEDGER},
+  path AS (
+    SELECT strategy_id, position, instant, period_end, 0.0::DOUBLE AS turnover, list_sum(list_transform(list_zip(aim, gs), lambda z: z[1] * z[2])) AS d,
+           list_transform(list_zip(aim, gs), lambda z: z[1] * z[2] / list_sum(list_transform(list_zip(aim, gs), lambda y: y[1] * y[2]))) AS book
+    FROM flow WHERE position = {_FIRST}
+    UNION ALL
+    SELECT f.strategy_id, f.position, f.instant, f.period_end,
+           CASE WHEN f.aim IS NULL THEN 0.0 ELSE 0.5 * list_sum(list_transform(list_zip(f.aim, p.book), lambda z: abs(z[1] - z[2]))) END,
+           list_sum(list_transform(list_zip(coalesce(f.aim, p.book), f.gs), lambda z: z[1] * z[2])),
+           list_transform(list_zip(coalesce(f.aim, p.book), f.gs),
+             lambda z: z[1] * z[2] / list_sum(list_transform(list_zip(coalesce(f.aim, p.book), f.gs), lambda y: y[1] * y[2])))
+    FROM path p JOIN flow f ON f.strategy_id = p.strategy_id AND f.position = p.position + 1),
+  ledger AS (
+    SELECT strategy_id, CAST(position - {_FIRST} AS INTEGER) AS period, instant AS period_start, period_end, turnover, d - 1 AS gross_return,
+           d * (1 - {RATE} * turnover) - 1 AS net_return, {RATE} * turnover AS transaction_cost FROM path)"""
+
+
+def ledger_inputs(spark, sf_dir, targets=None):
+    """Initial books, instants, decisions and factors of the strategies' path.
+
+    The path opens with the first decision's targets as the initial book.
+    """
+    targets = _targets(spark, sf_dir) if targets is None else targets
+    months = views.months(spark, sf_dir)
+    first = views.decisions(spark, sf_dir).agg(F.min("decision_time").alias("first"))
+    last = months.agg(F.max("instant").alias("last"))
+    # Decisions at the last instant aren't executed on the path.
+    begun = targets.join(F.broadcast(first), F.col("decision_time") >= F.col("first")).join(
+        F.broadcast(last), F.col("decision_time") < F.col("last")
+    )
+    initial = begun.where("decision_time = first").select("strategy_id", "asset", "weight")
+    decisions = begun.where("decision_time > first").select("strategy_id", F.col("decision_time").alias("execution_time"), "asset", "weight")
+    at = months.join(F.broadcast(first), F.col("instant") >= F.col("first")).select("instant")
+    instants = targets.select("strategy_id").distinct().join(F.broadcast(at), F.lit(True))
+    factors = views.panel(spark, sf_dir).select(F.col("month").cast("timestamp").alias("instant"), "asset", "g")
+    return initial, instants, decisions, factors
+
+
+def strategy_ledger(spark, sf_dir, targets=None, checked=False):
+    return led.build_ledger(*ledger_inputs(spark, sf_dir, targets), rate=RATE, checked=checked)
+
+
+@query(f"""{_PATH}, wealth AS (SELECT *, product(1 + net_return) OVER (PARTITION BY strategy_id ORDER BY period) AS w FROM ledger)
+    SELECT strategy_id, period, period_start, period_end, {_r('gross_return')} AS gross_return, {_r('net_return')} AS net_return,
+           {_r('turnover')} AS turnover, {_r('transaction_cost')} AS transaction_cost,
+           {_r('coalesce(lag(w) OVER (PARTITION BY strategy_id ORDER BY period), 1)')} AS wealth_open, {_r('w')} AS wealth_close FROM wealth""")
+def ptf_ledger(spark, sf_dir):
+    found = strategy_ledger(spark, sf_dir)
+    return _rounded(found, "gross_return", "net_return", "turnover", "transaction_cost", "wealth_open", "wealth_close")
+
+
+@query(f"""{_PATH}, books AS (SELECT p.strategy_id, p.instant, unnest(f.assets) AS asset, unnest(p.book) AS closing
+    FROM path p JOIN flow f ON f.strategy_id = p.strategy_id AND f.position = p.position)
+    SELECT strategy_id, instant, asset, {_r('closing')} AS closing FROM books""")
+def ptf_ledger_weights(spark, sf_dir):
+    found = led.ledger_weights(*ledger_inputs(spark, sf_dir))
+    return _rounded(found, "closing").select("strategy_id", "instant", "asset", "closing")
+
+
+@query(f"""WITH {_BASE}, spans AS (SELECT decision_time AS execution_time, lead(decision_time) OVER (ORDER BY decision_time) AS until FROM decisions)
+    SELECT 'all' AS strategy_id, execution_time, asset, {_r('product(g) - 1')} AS realized_return
+    FROM spans JOIN months ON instant >= execution_time AND instant < until JOIN panel USING (month) GROUP BY ALL""")
+def ptf_realized_interval(spark, sf_dir):
+    executions = views.decisions(spark, sf_dir).select(F.lit("all").alias("strategy_id"), F.col("decision_time").alias("execution_time"))
+    factors = views.panel(spark, sf_dir).select(F.col("month").cast("timestamp").alias("instant"), "asset", "g")
+    return _rounded(led.realized_returns(factors, executions), "realized_return")
+
+
+# Allocation.
+
+
+@query(f"WITH {_BASE}, {_TARGETS} SELECT decision_time, asset, {_r('weight')} AS weight FROM targets WHERE strategy_id = 'equal_weight'")
+def str_equal_weight(spark, sf_dir):
+    found = alloc.equal_weight(_windows(spark, sf_dir).select("decision_time", "asset").distinct())
+    return _rounded(found, "weight").select("decision_time", "asset", "weight")
+
+
+@query(f"WITH {_BASE} SELECT decision_time, asset, {_r('weight')} AS weight FROM inverse_vol")
+def str_inverse_vol(spark, sf_dir):
+    return _rounded(alloc.inverse_volatility(_windows(spark, sf_dir)), "weight")
+
+
+@query(f"""WITH {_BASE} SELECT x.decision_time, x.asset AS a, y.asset AS b, {_r('covar_samp(x.r, y.r)')} AS covariance
+    FROM windows x JOIN windows y ON x.decision_time = y.decision_time AND x.month = y.month AND x.asset <= y.asset GROUP BY ALL""")
+def str_covariance(spark, sf_dir):
+    return _rounded(alloc.sample_covariance(_windows(spark, sf_dir)), "covariance")
+
+
+@query(f"""WITH {_BASE}, two AS (SELECT * FROM windows WHERE asset IN ('AF', 'NO')),
+    s AS (SELECT x.decision_time, var_samp(x.r) AS s11, var_samp(y.r) AS s22, covar_samp(x.r, y.r) AS s12
+          FROM two x JOIN two y ON x.decision_time = y.decision_time AND x.month = y.month AND x.asset = 'AF' AND y.asset = 'NO' GROUP BY ALL),
+    w AS (SELECT decision_time, least(1, greatest(0, (s22 - s12) / (s11 + s22 - 2 * s12))) AS w FROM s)
+    SELECT decision_time, 'AF' AS asset, {_r('w', 6)} AS weight FROM w UNION ALL SELECT decision_time, 'NO', {_r('1 - w', 6)} FROM w""")
+def str_min_var_2asset(spark, sf_dir):
+    found = alloc.minimum_variance(_windows(spark, sf_dir).where(F.col("asset").isin("AF", "NO")))
+    return _rounded(found, "weight", places=6).select("decision_time", "asset", "weight")
+
+
+_SIX = ("AF", "AO", "NF", "NO", "RF", "RO")
+
+
+@query()
+def str_min_var(spark, sf_dir):
+    return alloc.minimum_variance(_windows(spark, sf_dir))
+
+
+def _forecasts(windows):
+    return windows.groupBy("decision_time", "asset").agg(F.avg("r").alias("expected_return"))
+
+
+@query()
+def str_mean_var(spark, sf_dir):
+    windows = _windows(spark, sf_dir)
+    return alloc.mean_variance(windows, _forecasts(windows), 4.0)
+
+
+@query(f"""WITH {_BASE} SELECT decision_time, count(DISTINCT asset) AS n_assets, count(*) AS n_rows, count(DISTINCT month) AS n_months
+    FROM windows GROUP BY ALL""")
+def str_windows(spark, sf_dir):
+    return _windows(spark, sf_dir).groupBy("decision_time").agg(
+        F.count_distinct("asset").alias("n_assets"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("t").alias("n_months")
+    )
+
+
+# Metrics.
+
+
+def _metric(name, sql):
+    return f"{_PATH} SELECT strategy_id, {_r(sql, 6)} AS {name} FROM ledger GROUP BY ALL"
+
+
+def _measure(spark, sf_dir, name, column):
+    rows = met.with_risk_free(strategy_ledger(spark, sf_dir), 0.001)
+    return _rounded(rows.groupBy("strategy_id").agg(column.alias(name)), name, places=6)
+
+
+@query(_metric("cumulative_return", "product(1 + net_return) - 1"))
+def met_cumulative(spark, sf_dir):
+    return _measure(spark, sf_dir, "cumulative_return", met.cumulative_return())
+
+
+@query(_metric("annualized_mean_return", "avg(net_return) * 12"))
+def met_ann_mean(spark, sf_dir):
+    return _measure(spark, sf_dir, "annualized_mean_return", met.annualized_mean_return(12))
+
+
+@query(_metric("annualized_volatility", "stddev_samp(net_return) * sqrt(12)"))
+def met_ann_vol(spark, sf_dir):
+    return _measure(spark, sf_dir, "annualized_volatility", met.annualized_volatility(12))
+
+
+_SHARPE = "avg(net_return - 0.001) / stddev_samp(net_return - 0.001) * sqrt(12)"
+
+
+@query(_metric("sharpe_ratio", _SHARPE))
+def met_sharpe(spark, sf_dir):
+    return _measure(spark, sf_dir, "sharpe_ratio", met.sharpe_ratio(12))
+
+
+_DRAWDOWN = """walks AS (SELECT strategy_id, period, product(1 + net_return) OVER (PARTITION BY strategy_id ORDER BY period) AS w FROM ledger),
+    peaks AS (SELECT strategy_id, w, greatest(1, max(w) OVER (PARTITION BY strategy_id ORDER BY period)) AS peak FROM walks),
+    falls AS (SELECT strategy_id, least(0, min(w / peak - 1)) AS max_drawdown FROM peaks GROUP BY ALL)"""
+
+
+@query(f"{_PATH}, {_DRAWDOWN} SELECT strategy_id, {_r('max_drawdown', 6)} AS max_drawdown FROM falls")
+def met_max_drawdown(spark, sf_dir):
+    return _rounded(met.max_drawdown(strategy_ledger(spark, sf_dir)), "max_drawdown", places=6)
+
+
+@query(_metric("certainty_equivalent_return", "pow(exp(avg(ln(1 + net_return))), 12) - 1"))
+def met_cer_log(spark, sf_dir):
+    return _measure(spark, sf_dir, "certainty_equivalent_return", met.certainty_equivalent(1, periods_per_year=12))
+
+
+@query(_metric("certainty_equivalent_return", "pow(pow(avg(pow(1 + net_return, -2)), -0.5), 12) - 1"))
+def met_cer_power(spark, sf_dir):
+    return _measure(spark, sf_dir, "certainty_equivalent_return", met.certainty_equivalent(3, periods_per_year=12))
+
+
+_CORE = f"""measures AS (SELECT strategy_id, count(*) AS n_periods, product(1 + net_return) - 1 AS cumulative_return,
+    avg(net_return) * 12 AS annualized_mean_return, stddev_samp(net_return) * sqrt(12) AS annualized_volatility,
+    {_SHARPE} AS sharpe_ratio, pow(pow(avg(pow(1 + net_return, -2)), -0.5), 12) - 1 AS certainty_equivalent_return FROM ledger GROUP BY ALL)"""
+_CORE_SQL = f"""{_PATH}, {_DRAWDOWN}, {_CORE} SELECT strategy_id, n_periods, """ + ", ".join(f"{_r(m, 6)} AS {m}" for m in met.METRICS) + (
+    ", 'ok' AS metric_status FROM measures JOIN falls USING (strategy_id)"
+)
+
+
+@query(_CORE_SQL)
+def met_core(spark, sf_dir):
+    found = met.core_metrics(strategy_ledger(spark, sf_dir), 12, 3.0, 0.001)
+    return _rounded(found, *met.METRICS, places=6)
+
+
+@query(_CORE_SQL)
+def exp_backtest_inverse_vol(spark, sf_dir):
+    """The flagship: targets, ledger and metrics of both strategies, with all inputs checked."""
+    found = met.core_metrics(strategy_ledger(spark, sf_dir, checked=True), 12, 3.0, 0.001)
+    return _rounded(found, *met.METRICS, places=6)
+
+
+@query(f"""WITH {_BASE}, {_TARGETS} SELECT strategy_id, decision_time, {_r('sum(weight)')} AS net, count(*) AS n_assets,
+    decision_time AS execution_time FROM targets GROUP BY ALL""")
+def exp_targets(spark, sf_dir):
+    books = _targets(spark, sf_dir)
+    found = ptf.exposures(books, ["strategy_id", "decision_time"])
+    return _rounded(found, "net").select("strategy_id", "decision_time", "net", "n_assets", F.col("decision_time").alias("execution_time"))
+
+
+@query(f"""{_PATH} SELECT strategy_id, count(*) AS n_periods, count(*) FILTER (turnover > 0) AS n_trades FROM ledger GROUP BY ALL""")
+def exp_hold_cadence(spark, sf_dir):
+    found = strategy_ledger(spark, sf_dir)
+    return found.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("n_periods"), F.count_if(F.col("turnover") > 0).alias("n_trades"))
+
+
+# Comparison.
+
+_CELLS = " UNION ALL ".join(f"SELECT strategy_id, '{m}' AS metric, {m} AS value FROM measures JOIN falls USING (strategy_id)" for m in met.METRICS)
+_TABLE = f"""{_PATH}, {_DRAWDOWN}, {_CORE}, found AS ({_CELLS}),
+    arms(strategy_id) AS (VALUES ('equal_weight'), ('inverse_vol'), ('unrecorded')),
+    asked AS (SELECT a.strategy_id, m.metric FROM arms a, (SELECT DISTINCT metric FROM found) m),
+    cells AS (SELECT a.strategy_id, a.metric, value, CASE WHEN f.strategy_id IS NULL THEN 'missing_record' WHEN value IS NULL THEN 'missing_metric' ELSE 'ok' END AS status
+      FROM asked a LEFT JOIN found f ON a.strategy_id = f.strategy_id AND a.metric = f.metric)"""
+
+
+def _table(spark, sf_dir):
+    from vintara.plans import compare
+
+    measured = met.core_metrics(strategy_ledger(spark, sf_dir), 12, 3.0, 0.001)
+    records = compare.observations(measured, basis="net", periods_per_year=12, gamma=3.0, risk_free=0.001)
+    arms = spark.createDataFrame([(s,) for s in (*STRATEGIES, "unrecorded")], "strategy_id string")
+    return compare.cells(arms, list(met.METRICS), records)
+
+
+@query(f"{_TABLE} SELECT strategy_id, metric, {_r('value', 6)} AS value, status FROM cells")
+def cmp_table(spark, sf_dir):
+    return _rounded(_table(spark, sf_dir), "value", places=6).select("strategy_id", "metric", "value", "status")
+
+
+@query(f"""{_TABLE} SELECT metric, CASE WHEN count(*) FILTER (status <> 'ok') > 0 THEN 'missing_values' ELSE 'comparable' END AS comparability FROM cells GROUP BY ALL""")
+def cmp_comparability(spark, sf_dir):
+    from vintara.plans import compare
+
+    return compare.comparability(_table(spark, sf_dir)).select("metric", "comparability")
+
+
+@query("""WITH declared(field, value) AS (VALUES ('rate', '0.001'), ('window', '12'), ('gamma', '3')),
+    effective(field, value) AS (VALUES ('rate', '0.001'), ('window', '12'), ('gamma', '2'), ('zone', 'UTC')),
+    sanctioned(field) AS (VALUES ('gamma')), x AS (
+    SELECT coalesce(d.field, e.field) AS field, d.value AS declared, e.value AS effective FROM declared d FULL JOIN effective e ON d.field = e.field)
+    SELECT x.field, declared, effective, CASE WHEN declared IS NOT DISTINCT FROM effective THEN 'consistent'
+        WHEN s.field IS NOT NULL THEN 'sanctioned_deviation' ELSE 'reject' END AS verdict FROM x LEFT JOIN sanctioned s ON x.field = s.field""")
+def res_conformance_verdict(spark, sf_dir):
+    from vintara.plans import results
+
+    return results.verdicts(
+        spark, {"rate": "0.001", "window": "12", "gamma": "3"}, {"rate": "0.001", "window": "12", "gamma": "2", "zone": "UTC"}, {"gamma"}
+    )
+
+
+@query()
+def res_membership_digest(spark, sf_dir):
+    from vintara.operators import pit
+    from vintara.plans import results
+
+    return results.membership_digests(pit.as_of(views.obs(spark, sf_dir), views.grid(spark), few=True))
