@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -153,17 +152,7 @@ def table_memo(path: str) -> WordMemo:
     """A memo whose words are encoded by a :class:`PrefixTable`."""
     v = vocabulary(path)
 
-    def encode(words: list[str]) -> list[list[int]]:
-        out, table, before = [], PrefixTable(v), b""
-        for word in words:  # in order, so that words next to each other share prefixes
-            data = word.encode()
-            same = len(os.path.commonprefix((before, data)))
-            table.edit(same, len(before), data[same:])
-            out.append(table.ids())
-            before = data
-        return out
-
-    return WordMemo(encode)
+    return WordMemo(lambda word: PrefixTable(v, word.encode()).ids())
 
 
 def decode(ids: np.ndarray, path: str) -> bytes:
@@ -175,7 +164,8 @@ def _encode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     memo = table_memo(path)
     for batch in batches:
         n, ids_hash, bytes_hash = [], [], []
-        for ids in memo.ids_of(text.as_py() for text in batch.column(1)):
+        for text in batch.column(1):
+            ids = memo.ids(text.as_py())
             n.append(len(ids) // 4)
             ids_hash.append(hashlib.sha256(ids).hexdigest())
             bytes_hash.append(hashlib.sha256(decode(np.frombuffer(ids, "<u4"), path)).hexdigest())

@@ -186,8 +186,8 @@ def _cut(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterato
     memo, end = library_memo(path), np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         rows: list[list[int]] = [[], [], [], [], []]
-        for at, ids in enumerate(memo.ids_of(text.as_py() for text in batch.column(1))):
-            data = memoryview(ids + end)
+        for at, text in enumerate(batch.column(1)):
+            data = memoryview(memo.ids(text.as_py()) + end)
             n, start = len(data) // 4, 0
             first = n % capacity or capacity
             for piece in range(-(-n // capacity)):

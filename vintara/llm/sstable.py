@@ -217,11 +217,10 @@ def _write(folder: str, path: str, batches: Iterator[pa.RecordBatch]) -> Iterato
     with where.open_output_stream(part) as out:
         writer = ShardWriter(out)
         for batch in batches:
-            ids_of = memo.ids_of(text.as_py() for text in batch.column(1))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 repeat = repeat + 1 if (doc_id,) == before else 0
                 before = (doc_id,)
-                writer.add(key_of(doc_id, repeat), ids + end)
+                writer.add(key_of(doc_id, repeat), memo.ids(text.as_py()) + end)
         entries, ids = writer.finish()
     if where.get_file_info(name).type != fs.FileType.NotFound:
         where.delete_file(name)

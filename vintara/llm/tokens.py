@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -17,10 +17,7 @@ import public_tokenizers
 import regex
 
 #: Words remembered by one worker; it starts anew when they are this many.
-MEMO_WORDS = 400_000
-
-#: Characters of texts whose new words are encoded together.
-TOGETHER = 500_000
+MEMO_WORDS = 600_000
 
 #: Texts of these characters only can be split by the faster of the two engines: there
 #: its classes for letters, digits and spaces are the same as the Unicode categories.
@@ -35,38 +32,26 @@ def split_words(text: str) -> list[str]:
     return _FULL.findall(text) if _OTHER.search(text) else _FAST.findall(text)
 
 
-class WordMemo:
-    """Ids of whole texts from an encoder of lists of words."""
+class WordMemo(dict):
+    """Words and their ids, as little-endian unsigned 32-bit integers.
+
+    A word that isn't there yet is encoded and remembered.
+    """
+
+    def __init__(self, encode_word: Callable[[str], list[int]], limit: int = MEMO_WORDS):
+        super().__init__()
+        self._encode, self._limit = encode_word, limit
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], limit: int = MEMO_WORDS):
-        self._encode, self._limit, self._memo = encode_words, limit, {}
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self._limit:
+            self.clear()
+        ids = self._encode(word)
+        made = self[word] = np.array(ids, "<u4").tobytes() if _BIG else array("I", ids).tobytes()
+        return made
 
     def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return next(self.ids_of([text]))
-
-    def ids_of(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of each text; the new words of a few texts are encoded together."""
-        held, size = [], 0
-        for text in texts:
-            held.append(split_words(text))
-            size += len(text)
-            if size >= TOGETHER:
-                yield from self._joined(held)
-                held, size = [], 0
-        yield from self._joined(held)
-
-    def _joined(self, split: list[list[str]]) -> Iterator[bytes]:
-        memo = self._memo
-        new = {w for words in split for w in words if w not in memo}
-        if len(memo) + len(new) > self._limit:
-            memo.clear()
-            new = {w for words in split for w in words}
-        ordered = sorted(new)
-        for word, ids in zip(ordered, self._encode(ordered), strict=True):
-            memo[word] = np.array(ids, "<u4").tobytes() if _BIG else array("I", ids).tobytes()
-        for words in split:
-            yield b"".join(map(memo.__getitem__, words))
+        """The ids of a whole text."""
+        return b"".join(map(self.__getitem__, split_words(text)))
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -89,6 +74,4 @@ def library_memo(path: str) -> WordMemo:
     from tokenizers import Tokenizer
 
     tokenize, alphabet = Tokenizer.from_file(path).model.tokenize, _byte_alphabet()
-    return WordMemo(
-        lambda words: [[t.id for t in tokenize(w.encode().decode("latin-1").translate(alphabet))] for w in words]
-    )
+    return WordMemo(lambda word: [t.id for t in tokenize(word.encode().decode("latin-1").translate(alphabet))])
