@@ -9,12 +9,14 @@ variants finds all pairs, which are then verified.
 Work is on distinct fingerprints, so copies cost nothing. Where a variant holds many
 fingerprints, its pairs aren't listed: all are first compared with one of them, which
 joins most into components, and only members of different components are compared
-after that. No link between components is missed.
+after that. No link between components is missed. Groups of a variant are handled by
+windows over one sort, whose rows are 64 for each fingerprint at any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -30,6 +32,8 @@ from vintara.llm.exact import frequent_values
 WORDS = 4
 SEED = 42
 DISTANCE = 4
+#: Fingerprints of a variant up to which all its pairs are compared at once.
+SMALL = 8
 #: First bit and width of each segment: ``DISTANCE // 3`` is 1.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
@@ -81,48 +85,74 @@ def _close(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
 
 
-def linked_components(prints: DataFrame) -> DataFrame:
-    """``fp, root`` of all fingerprints that link to another; ``prints`` has distinct ``fp``."""
-    variants = prints.select("fp", F.explode(variant_keys(F.col("fp"))).alias("key"))
-    shared = saved(
-        variants.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .where((F.col("n") > 2) | (F.col("n") == 2) & _close(F.col("a"), F.col("b")))
+def _variants(prints: DataFrame) -> DataFrame:
+    return prints.withColumn("key", F.explode(variant_keys(F.col("fp"))))
+
+
+def _whole_variant(*order: str):
+    """All rows of a variant; with an order that a window beside it may sort by."""
+    return Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _random_member(*fields: str) -> Column:
+    """Fields of some member, another one in each variant.
+
+    The same hub everywhere would link a dense group no better than a single variant.
+    """
+    return F.min(F.struct(F.xxhash64("fp", "key").alias("hash"), *fields)).over(_whole_variant("fp"))
+
+
+def _first_links(prints: DataFrame) -> DataFrame:
+    """Verified links ``a, b``: all of small variants, and those to a hub of large ones."""
+    ordered = Window.partitionBy("key").orderBy("fp")
+    rows = (
+        _variants(prints)
+        .withColumn("n", F.count(F.lit(1)).over(_whole_variant("fp")))
+        .withColumn("hub", _random_member("fp")["fp"])
+        .withColumns({f"b{k}": F.lag("fp", k).over(ordered) for k in range(1, SMALL)})
+        .where("n > 1")
     )
-    pairs = shared.where("n = 2").select("a", "b")
-    members = saved(variants.join(shared.where("n > 2").select("key", F.col("a").alias("hub")), "key"))
-    stars = members.where((F.col("fp") != F.col("hub")) & _close(F.col("fp"), F.col("hub")))
-    roots = saved(connected_components(pairs.unionByName(stars.select(F.col("fp").alias("a"), F.col("hub").alias("b")))))
-
-    # What is left: pairs in a variant whose fingerprints are of different components.
-    labelled = members.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "key", "fp", F.coalesce("root", "fp").alias("label")
+    small = F.col("n") <= SMALL
+    links = {f"b{k}": F.when(small & _close(F.col("fp"), F.col(f"b{k}")), F.col(f"b{k}")) for k in range(1, SMALL)}
+    links["hub"] = F.when(~small & (F.col("fp") != F.col("hub")) & _close(F.col("fp"), F.col("hub")), F.col("hub"))
+    found = saved(rows.select(F.col("fp").alias("a"), *(c.alias(n) for n, c in links.items())).where(F.coalesce(*links).isNotNull()))
+    return reduce(
+        DataFrame.unionByName, (found.select("a", F.col(n).alias("b")).where("b IS NOT NULL") for n in links)
     )
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
-        sizes.groupBy("key")
-        .agg(F.max_by("label", "n").alias("largest"), F.count(F.lit(1)).alias("labels"))
-        .where("labels > 1")
-        .select("key", "largest")
+
+
+def linked_components(prints: DataFrame) -> DataFrame:
+    """``fp, root`` of all fingerprints that link to another; ``prints`` has distinct ``fp``."""
+    roots = saved(connected_components(_first_links(prints)))
+
+    # What is left: links within large variants between fingerprints of different components.
+    labelled = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("label"))
+    whole = _whole_variant("fp")
+    left = saved(
+        _variants(labelled)
+        .withColumn("n", F.count(F.lit(1)).over(whole))
+        .withColumn("mixed", F.min("label").over(whole) != F.max("label").over(whole))
+        .withColumn("main", _random_member("label")["label"])
+        .where((F.col("n") > SMALL) & F.col("mixed"))
+        .select("key", "fp", "label", "main")
     )
-    left = saved(labelled.join(mixed, "key"))
-    x = left.where("label <> largest").alias("x")
-    y = left.alias("y")
-    # Each pair once: with the largest component, or from the smaller label.
+    x, y = left.where("label <> main").alias("x"), left.alias("y")
+    # Each pair once: with the main component, which most often is the largest, or from
+    # the smaller label. The join gives verified pairs only.
     more = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.label") != F.col("y.label"))
-        & ((F.col("y.label") == F.col("y.largest")) | (F.col("x.label") < F.col("y.label")))
+        & ((F.col("y.label") == F.col("y.main")) | (F.col("x.label") < F.col("y.label")))
         & _close(F.col("x.fp"), F.col("y.fp")),
     ).select(F.col("x.label").alias("a"), F.col("y.label").alias("b"))
-    joined = connected_components(more.distinct()).select(F.col("node").alias("label"), F.col("root").alias("top"))
-    # Nodes that only the last step linked are their own label.
-    all_roots = roots.unionByName(
-        joined.select(F.col("label").alias("node"), F.col("label").alias("root")).join(roots.select("node"), "node", "left_anti")
-    )
-    return all_roots.join(joined, F.col("root") == F.col("label"), "left").select(
-        F.col("node").alias("fp"), F.coalesce("top", "root").alias("root")
+    names = saved(connected_components(more.distinct()).select(F.col("node").alias("label"), F.col("root").alias("top")))
+    # Of all fingerprints, those that either step linked.
+    return (
+        labelled.join(names, "label", "left")
+        .join(roots.select(F.col("node").alias("fp"), F.lit(True).alias("_linked")), "fp", "left")
+        .where("top IS NOT NULL OR _linked")
+        .select("fp", F.coalesce("top", "label").alias("root"))
     )
 
 
