@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vintara.checks import require_none
 from vintara.errors import ExecutionError
 from vintara.operators.portfolio import TURNOVERS
+from vintara.storage import saved
 
 
 def periods_of(instants: DataFrame, by: tuple[str, ...] = ("strategy_id",)) -> DataFrame:
@@ -124,8 +125,9 @@ def build_ledger(
     """
     if measure not in TURNOVERS or rate < 0 or not 0 < initial_wealth < float("inf"):
         raise ExecutionError("a ledger needs a turnover measure, a rate and a positive wealth")
-    weights = ledger_weights(initial, instants, decisions, factors)
-    trades = executions(weights, rate, measure, initial)
+    # Both are read several times below.
+    weights = saved(ledger_weights(initial, instants, decisions, factors))
+    trades = saved(executions(weights, rate, measure, initial))
     if checked:
         _require_lawful(initial, instants, decisions, weights, trades)
     periods = periods_of(instants)

@@ -11,6 +11,7 @@ from vintara.operators import portfolio as ptf
 from vintara.plans import views
 from vintara.plans.registry import query
 from vintara.plans.views import DECISIONS, INVERSE_VOL, MONTHS, PANEL, WINDOWS
+from vintara.storage import saved
 
 RATE = 0.001
 STRATEGIES = ("equal_weight", "inverse_vol")
@@ -31,7 +32,7 @@ def _targets(spark, sf_dir):
     inverse = alloc.inverse_volatility(_windows(spark, sf_dir))
     equal = alloc.equal_weight(inverse.select("decision_time", "asset"))
     named = lambda df, name: df.select(F.lit(name).alias("strategy_id"), "decision_time", "asset", "weight")
-    return named(inverse, "inverse_vol").unionByName(named(equal, "equal_weight"))
+    return saved(named(inverse, "inverse_vol").unionByName(named(equal, "equal_weight")))
 
 
 def _rounded(df, *names, places=8):
@@ -187,7 +188,7 @@ def ledger_inputs(spark, sf_dir, targets=None):
 
 
 def strategy_ledger(spark, sf_dir, targets=None, checked=False):
-    return led.build_ledger(*ledger_inputs(spark, sf_dir, targets), rate=RATE, checked=checked)
+    return saved(led.build_ledger(*ledger_inputs(spark, sf_dir, targets), rate=RATE, checked=checked))
 
 
 @query(f"""{_PATH}, wealth AS (SELECT *, product(1 + net_return) OVER (PARTITION BY strategy_id ORDER BY period) AS w FROM ledger)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.calendar import month_end
+from vintara.storage import saved
 
 LATE_HOURS, REVISED_EVERY, REVISED_DAYS = 72, 10, 5
 PUBLICATION_LAG = "INTERVAL 45 DAYS"
@@ -83,9 +84,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("month"))
     full = returns.withColumn("_n", n).where(F.col("_n") == 6)
     end = month_end(F.year("month"), F.month("month"))
-    return full.select(
+    return saved(full.select(
         "asset", "month", end.alias("month_end"), (end + F.expr(PUBLICATION_LAG)).alias("available_time"), "r", (1 + F.col("r")).alias("g")
-    )
+    ))
 
 
 PANEL = f"""monthly AS (
@@ -108,7 +109,7 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     found = panel(spark, sf_dir).select("month").distinct()
     place = F.row_number().over(Window.orderBy("month")) - 1  # one row a month
-    return found.select("month", F.col("month").cast("timestamp").alias("instant"), place.alias("position"))
+    return saved(found.select("month", F.col("month").cast("timestamp").alias("instant"), place.alias("position")))
 
 
 MONTHS = """months AS (
