@@ -108,7 +108,7 @@ def rules() -> tuple[Rule, ...]:
     """All signatures in order of priority, from four forms of each name.
 
     4: an SPDX tag or a whole grant; 3: a sentence that licenses under the name;
-    2: the name followed by "license"; 1: an address that names it, or a bare mention.
+    2: the name with the word "license"; 1: an address that names it, or a bare mention.
     """
     names = [(label, keyword, pattern, label.replace("-", " ").replace(".", " ")) for label, keyword, pattern in _NAMED]
     for part, words in _COMMONS_PARTS.items():
@@ -122,10 +122,12 @@ def rules() -> tuple[Rule, ...]:
             Rule(label, "spdx", f"spdx license identifier {tag}(?: only| or later)?", 4),
             Rule(label, "licenses", f"(?:opensource org|spdx org|creativecommons org) licenses {tag.removeprefix('cc ')}", 1),
         ]
+        # A name that says what it is needs no such word behind it.
+        named = "(?: licen[cs]e)?" if "license" in pattern else " licen[cs]e"
         for word in keyword.split("|"):
             found += [
                 Rule(label, word, f"{_GRANT}(?:{pattern})(?: licen[cs]e)?", 3),
-                Rule(label, word, f"(?:{pattern}) licen[cs]e", 2),
+                Rule(label, word, f"(?:{pattern}){named}", 2),
             ]
     return tuple(sorted(found, key=lambda r: -r.priority))
 
