@@ -75,8 +75,8 @@ def ledger_weights(initial: DataFrame, instants: DataFrame, decisions: DataFrame
         "value_before", F.sum(F.col("base") * F.col("_open")).over(book)
     ).select(
         "strategy_id", "spell", "segment", "instant", "trade", "asset", "base", "g", "value_before", "value",
-        (F.col("base") * F.col("_open") / F.col("value_before")).alias("opening"),
-        (F.col("base") * F.col("_c") / F.col("value")).alias("closing"),
+        F.try_divide(F.col("base") * F.col("_open"), F.col("value_before")).alias("opening"),
+        F.try_divide(F.col("base") * F.col("_c"), F.col("value")).alias("closing"),
     )
 
 
@@ -131,7 +131,7 @@ def build_ledger(
     if checked:
         _require_lawful(initial, instants, decisions, weights, trades)
     periods = periods_of(instants)
-    values = weights.select("strategy_id", "segment", "instant", (F.col("value") / F.col("value_before")).alias("d")).distinct()
+    values = weights.select("strategy_id", "segment", "instant", F.try_divide("value", "value_before").alias("d")).distinct()
     inside = lambda t: (F.col(t) >= F.col("period_start")) & (F.col(t) < F.col("period_end"))
     gross = (
         periods.join(values, "strategy_id").where(inside("instant")).groupBy("strategy_id", "period").agg(F.product("d").alias("_gross"))

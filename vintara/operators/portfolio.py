@@ -76,7 +76,7 @@ def drift(books: DataFrame, factors: DataFrame, by: Sequence[str], factor_by: Se
     total = F.sum(F.col("weight") * F.col("g")).over(Window.partitionBy(*by))
     grown = books.join(factors, keys).withColumn("growth", total)
     require_none(grown.where(~F.coalesce(F.col("growth") > 0, F.lit(False))), ExecutionError, "a book lost all its value")
-    return grown.withColumn("weight", F.col("weight") * F.col("g") / F.col("growth") + 0.0)
+    return grown.withColumn("weight", F.try_divide(F.col("weight") * F.col("g"), F.col("growth")) + F.lit(0.0))
 
 
 def execute(targets: DataFrame) -> DataFrame:
