@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vintara.operators import allocate as alloc
@@ -49,8 +50,6 @@ _BOOKS = """spent AS (SELECT o_custkey AS book_id, o_orderpriority AS asset, sum
 
 
 def _books(spark, sf_dir):
-    from pyspark.sql import Window
-
     spent = (
         views.table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("book_id"), F.col("o_orderpriority").alias("asset"))
@@ -88,17 +87,15 @@ def ptf_drift(spark, sf_dir):
     return _rounded(found, "weight").select("book_id", "asset", "weight")
 
 
-_TRADES = f"""{_BOOKS}, pre AS (SELECT book_id, asset, weight FROM books WHERE book_id % 2 = 0),
-    aim AS (SELECT book_id, asset, 1.0 / count(*) OVER (PARTITION BY book_id) AS weight FROM books WHERE asset <> '5-LOW' AND book_id % 2 = 0),
+_TRADES = f"""{_BOOKS}, pre AS (SELECT book_id, asset, weight FROM books),
+    aim AS (SELECT book_id, asset, 1.0 / count(*) OVER (PARTITION BY book_id) AS weight FROM books WHERE asset <> '5-LOW'),
     trades AS (SELECT coalesce(p.book_id, a.book_id) AS book_id, coalesce(p.asset, a.asset) AS asset,
         coalesce(a.weight, 0) - coalesce(p.weight, 0) AS delta
         FROM pre p FULL JOIN aim a ON p.book_id = a.book_id AND p.asset = a.asset)"""
 
 
 def _trades(spark, sf_dir):
-    from pyspark.sql import Window
-
-    books = _books(spark, sf_dir).where("book_id % 2 = 0")
+    books = _books(spark, sf_dir)
     n = F.count(F.lit(1)).over(Window.partitionBy("book_id"))
     aim = books.where("asset <> '5-LOW'").withColumn("weight", F.lit(1.0) / n)
     return books, aim

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vintara.checks import repeated
 from vintara.functions import calendar as cal
 from vintara.operators import diagnostics as dia
 from vintara.operators import features as trf
@@ -59,8 +61,6 @@ def src_same_instant(spark, sf_dir):
 
 @query(f"""WITH {OBS} SELECT series_id, observation_time, count(*) AS n FROM obs GROUP BY ALL HAVING count(*) > 1""")
 def src_duplicate_identity(spark, sf_dir):
-    from vintara.checks import repeated
-
     found = repeated(_raw(spark, sf_dir), ["series_id", "observation_time"])
     return found.select("series_id", "observation_time", F.col("count").alias("n"))
 
@@ -182,8 +182,6 @@ def pit_admission(spark, sf_dir):
     grid = views.grid(spark)
     first = F.greatest(F.ceil((F.unix_micros("available_time") - F.lit(1704153600000000)) / F.lit(86400000000)), F.lit(0))
     counts = views.obs(spark, sf_dir).groupBy(first.cast("int").alias("ord")).count()
-    from pyspark.sql import Window
-
     total = F.sum(F.coalesce("count", F.lit(0))).over(Window.orderBy("ord"))  # one row a decision
     return grid.join(counts, "ord", "left").withColumn("n_admitted", total).where("n_admitted > 0").select("decision_time", "n_admitted")
 
@@ -231,13 +229,13 @@ def pit_visible_at_many(spark, sf_dir):
 
 
 @query(f"""WITH {OBS}, three AS ({_THREE}),
-    requests AS (SELECT 'EV/' || event_type AS series_id, ts AS observation_time, event_id AS ord FROM events WHERE event_id % 7 = 0)
+    requests AS (SELECT 'EV/' || event_type AS series_id, ts AS observation_time, event_id AS ord FROM events)
     SELECT decision_time, series_id, observation_time, max(available_time) AS available_time,
            round(arg_max(value, available_time), 6) AS value, min(r.ord) AS ord
     FROM requests r JOIN obs o USING (series_id, observation_time) JOIN three ON available_time <= decision_time
     GROUP BY decision_time, series_id, observation_time""")
 def pit_align(spark, sf_dir):
-    requests = views.table(spark, sf_dir, "events").where("event_id % 7 = 0").select(
+    requests = views.table(spark, sf_dir, "events").select(
         F.concat(F.lit("EV/"), "event_type").alias("series_id"), F.col("ts").alias("observation_time"), F.col("event_id").alias("ord")
     )
     found = pit.align(views.obs(spark, sf_dir).drop("ord"), _three(spark), requests)
@@ -269,10 +267,10 @@ def pit_lookahead_violations(spark, sf_dir):
 
 @query(f"""WITH {OBS}, last AS (SELECT series_id, max(available_time) AS inputs_available FROM obs GROUP BY ALL)
     SELECT o.series_id, observation_time, available_time, inputs_available FROM obs o JOIN last USING (series_id)
-    WHERE available_time < inputs_available AND ord % 50 = 0""")
+    WHERE available_time < inputs_available""")
 def pit_lineage(spark, sf_dir):
     rows = views.obs(spark, sf_dir)
-    found = pit.lineage_violations(rows.where("ord % 50 = 0"), rows)
+    found = pit.lineage_violations(rows, rows)
     return found.select("series_id", "observation_time", "available_time", "inputs_available")
 
 
@@ -282,11 +280,11 @@ def pit_store_counts(spark, sf_dir):
     return pit.store_counts(views.obs(spark, sf_dir))
 
 
-@query(f"""WITH {OBS}, three AS ({_THREE}), items AS (SELECT decision_time, obs.* FROM obs, three WHERE ord % 20 = 0)
+@query(f"""WITH {OBS}, three AS ({_THREE}), items AS (SELECT decision_time, obs.* FROM obs, three)
     SELECT 'revision' AS kind, decision_time, series_id, observation_time FROM items GROUP BY ALL HAVING count(DISTINCT available_time) > 1
     UNION ALL SELECT 'lookahead', decision_time, series_id, observation_time FROM items WHERE available_time > decision_time""")
 def pit_information_set_violations(spark, sf_dir):
-    items = views.obs(spark, sf_dir).where("ord % 20 = 0").join(F.broadcast(_three(spark).select("decision_time")), F.lit(True))
+    items = views.obs(spark, sf_dir).join(F.broadcast(_three(spark).select("decision_time")), F.lit(True))
     return pit.information_set_violations(items)
 
 
