@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from vintara.llm.common import text_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word of a text in lower case, and the same before A-Z are lowered.
+#: A word of a text in lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The characters that stand in no word.
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 # Phrases that are always reported, with their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -115,7 +116,7 @@ def rules() -> tuple[Rule, ...]:
         for version in _COMMONS_VERSIONS:
             label = f"cc-{part.replace(' ', '-')}-{version.replace(' ', '.')}"
             pattern = f"(?:cc {part}|creative commons {words})(?: licen[cs]e)?(?: version| v)? ?{version}"
-            names.append((label, "by|attribution", pattern, f"cc {part} {version}"))
+            names.append((label, "cc|commons", pattern, f"cc {part} {version}"))
     found = list(_OTHER)
     for label, keyword, pattern, tag in names:
         found += [
@@ -137,24 +138,34 @@ RULES = rules()
 CONFIDENCE = {4: 1.0, 3: 0.9, 2: 0.7, 1: 0.3}
 
 
+def _count_words(text: Column) -> Column:
+    """The number of words. Blanks for what stands in no word make this a plain split."""
+    blank = F.translate(text, _BETWEEN, " " * len(_BETWEEN))
+    return F.size(F.array_remove(F.split(blank, " "), "")).cast("long")
+
+
 def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" ")))
 
 
-def _detections(words: Column, rules_: tuple[Rule, ...]) -> Column:
-    """``start, end, priority, label`` of every match of every rule, in words."""
-    table = F.array(
-        *(
+def _detections(text: Column, rules_: tuple[Rule, ...]) -> Column:
+    """``start, end, priority, label`` of every match of every rule, in words.
+
+    ``text`` is a column of words with one blank around each; being a column, it isn't
+    put together anew for each rule.
+    """
+    by_keyword: dict[str, list[Column]] = {}
+    for r in rules_:
+        by_keyword.setdefault(r.keyword, []).append(
             F.struct(
-                F.lit(f" {r.keyword} ").alias("keyword"),
                 F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"),
                 F.lit(r.priority).alias("priority"),
                 F.lit(r.label).alias("label"),
             )
-            for r in rules_
         )
+    table = F.array(
+        *(F.struct(F.lit(f" {word} ").alias("keyword"), F.array(*some).alias("rules")) for word, some in by_keyword.items())
     )
-    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
     def places(rule: Column) -> Column:
         # What stands between the matches, and the matches, have as many spaces before
@@ -176,8 +187,8 @@ def _detections(words: Column, rules_: tuple[Rule, ...]) -> Column:
 
         return F.aggregate(widths, state, step, lambda acc: acc["found"])
 
-    some = F.filter(table, lambda r: F.contains(text, r["keyword"]))
-    return F.flatten(F.transform(some, places))
+    some = F.filter(table, lambda k: F.contains(text, k["keyword"]))
+    return F.flatten(F.transform(F.flatten(F.transform(some, lambda k: k["rules"])), places))
 
 
 def _unsuppressed(found: Column) -> Column:
@@ -242,14 +253,14 @@ def scan_licenses(docs: DataFrame, rules_: tuple[Rule, ...] = RULES, doc_id: str
     words = F.regexp_extract_all(F.translate("_text", _UPPER, _LOWER), F.lit(WORD), F.lit(0))
     rows = rows.select(
         "doc_id",
-        F.regexp_count("_text", F.lit(_ANY_WORD)).cast("long").alias("n_words"),
+        _count_words(F.col("_text")).alias("n_words"),
         F.when(gate, words).otherwise(none).alias("_words"),
-    )
+    ).withColumn("_line", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
     return rows.select(
         "doc_id",
         "n_words",
         F.when(F.size("_words") > 0, _base_places(F.col("_words"))).alias("base"),
-        F.when(F.size("_words") > 0, _unsuppressed(_detections(F.col("_words"), rules_))).alias("detections"),
+        F.when(F.size("_words") > 0, _unsuppressed(_detections(F.col("_line"), rules_))).alias("detections"),
     ).select(
         "doc_id",
         "n_words",
