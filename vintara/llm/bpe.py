@@ -24,6 +24,11 @@ from vintara.llm.common import text_of
 from vintara.llm.tokens import WordMemo
 
 
+#: Lengths of beginnings whose tables are kept, longest first, and how many are.
+BEGINNINGS = (9, 7, 5, 3)
+MOST_BEGINNINGS = 200_000
+
+
 class Vocabulary:
     """Ranks of byte strings; a lower rank merges first."""
 
@@ -108,6 +113,17 @@ class PrefixTable:
         self._vocabulary, self._data, self._last = vocabulary, b"", [b""]
         self.append(data)
 
+    @classmethod
+    def resumed(cls, vocabulary: Vocabulary, data: bytes, last: list[bytes]) -> PrefixTable:
+        """The table of ``data`` from what :meth:`prefix` gave for it."""
+        table = cls.__new__(cls)
+        table._vocabulary, table._data, table._last = vocabulary, data, last.copy()
+        return table
+
+    def prefix(self, n: int) -> list[bytes]:
+        """The last tokens of all prefixes up to ``n`` bytes."""
+        return self._last[: n + 1]
+
     def append(self, more: bytes) -> None:
         """Add bytes at the end; nothing before is computed again."""
         v, last, start = self._vocabulary, self._last, len(self._data)
@@ -152,7 +168,26 @@ def table_memo(path: str) -> WordMemo:
     """A memo whose words are encoded by a :class:`PrefixTable`."""
     v = vocabulary(path)
 
-    return WordMemo(lambda word: PrefixTable(v, word.encode()).ids())
+    begun: dict[bytes, list[bytes]] = {}
+
+    def encode(word: str) -> list[int]:
+        # Words that begin alike share the tables of their beginnings.
+        data = word.encode()
+        for n in BEGINNINGS:
+            if len(data) >= n and (last := begun.get(data[:n])) is not None:
+                table = PrefixTable.resumed(v, data[:n], last)
+                table.append(data[n:])
+                break
+        else:
+            table = PrefixTable(v, data)
+        if len(begun) > MOST_BEGINNINGS:
+            begun.clear()
+        for n in BEGINNINGS:
+            if len(data) >= n and data[:n] not in begun:
+                begun[data[:n]] = table.prefix(n)
+        return table.ids()
+
+    return WordMemo(encode)
 
 
 def decode(ids: np.ndarray, path: str) -> bytes:
