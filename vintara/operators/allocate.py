@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from vintara.checks import require_none
 from vintara.errors import ExecutionError, InsufficientWindowError, OptimizationFailureError
 from vintara.operators.features import latest_window, unbalanced
+from vintara.storage import small
 
 #: Tolerances of an accepted vector: stationarity, budget.
 KKT_TOLERANCE, BUDGET_TOLERANCE = 1e-8, 1e-12
@@ -31,7 +32,7 @@ def decision_windows(returns: DataFrame, decisions: DataFrame, window: int, chec
 
     ``returns`` has ``asset, t, available_time, r``. All assets must have the same instants.
     """
-    seen = returns.join(F.broadcast(decisions.select("decision_time")), F.col("available_time") <= F.col("decision_time"))
+    seen = returns.join(small(decisions.select("decision_time")), F.col("available_time") <= F.col("decision_time"))
     rows = latest_window(seen, window, ("decision_time", "asset"), "t")
     if checked:
         short = rows.groupBy("decision_time", "asset").count().where(F.col("count") < window)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vintara.checks import require_none
 from vintara.errors import ExecutionError
 from vintara.operators.portfolio import TURNOVERS
-from vintara.storage import saved
+from vintara.storage import saved, small
 
 
 def periods_of(instants: DataFrame, by: tuple[str, ...] = ("strategy_id",)) -> DataFrame:
@@ -183,7 +183,7 @@ def realized_returns(factors: DataFrame, executions_: DataFrame) -> DataFrame:
     spans = executions_.select("strategy_id", "execution_time").distinct().withColumn("_next", F.lead("execution_time").over(ordered))
     within = (F.col("instant") >= F.col("execution_time")) & (F.col("instant") < F.col("_next"))
     return (
-        factors.join(F.broadcast(spans.where("_next IS NOT NULL")), within)
+        factors.join(small(spans.where("_next IS NOT NULL")), within)
         .groupBy("strategy_id", "execution_time", "asset")
         .agg((F.product("g") - 1).alias("realized_return"))
     )

@@ -25,6 +25,7 @@ from vintara.errors import (
     InvalidChronologyError,
     UnknownSeriesError,
 )
+from vintara.storage import small
 
 KEY = ("series_id", "observation_time", "available_time")
 #: Decisions up to which a grid is broadcast.
@@ -101,7 +102,7 @@ def vintage_as_of(observations: DataFrame, decisions: DataFrame, value: Sequence
     """
     row = F.struct("available_time", *value)
     return (
-        observations.join(F.broadcast(decisions.select("decision_time")), F.col("available_time") <= F.col("decision_time"))
+        observations.join(small(decisions.select("decision_time")), F.col("available_time") <= F.col("decision_time"))
         .groupBy("decision_time", "series_id", "observation_time")
         .agg(F.max_by(row, "available_time").alias("_v"))
         .select("decision_time", "series_id", "observation_time", "_v.*")
@@ -166,8 +167,9 @@ def require_known_series(observations: DataFrame, requests: DataFrame, keys: Seq
 
 def visible_at(observations: DataFrame, decisions: DataFrame, series: DataFrame, few: bool | None = None) -> DataFrame:
     """A row for each decision and requested series; nulls where nothing is visible."""
-    asked = decisions.select("decision_time").crossJoin(F.broadcast(series.select("series_id")))
-    wanted = observations.join(F.broadcast(series.select("series_id")), "series_id", "left_semi")
+    few_series = small(series.select("series_id"))
+    asked = decisions.select("decision_time").crossJoin(few_series)  # as many rows as the answer has
+    wanted = observations.join(few_series, "series_id", "left_semi")
     return asked.join(as_of(wanted, decisions, few=few), ["decision_time", "series_id"], "left")
 
 

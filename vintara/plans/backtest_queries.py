@@ -12,7 +12,7 @@ from vintara.operators import portfolio as ptf
 from vintara.plans import views
 from vintara.plans.registry import query
 from vintara.plans.views import DECISIONS, INVERSE_VOL, MONTHS, PANEL, WINDOWS
-from vintara.storage import saved
+from vintara.storage import saved, small
 
 RATE = 0.001
 STRATEGIES = ("equal_weight", "inverse_vol")
@@ -179,7 +179,7 @@ def ledger_inputs(spark, sf_dir, targets=None):
     initial = begun.where("decision_time = first").select("strategy_id", "asset", "weight")
     decisions = begun.where("decision_time > first").select("strategy_id", F.col("decision_time").alias("execution_time"), "asset", "weight")
     at = months.join(F.broadcast(first), F.col("instant") >= F.col("first")).select("instant")
-    instants = targets.select("strategy_id").distinct().join(F.broadcast(at), F.lit(True))
+    instants = targets.select("strategy_id").distinct().join(small(at), F.lit(True))
     factors = views.panel(spark, sf_dir).select(F.col("month").cast("timestamp").alias("instant"), "asset", "g")
     return initial, instants, decisions, factors
 

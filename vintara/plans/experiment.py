@@ -20,7 +20,7 @@ from vintara.operators.ledger import build_ledger
 from vintara.operators.metrics import core_metrics
 from vintara.operators.portfolio import WeightConstraints, require_targets
 from vintara.plans.results import canonical_json, freeze, strict_json
-from vintara.storage import saved
+from vintara.storage import saved, small
 
 #: A strategy: windows of returns (``decision_time, asset, t, r``) to ``decision_time, asset, weight``.
 Strategy = Callable[[DataFrame], DataFrame]
@@ -172,7 +172,7 @@ class Experiment:
         initial = rows.where("decision_time = _first").select("strategy_id", "asset", "weight")
         decisions = rows.where("decision_time > _first").select("strategy_id", F.col("decision_time").alias("execution_time"), "asset", "weight")
         at = instants.join(F.broadcast(first), F.col("instant") >= F.col("_first")).select("instant")
-        paths = targets.select("strategy_id").distinct().join(F.broadcast(at), F.lit(True))
+        paths = targets.select("strategy_id").distinct().join(small(at), F.lit(True))
         ledger = saved(build_ledger(initial, paths, decisions, factors, self.rate, self.turnover, self.initial_wealth))
         return ledger, core_metrics(ledger, self.periods_per_year, self.risk_aversion, self.risk_free)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,15 @@ def saved(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is.
+
+    The check reads no more than ``rows + 1`` rows; beyond it Spark chooses the join.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
