@@ -62,6 +62,30 @@ def test_license_base(spark):
     assert found.where("score < 0 OR score > 1").count() == 0
 
 
+# Signatures that hold no form of the word "license", and their labels.
+UNNAMED = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+    ("permission to use, copy, modify, and/or distribute this software for any purpose", "isc"),
+    ("Redistribution and use in source and binary forms", "bsd"),
+    ("Placed in the\npublic domain.", "public-domain"),
+    ("All rights\r\nreserved", "all-rights-reserved"),
+    ("WITHOUT  WARRANTY of any kind", "no-warranty"),
+    ("released under the ISC", "isc"),
+    ("provided vim, published ruby; available", ""),
+]
+
+
+def test_license_signatures_without_the_word(spark):
+    found = licenses.license_digest(licenses.scan_licenses(frame(spark, enumerate(t for t, _ in UNNAMED))))
+    assert {r.doc_id: r.labels for r in found.collect()} == dict(enumerate(label for _, label in UNNAMED))
+
+
+def test_license_rules_of_ones_own_have_their_own_gate(spark):
+    rules = (licenses.Rule("own", "beerware", "beerware revision", 3),)
+    (row,) = licenses.scan_licenses(frame(spark, [(1, "Beerware, revision 42")]), rules).collect()
+    assert [(d.label, d.start, d.end) for d in row.detections] == [("own", 0, 2)]
+
+
 def test_license_rules_are_many_and_gated():
     assert len(licenses.RULES) >= 200
     assert all(re.compile(r.pattern) and r.keyword in re.sub(r"[^a-z0-9 ]", " ", r.pattern) for r in licenses.RULES)

@@ -26,8 +26,15 @@ _BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 # Phrases that are always reported, with their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: What a text must hold for any rule or phrase to hold.
-_GATE = r"(?i)(?=[lcrsdw])(?:licen[cs]e|copyright|rights reserved|spdx|dedicated to|without warrant)"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What a text must hold for any of :data:`RULES` or a base phrase to hold: of each
+#: signature one word, or two in a row with any gap between them.
+_GATE = (
+    "(?i)(?=[lcswprda])(?:licen[cs]e|copyright|spdx"
+    f"|rights{_GAP}reserved|without{_GAP}warranty|public{_GAP}domain"
+    f"|permission{_GAP}(?:is|to)|redistribution{_GAP}and"
+    f"|(?:released|distributed|published|available|provided){_GAP}(?:under|according|subject))"
+)
 
 
 @dataclass(frozen=True)
@@ -100,8 +107,8 @@ _OTHER = (
     Rule("license-reference", "license", r"see (?:the )?license(?: file)?(?: for details)?", 1),
 )
 _GRANT = (
-    "(?:licensed|released|distributed|published|available|provided|redistributed)(?: under| according to| subject to)?"
-    "(?: the)?(?: terms(?: and conditions)? of)?(?: the)? "
+    "(?:licensed|(?:licensed|released|distributed|published|available|provided|redistributed)"
+    " (?:under|according to|subject to))(?: the)?(?: terms(?: and conditions)? of)?(?: the)? "
 )
 
 
@@ -138,6 +145,13 @@ RULES = rules()
 CONFIDENCE = {4: 1.0, 3: 0.9, 2: 0.7, 1: 0.3}
 
 
+def _gate(rules_: tuple[Rule, ...]) -> str:
+    """An expression that a text must match for any of the rules or base phrases to hold."""
+    if rules_ is RULES:
+        return _GATE
+    return "(?i)" + "|".join(sorted({"license"} | {r.keyword for r in rules_}))
+
+
 def _count_words(text: Column) -> Column:
     """The number of words. Blanks for what stands in no word make this a plain split."""
     blank = F.translate(text, _BETWEEN, " " * len(_BETWEEN))
@@ -248,7 +262,7 @@ def scan_licenses(docs: DataFrame, rules_: tuple[Rule, ...] = RULES, doc_id: str
     are there; columns besides the two are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(docs, text).alias("_text"))
-    gate = F.col("_text").rlike(_GATE)
+    gate = F.col("_text").rlike(_gate(rules_))
     none = F.array().cast("array<string>")
     words = F.regexp_extract_all(F.translate("_text", _UPPER, _LOWER), F.lit(WORD), F.lit(0))
     rows = rows.select(
