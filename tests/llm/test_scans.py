@@ -80,6 +80,40 @@ def test_license_signatures_without_the_word(spark):
     assert {r.doc_id: r.labels for r in found.collect()} == dict(enumerate(label for _, label in UNNAMED))
 
 
+def shortest(pattern):
+    """The texts that match a rule when each part is repeated as seldom as it may be."""
+
+    def of(items):
+        texts = [""]
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL":
+                some = [chr(value)]
+            elif name == "IN":
+                kind, first = value[0]
+                some = [chr(first) if str(kind) == "LITERAL" else "7"]
+            elif name == "BRANCH":
+                some = [t for branch in value[1] for t in of(branch)]
+            elif name == "SUBPATTERN":
+                some = of(value[3])
+            else:
+                assert name == "MAX_REPEAT", name
+                some = [t * value[0] for t in of(value[2])] if value[0] else [""]
+            texts = [a + b for a in texts for b in some]
+        return texts
+
+    return sorted(set(of(re._parser.parse(pattern))), key=lambda t: (len(t), t))
+
+
+def test_license_gate_lets_the_shortest_match_of_every_rule_through(spark):
+    texts = {(r.label, r.pattern): shortest(r.pattern) for r in licenses.RULES}
+    gate = re.compile(licenses._gate(licenses.RULES))
+    assert [t for some in texts.values() for t in some if not gate.search(t)] == []
+    texts = [("gpl-3.0", "GNU GPL v3"), ("apache-2.0", "Apache-2.0"), ("apache-2.0", "Apache 2.0, see NOTICE"), ("apache-1.1", "apache\nsoftware v 1.1")]
+    found = licenses.license_digest(licenses.scan_licenses(frame(spark, enumerate(t for _, t in texts))))
+    assert {r.doc_id: r.labels for r in found.collect()} == {i: label for i, (label, _) in enumerate(texts)}
+
+
 def test_license_rules_of_ones_own_have_their_own_gate(spark):
     rules = (licenses.Rule("own", "beerware", "beerware revision", 3),)
     (row,) = licenses.scan_licenses(frame(spark, [(1, "Beerware, revision 42")]), rules).collect()

@@ -27,10 +27,13 @@ _BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_VERSION = f"(?:{_GAP}v(?:ersion)?)?(?:{_GAP})?"
 #: What a text must hold for any of :data:`RULES` or a base phrase to hold: of each
-#: signature one word, or two in a row with any gap between them.
+#: signature one word, or two in a row with any gap between them; of the names that need
+#: no "license", the name and the first digit of the version.
 _GATE = (
-    "(?i)(?=[lcswprda])(?:licen[cs]e|copyright|spdx"
+    "(?i)(?=[lcswprdag])(?:licen[cs]e|copyright|spdx"
+    f"|gnu{_GAP}gpl{_VERSION}[123]|apache(?:{_GAP}software)?{_VERSION}[12]"
     f"|rights{_GAP}reserved|without{_GAP}warranty|public{_GAP}domain"
     f"|permission{_GAP}(?:is|to)|redistribution{_GAP}and"
     f"|(?:released|distributed|published|available|provided){_GAP}(?:under|according|subject))"
