@@ -114,6 +114,19 @@ def test_license_gate_lets_the_shortest_match_of_every_rule_through(spark):
     assert {r.doc_id: r.labels for r in found.collect()} == {i: label for i, (label, _) in enumerate(texts)}
 
 
+def test_license_rules_hold_their_keywords_as_words(spark):
+    words = {}
+    for r in licenses.RULES:
+        words.setdefault((r.label, r.pattern), set()).add(r.keyword)
+    missed = [t for (label, pattern), some in words.items() for t in shortest(pattern) if not some & set(t.split())]
+    assert missed == []
+    texts = [(label, shortest(pattern)[0]) for label, pattern in words]
+    texts += [("bsd-2-clause", "FreeBSD License"), ("0bsd", "0BSD License"), ("0bsd", "released under 0BSD"), ("apache-2.0", "Apache2 License"), ("cecill-2.1", "CeCILL2.1 license")]
+    found = licenses.license_digest(licenses.scan_licenses(frame(spark, enumerate(t for _, t in texts))))
+    labels = {r.doc_id: r.labels.split(",") for r in found.collect()}
+    assert [(label, t) for i, (label, t) in enumerate(texts) if label not in labels[i]] == []
+
+
 def test_license_rules_of_ones_own_have_their_own_gate(spark):
     rules = (licenses.Rule("own", "beerware", "beerware revision", 3),)
     (row,) = licenses.scan_licenses(frame(spark, [(1, "Beerware, revision 42")]), rules).collect()

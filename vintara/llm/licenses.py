@@ -50,16 +50,17 @@ class Rule:
     priority: int
 
 
-# Identifier, keyword and the words of the name, as an expression.
+# Identifier, keywords and the words of the name, as an expression. Each
+# match must hold one of the keywords as a whole word.
 _NAMED = (
     ("mit", "mit", "mit"), ("mit-0", "mit", "mit 0|mit no attribution"), ("x11", "x11", "x11"),
     ("expat", "expat", "expat"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
-    ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"),
+    ("apache-1.1", "apache|apache1", "(?:apache(?: software)?(?: license)?(?: version| v)? ?1|apache1) 1"),
+    ("apache-2.0", "apache|apache2", "(?:apache(?: software)?(?: license)?(?: version| v)? ?2|apache2)(?: 0)?"),
+    ("bsd-2-clause", "bsd|freebsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
-    ("0bsd", "bsd", "(?:0bsd|zero clause bsd|bsd zero clause)"),
+    ("0bsd", "bsd|0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)"),
     ("gpl-1.0", "gnu", "gnu(?: general public license| gpl)(?: version| v)? ?1(?: 0)?"),
     ("gpl-2.0", "gnu", "gnu(?: general public license| gpl)(?: version| v)? ?2(?: 0)?"),
     ("gpl-3.0", "gnu", "gnu(?: general public license| gpl)(?: version| v)? ?3(?: 0)?"),
@@ -85,7 +86,7 @@ _NAMED = (
     ("php-3.01", "php", "php license(?: version| v)? ?3 01"), ("ruby", "ruby", "ruby"),
     ("openssl", "openssl", "openssl"), ("ofl-1.1", "sil", "sil open font license(?: version| v)?(?: ?1 1)?"),
     ("odbl-1.0", "database", "open database license(?: version| v)?(?: ?1(?: 0)?)?"),
-    ("cecill-2.1", "cecill", "cecill(?: version| v)? ?2 1"), ("osl-3.0", "open", "open software license(?: version| v)? ?3(?: 0)?"),
+    ("cecill-2.1", "cecill|cecill2", "(?:cecill(?: version| v)? ?2|cecill2) 1"), ("osl-3.0", "open", "open software license(?: version| v)? ?3(?: 0)?"),
     ("afl-3.0", "academic", "academic free license(?: version| v)? ?3(?: 0)?"),
     ("ms-pl", "microsoft", "microsoft public license"), ("ms-rl", "microsoft", "microsoft reciprocal license"),
     ("vim", "vim", "vim"), ("w3c", "w3c", "w3c(?: software)?"), ("sspl-1.0", "server", "server side public license(?: version| v)? ?1"),
