@@ -92,6 +92,36 @@ def test_visible_takes_the_newest_period(spark):
         pit.require_known_series(obs(spark, rows), series)
 
 
+def test_membership_digest_covers_the_whole_information_set(spark, sf_dir):
+    import hashlib
+
+    from vintara.plans import backtest_queries, views
+
+    def micros(t):
+        return (utc(t) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+
+    def digest(members):
+        level = sorted((d, d) for d in (hashlib.sha256(json.dumps([s, str(o), str(a)], separators=(",", ":")).encode()).hexdigest() for s, o, a in members))
+        for digits in results.MEMBER_LEVELS:
+            groups = {}
+            for at, d in sorted(level):
+                groups.setdefault(at[:digits], []).append(d)
+            level = [(at, hashlib.sha256(",".join(ds).encode()).hexdigest()) for at, ds in groups.items()]
+        return len(members), level[0][1]
+
+    kept = [(r.series_id, micros(r.observation_time), micros(r.available_time)) for r in views.obs(spark, sf_dir).collect()]
+    expected = {}
+    for r in views.grid(spark).collect():
+        latest = {}
+        for s, o, a in kept:
+            if a <= micros(r.decision_time):
+                latest[s, o] = max(a, latest.get((s, o), a))
+        if latest:
+            expected[micros(r.decision_time)] = digest([(s, o, a) for (s, o), a in latest.items()])
+    found = backtest_queries.res_membership_digest(spark, sf_dir).collect()
+    assert {micros(r.decision_time): (r.n_members, r.digest) for r in found} == expected
+
+
 def test_observations_that_are_rejected(spark):
     with pytest.raises(errors.AmbiguousObservationError):
         pit.require_observations(obs(spark, [("s", day(1), day(2), 1), ("s", day(1), day(2), 1)]))

@@ -410,4 +410,4 @@ def res_membership_digest(spark, sf_dir):
     from vintara.operators import pit
     from vintara.plans import results
 
-    return results.membership_digests(pit.as_of(views.obs(spark, sf_dir), views.grid(spark), few=True))
+    return results.membership_digests(pit.information_set(views.obs(spark, sf_dir), views.grid(spark)))

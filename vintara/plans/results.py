@@ -58,19 +58,29 @@ def ledger_digest(ledger: DataFrame, strategy_id: str) -> str:
     return hashlib.sha256(canonical_json(as_json).encode()).hexdigest()
 
 
+#: Leading hex digits of an identity's hash by which digests are taken, level by level.
+MEMBER_LEVELS = (6, 3, 0)
+
+
 def membership_digests(items: DataFrame) -> DataFrame:
     """``decision_time, n_members, digest`` of the identities that each decision admits.
 
-    The digest is of sorted identities, taken in two levels: per series, then of series,
-    so no list is longer than a series' members.
+    ``items`` has all that a decision admits, as :func:`pit.information_set` gives it. The
+    hashes of identities are sorted and digested within each group of equal leading digits,
+    then the groups' digests, in their order, within each shorter one: so a list
+    has about 4096 entries, or one of 16.8 million of the identities if that is more.
     """
-    identity = F.to_json(F.array("series_id", F.col("observation_time").cast("string"), F.col("available_time").cast("string")))
-    series = items.groupBy("decision_time", "series_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(identity)), ","), 256).alias("d")
-    )
-    return series.groupBy("decision_time").agg(
-        F.sum("n").alias("n_members"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("digest")
-    )
+    # Microseconds since 1970: the same identity in every session's time zone.
+    times = (F.unix_micros(F.col(c).cast("timestamp")).cast("string") for c in ("observation_time", "available_time"))
+    level = items.select(
+        "decision_time", F.lit(1).cast("long").alias("n"), F.sha2(F.to_json(F.array("series_id", *times)), 256).alias("d")
+    ).withColumn("at", F.col("d"))
+    for digits in MEMBER_LEVELS:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"])
+        level = level.groupBy("decision_time", F.substring("at", 1, digits).alias("at")).agg(
+            F.sum("n").alias("n"), F.sha2(F.array_join(ordered, ","), 256).alias("d")
+        )
+    return level.select("decision_time", F.col("n").alias("n_members"), F.col("d").alias("digest"))
 
 
 def verdicts(spark: SparkSession, declared: Mapping[str, str], effective: Mapping[str, str], sanctioned: set[str]) -> DataFrame:
