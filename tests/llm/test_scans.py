@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
 from vintara.llm import licenses, pii, queries, secrets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -289,6 +290,28 @@ def test_terms_that_disclose_are_sanitised(spark):
     assert clean[100].text == texts[8][1]
 
 
+@pytest.mark.parametrize("row_terms", [pii.ROW_TERMS, 0])
+def test_terms_that_disclose_are_sanitised_everywhere(spark, monkeypatch, row_terms):
+    monkeypatch.setattr(pii, "ROW_TERMS", row_terms)
+    far = " ".join(["the blue house"] * 6)
+    texts = [(i, f"the blue house zorblax contact u{i}@x.org the end") for i in range(30)]
+    texts += [(50, f"\u0130 ZORBLAX's {far} zorblaxes a@b.co {far} \U0001f642zorblax"), (51, "Zorblax!"), (51, "Zorblax!"), (None, None)]
+    texts += [(100 + i, f"{far} and the contact of it all end") for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+    expected = [(str(i), t and re.sub(r"\S+@\S+", "[EMAIL]", re.sub(r"(?i)\bzorblax\b", "[TERM]", t))) for i, t in texts if i is None or i < 100]
+    got = [(str(r.doc_id), r.text) for r in pii.sanitise(docs).collect() if r.doc_id is None or r.doc_id < 100]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    spans = {r.doc_id: r.spans for r in pii.personal_data_digest(pii.personal_data(docs)).collect()}
+    end = len(texts[30][1])
+    assert spans[50].startswith("term:2:9,email:") and spans[50].endswith(f",term:{end - 7}:{end}") and spans[51] == "term:0:7"
+
+
+def test_lowering_keeps_places(spark):
+    every = "".join(chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000)
+    (row,) = spark.createDataFrame([(every,)], "t string").select(pii._lowered(F.col("t"), F.array().cast(pii._SPANS)).alias("t")).collect()
+    assert len(row.t) == len(every) and row.t[0x40:0x45] == "abcde"
+
+
 def test_overlapping_entities_become_one_label(spark):
     text = "call +41111111111111 or 4111111111111111 now"
     docs = spark.createDataFrame([(1, text, "k"), (2, None, "k")], "doc_id long, text string, spans string")

@@ -9,8 +9,8 @@ is estimated from the whole corpus by pointwise mutual information,
 where ``p(t)`` is the share of the corpus' terms that are ``t``, ``p(e)`` the share of terms
 that stand near an entity of the kind, and ``p(t, e)`` the share that are ``t`` and do. A term
 that always stands near one has PMI equal to the information of the kind, ``-log p(e)``.
-Terms whose PMI is at least ``DISCLOSURE`` of that are sanitised where they stand near an
-entity of that kind: they become a general label, as the entities do.
+Terms whose PMI is at least ``DISCLOSURE`` of that are sanitised wherever they stand: they
+become a general label, as the entities do.
 """
 
 from __future__ import annotations
@@ -28,10 +28,14 @@ DISCLOSURE = 0.9
 SUPPORT = 5
 #: Characters on each side of an entity that are near it.
 NEAR = 40
+#: Disclosing terms up to which each row is compared with all; beyond, they meet its words in a shuffle.
+ROW_TERMS = 5_000
 #: Rows with sanitised terms up to which they are broadcast; beyond, they are shuffled.
 BROADCAST_ROWS = 100_000
 
-_TERM = "[a-z\u0080-￿]"
+# Without surrogates, which are halves of other characters.
+_TERM = "[a-z\u0080-\ud7ff\ue000-\uffff]"
+_NO_TERM = f"[^{_TERM[1:-1]}]++"
 
 
 @dataclass(frozen=True)
@@ -84,13 +88,13 @@ _SPANS = "array<struct<start:int,kind:int,end:int>>"
 _FOUND = "array<struct<start:int,end:int,match:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """``start, end, match`` of all matches, in code points from 0.
 
     What stands between the matches, and the matches, have the text's length together.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    between = F.slice(F.split(text, F.lit(pattern), -1), 1, F.size(found))
     pairs = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("match")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found"))
 
@@ -147,7 +151,7 @@ def near_terms(text: Column, spans: Column) -> Column:
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``term, n``: occurrences of every term in the corpus."""
-    words = F.split(F.lower(text_of(docs, text)), f"[^{_TERM[1:-1]}]++")
+    words = F.split(F.lower(text_of(docs, text)), _NO_TERM)
     return docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -170,56 +174,8 @@ def disclosing_terms(
     return some.join(counts, "term").where(F.col("joint") / F.col("n") >= least).select("kind", "term")
 
 
-def find_personal_data(
-    docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, doc_id: str = "doc_id", text: str = "text"
-) -> tuple[DataFrame, DataFrame]:
-    """Base spans of all rows, and spans of disclosing terms of some.
-
-    The first has ``doc_id, text_hash, spans`` for each row; the second ``doc_id,
-    text_hash, terms`` for the rows that have any, once for repeated rows. Null and
-    empty texts have none; null ids are ids like others; other columns are ignored.
-    """
-    whole = text_of(docs, text)
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.xxhash64(whole).alias("text_hash"),
-        whole.alias("_text"),
-        entity_spans(whole).alias("spans"),
-    )
-    none = F.array().cast("array<struct<kind:int,term:string,start:int,end:int>>")
-    found = saved(
-        rows.select(
-            "doc_id",
-            "text_hash",
-            "spans",
-            F.when(F.size("spans") > 0, near_terms(F.col("_text"), F.col("spans"))).otherwise(none).alias("near"),
-        )
-    )
-    near = found.where(F.size("near") > 0).select("doc_id", "text_hash", F.inline("near"))
-    terms = near.join(disclosing_terms(docs, near, disclosure, support, text), ["kind", "term"])
-    spans = F.struct("start", F.lit(len(BASE_KINDS)).alias("kind"), "end")
-    return found.drop("near"), terms.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(spans)).alias("terms"))
-
-
-def _with_terms(rows: DataFrame, terms: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with their ``terms``, joined by id and hash."""
-    terms = saved(terms.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "terms"))
-    small = terms.count() <= BROADCAST_ROWS
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    return rows.join(F.broadcast(terms) if small else terms, same, "left").select(
-        *columns, F.coalesce("terms", F.array().cast(_SPANS)).alias("terms")
-    )
-
-
-def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, spans, terms`` for each row: the base spans and those of disclosing terms."""
-    found, terms = find_personal_data(docs, disclosure, support, doc_id, text)
-    return _with_terms(found, terms, ["doc_id", "spans"])
-
-
-def _rewrite(text: Column, spans: Column) -> Column:
-    """The text with each span, or overlapping spans together, as a label."""
-    start = F.array().cast(_SPANS)
+def _apart(spans: Column) -> Column:
+    """The spans in order, overlapping ones as one of the first's kind."""
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -228,36 +184,96 @@ def _rewrite(text: Column, spans: Column) -> Column:
             s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))
         ).otherwise(F.concat(acc, F.array(s)))
 
-    apart = F.aggregate(F.array_sort(spans), start, merge)
-    labels = F.array(*(F.lit(f"[{name.upper()}]") for name in KIND_NAMES))
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), merge)
+
+
+def _rewrite(text: Column, apart: Column, label) -> Column:
+    """The text with what ``label`` says in place of each span."""
 
     def piece(s: Column, i: Column) -> Column:
         before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(apart, F.greatest(i, F.lit(1)))["end"])
-        return F.concat(F.substring(text, before + 1, s["start"] - before), F.get(labels, s["kind"]))
+        return F.concat(F.substring(text, before + 1, s["start"] - before), label(s))
 
     tail = F.element_at(apart, -1)["end"]
-    return F.when(F.size(spans) == 0, text).otherwise(
+    return F.when(F.size(apart) == 0, text).otherwise(
         F.concat(F.array_join(F.transform(apart, piece), ""), F.substring(text, tail + 1, F.length(text) - tail))
     )
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """``docs`` with entities and disclosing terms replaced by labels such as ``[EMAIL]``.
+def _lowered(text: Column, apart: Column) -> Column:
+    """The text in lower case, blanks for its entities; each character keeps its place."""
+    blank = _rewrite(text, apart, lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+    # The one letter that lowering makes two of.
+    return F.lower(F.translate(blank, "\u0130", "i"))
 
-    Rows and columns stay; a column ``n_chars`` becomes the new length. A null text
-    stays null.
-    """
-    _, terms = find_personal_data(docs, disclosure, support, doc_id, text)
+
+def _rows(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
+    """``doc_id, text_hash, _text, spans, _low`` of each row, with ``more``."""
     whole = text_of(docs, text)
     rows = docs.select(
-        F.struct(*docs.columns).alias("_row"),
+        *more,
         F.col(doc_id).cast("long").alias("doc_id"),
         F.xxhash64(whole).alias("text_hash"),
         whole.alias("_text"),
         entity_spans(whole).alias("spans"),
+    ).withColumn("_apart", _apart(F.col("spans")))
+    return rows.withColumn("_low", _lowered(F.col("_text"), F.col("_apart"))).drop("_apart")
+
+
+def _revealing(rows: DataFrame, docs: DataFrame, disclosure: float, support: int, text: str) -> DataFrame:
+    """``term``: what discloses an entity of any kind; ``rows`` are the ``docs`` as :func:`_rows` has them."""
+    near = rows.where(F.size("spans") > 0).select(F.inline(near_terms(F.col("_text"), F.col("spans"))))
+    near = saved(near.select("kind", "term"))
+    return saved(disclosing_terms(docs, near, disclosure, support, text).select("term").distinct())
+
+
+def _with_terms(rows: DataFrame, revealing: DataFrame) -> DataFrame:
+    """``rows`` with ``terms``: the spans of every occurrence of a revealing term in the text."""
+    none = F.array().cast(_SPANS)
+    some = revealing.count()
+    if some == 0:
+        return rows.withColumn("terms", none)
+    words = F.split("_low", _NO_TERM)
+    if some <= ROW_TERMS:
+        listed = revealing.agg(F.collect_list("term").alias("_listed"))
+        held = rows.crossJoin(F.broadcast(listed)).withColumn("_held", F.array_intersect(words, F.col("_listed")))
+    else:
+        each = rows.select("doc_id", "text_hash", F.explode(F.array_distinct(words)).alias("term")).join(revealing, "term")
+        each = saved(
+            each.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("term").alias("_held"))
+        )
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+        held = rows.join(F.broadcast(each) if each.count() <= BROADCAST_ROWS else each, same, "left")
+    # Terms are letters alone and need no quoting.
+    pattern = F.concat(F.lit(f"(?<!{_TERM})(?:"), F.array_join("_held", "|"), F.lit(f")(?!{_TERM})"))
+    spans = F.transform(
+        matches(F.col("_low"), pattern),
+        lambda m: F.struct(m["start"].alias("start"), F.lit(len(BASE_KINDS)).alias("kind"), m["end"].alias("end")),
     )
-    joined = _with_terms(rows, terms, ["_row", "_text", "spans"])
-    new = joined.withColumn("_text", _rewrite(F.col("_text"), F.concat("spans", "terms")))
+    return held.select(*rows.columns, F.when(F.size("_held") > 0, spans).otherwise(none).alias("terms"))
+
+
+def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, spans, terms`` for each row: the base spans and those of disclosing terms.
+
+    Null and empty texts have none; null ids are ids like others; repeated rows come out as
+    often as they are there; other columns are ignored.
+    """
+    rows = _rows(docs, doc_id, text)
+    return _with_terms(rows, _revealing(rows, docs, disclosure, support, text)).select("doc_id", "spans", "terms")
+
+
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with entities and disclosing terms replaced by labels such as ``[EMAIL]``.
+
+    Rows and columns stay; a column ``n_chars`` becomes the new length. A null text
+    stays null.
+    """
+    rows = _rows(docs, doc_id, text, F.struct(*docs.columns).alias("_row"))
+    joined = _with_terms(rows, _revealing(rows, docs, disclosure, support, text))
+    labels = F.array(*(F.lit(f"[{name.upper()}]") for name in KIND_NAMES))
+    new = joined.withColumn("_apart", _apart(F.concat("spans", "terms")))
+    new = new.withColumn("_text", _rewrite(F.col("_text"), F.col("_apart"), lambda s: F.get(labels, s["kind"])))
     value = F.when(F.col(f"_row.{text}").isNull(), F.lit(None)).otherwise(F.col("_text"))
     columns = []
     for name in docs.columns:
