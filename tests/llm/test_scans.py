@@ -306,6 +306,15 @@ def test_terms_that_disclose_are_sanitised_everywhere(spark, monkeypatch, row_te
     assert spans[50].startswith("term:2:9,email:") and spans[50].endswith(f",term:{end - 7}:{end}") and spans[51] == "term:0:7"
 
 
+def test_terms_are_counted_outside_entities_and_in_every_window(spark):
+    texts = [f"the blue house \u0130 smith smith@x.org house number {i}" for i in range(30)] + ["the blue house and the number of it all end"] * 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = {r.term: r.n for r in pii.term_counts(pii._rows(docs, "doc_id", "text")).collect()}
+    assert counts["smith"] == 30 and counts["house"] == 120 and "org" not in counts
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[3] == "the blue house [TERM] [TERM] [EMAIL] house number 3" and clean[40] == texts[40]
+
+
 def test_lowering_keeps_places(spark):
     every = "".join(chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000)
     (row,) = spark.createDataFrame([(every,)], "t string").select(pii._lowered(F.col("t"), F.array().cast(pii._SPANS)).alias("t")).collect()

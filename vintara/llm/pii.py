@@ -6,7 +6,7 @@ is estimated from the whole corpus by pointwise mutual information,
 
     PMI(t, e) = log p(t, e) / (p(t) p(e)),
 
-where ``p(t)`` is the share of the corpus' terms that are ``t``, ``p(e)`` the share of terms
+where ``p(t)`` is the share of the corpus' terms outside entities that are ``t``, ``p(e)`` the share of terms
 that stand near an entity of the kind, and ``p(t, e)`` the share that are ``t`` and do. A term
 that always stands near one has PMI equal to the information of the kind, ``-log p(e)``.
 Terms whose PMI is at least ``DISCLOSURE`` of that are sanitised wherever they stand: they
@@ -119,25 +119,21 @@ def entity_spans(text: Column) -> Column:
 
 
 def near_terms(text: Column, spans: Column) -> Column:
-    """``kind, term, start, end`` of the terms near each span; cut words aren't terms."""
+    """``kind, term, start, end`` of the terms of a lowered text near each span; cut words aren't terms."""
 
     def side(begin: Column, end: Column, kind: Column, ragged_left: Column, ragged_right: Column) -> Column:
-        window = F.lower(F.substring(text, begin + 1, end - begin))
-        # Lowering may change the length of rare letters; such windows are left out.
-        same = F.length(window) == end - begin
         # The text before this term in the window says where it stands; a run of letters
         # that the window's border may have cut is no term.
         found = F.filter(
-            matches(window, f"{_TERM}++"),
+            matches(F.substring(text, begin + 1, end - begin), f"{_TERM}++"),
             lambda m: ~(ragged_left & (m["start"] == 0)) & ~(ragged_right & (m["end"] == end - begin)),
         )
-        terms = F.transform(
+        return F.transform(
             found,
             lambda m: F.struct(
                 kind.alias("kind"), m["match"].alias("term"), (begin + m["start"]).alias("start"), (begin + m["end"]).alias("end")
             ),
         )
-        return F.when(same, terms).otherwise(F.array().cast("array<struct<kind:int,term:string,start:int,end:int>>"))
 
     def around(s: Column) -> Column:
         left, right = F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["end"] + NEAR, F.length(text))
@@ -149,20 +145,20 @@ def near_terms(text: Column, spans: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(spans, around)))
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``term, n``: occurrences of every term in the corpus."""
-    words = F.split(F.lower(text_of(docs, text)), _NO_TERM)
-    return docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def term_counts(rows: DataFrame) -> DataFrame:
+    """``term, n``: occurrences of every term in the corpus, outside entities."""
+    words = F.split("_low", _NO_TERM)
+    return rows.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def disclosing_terms(
-    docs: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, text: str = "text"
+    rows: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
 ) -> DataFrame:
     """``kind, term``: the terms that reveal too much about entities of a kind.
 
-    ``near`` has a row ``kind, term`` for each occurrence of a term near an entity.
+    ``near`` has a row ``kind, term`` for each occurrence of a term near an entity of ``rows``.
     """
-    counts = saved(term_counts(docs, text))
+    counts = saved(term_counts(rows))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     joint = saved(near.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("joint")))
     shares = {r["kind"]: r["near"] / total for r in joint.groupBy("kind").agg(F.sum("joint").alias("near")).collect()}
@@ -220,11 +216,11 @@ def _rows(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
     return rows.withColumn("_low", _lowered(F.col("_text"), F.col("_apart"))).drop("_apart")
 
 
-def _revealing(rows: DataFrame, docs: DataFrame, disclosure: float, support: int, text: str) -> DataFrame:
-    """``term``: what discloses an entity of any kind; ``rows`` are the ``docs`` as :func:`_rows` has them."""
-    near = rows.where(F.size("spans") > 0).select(F.inline(near_terms(F.col("_text"), F.col("spans"))))
+def _revealing(rows: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """``term``: what discloses an entity of any kind in ``rows``, which :func:`_rows` made."""
+    near = rows.where(F.size("spans") > 0).select(F.inline(near_terms(F.col("_low"), F.col("spans"))))
     near = saved(near.select("kind", "term"))
-    return saved(disclosing_terms(docs, near, disclosure, support, text).select("term").distinct())
+    return saved(disclosing_terms(rows, near, disclosure, support).select("term").distinct())
 
 
 def _with_terms(rows: DataFrame, revealing: DataFrame) -> DataFrame:
@@ -260,7 +256,7 @@ def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int
     often as they are there; other columns are ignored.
     """
     rows = _rows(docs, doc_id, text)
-    return _with_terms(rows, _revealing(rows, docs, disclosure, support, text)).select("doc_id", "spans", "terms")
+    return _with_terms(rows, _revealing(rows, disclosure, support)).select("doc_id", "spans", "terms")
 
 
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -270,7 +266,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     stays null.
     """
     rows = _rows(docs, doc_id, text, F.struct(*docs.columns).alias("_row"))
-    joined = _with_terms(rows, _revealing(rows, docs, disclosure, support, text))
+    joined = _with_terms(rows, _revealing(rows, disclosure, support))
     labels = F.array(*(F.lit(f"[{name.upper()}]") for name in KIND_NAMES))
     new = joined.withColumn("_apart", _apart(F.concat("spans", "terms")))
     new = new.withColumn("_text", _rewrite(F.col("_text"), F.col("_apart"), lambda s: F.get(labels, s["kind"])))
