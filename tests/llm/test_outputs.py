@@ -79,7 +79,7 @@ def test_shards_of_table(spark, sf_dir):
 
 def test_pairs_are_learned():
     rng = np.random.default_rng(0)
-    rows = rng.standard_normal((2000, len(quality.FEATURES)))
+    rows = rng.standard_normal((2000, quality.N_FEATURES))
     labels = (rows[:, 2] - 0.5 * rows[:, 5] + 0.1 * rng.standard_normal(2000) > -1).astype(float)
     model = quality.fit(rows, labels)
     assert ((model.score(rows) >= quality.ACCEPT) == labels).mean() > 0.95
@@ -87,7 +87,7 @@ def test_pairs_are_learned():
 
 
 def test_scores_of_rows_of_every_kind(spark):
-    model = quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))
+    model = quality.fit(np.zeros((0, quality.N_FEATURES)), np.zeros(0))
     texts = [(1, None), (2, ""), (None, "a"), (4, "\n\n"), (5, "w " * 60000), (5, "w " * 60000)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, score int")
     got = quality.score_documents(docs, model).collect()
@@ -107,6 +107,50 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.quality for r in held) / len(held) >= 0.95
 
 
+def test_repeated_documents_count_once_and_all_labels_count(spark):
+    rng = np.random.default_rng(2)
+    words = {1: "the quiet river runs below the old stone bridge and on", 0: "BUY now!!! $$$ click | win | free ### offer"}
+    texts = [(i, " ".join(rng.permutation(words[i % 2].split()))) for i in range(32)]
+    schema = "doc_id long, text string, quality string"
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    once = quality.learn(spark.createDataFrame([(i, t, "x") for i, t in texts], schema), labels)
+    # Six rows a label, more than the sample has labels, in another order.
+    more = spark.createDataFrame([(i, t, "x") for i, t in texts * 6][::-1], schema).repartition(7)
+    repeated = quality.learn(more, labels, sample_rows=32)
+    assert np.allclose(once.weights, repeated.weights) and once.threshold == repeated.threshold
+    scores = {r.doc_id: r.predicted for r in quality.score_documents(more, repeated).collect()}
+    assert all(scores[i] == i % 2 for i, _ in texts)
+
+
+def test_content_is_learned():
+    # Written alike; only the words tell them apart.
+    rng = np.random.default_rng(6)
+    good, bad = (["aba", "cade", "milo", "ronda"], ["uku", "wexy", "zupf", "jirgo"])
+    texts = [" ".join(rng.choice(good if i % 2 else bad, 40)) for i in range(200)]
+    rows, labels = np.array([quality.features(t) for t in texts]), np.arange(200.0) % 2
+    model = quality.fit(rows[:100], labels[:100])
+    assert ((model.score(rows[100:]) >= quality.ACCEPT) == labels[100:]).mean() > 0.95
+
+
+def test_pairwise_loss_is_least():
+    rng = np.random.default_rng(8)
+    rows, better, worse = rng.standard_normal((60, 5)), rng.integers(0, 60, 300), rng.integers(0, 60, 300)
+    w = quality.fit_pairs(rows, better, worse, ridge=0.01)
+
+    def gradient(w):
+        x = rows[better] - rows[worse]
+        return -(x / (1 + np.exp(x @ w))[:, None]).mean(axis=0) + 0.01 * w
+
+    assert np.abs(gradient(w)).max() < 1e-4
+
+
+def test_accepted_rows_are_whole(spark):
+    model = quality.fit(np.zeros((0, quality.N_FEATURES)), np.zeros(0))
+    docs = spark.createDataFrame([(1, None, 3, 0.1), (None, "a", None, 0.2), (1, None, 3, 0.1)], "doc_id long, text string, _id int, score double")
+    assert quality.keep_good(docs, model).collect() == docs.collect()
+    assert quality.keep_good(docs.limit(0), model).count() == 0 and quality.keep_good(docs, model).columns == docs.columns
+
+
 def test_held_out_labels_change_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
