@@ -9,6 +9,7 @@ row: nothing is shuffled, and texts without any license word are only counted.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,15 +28,16 @@ _BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_VERSION = f"(?:{_GAP}v(?:ersion)?)?(?:{_GAP})?"
+_VERSION = f"(?:{_GAP}v(?:ersion)?|v)?(?:{_GAP})?"
 #: What a text must hold for any of :data:`RULES` or a base phrase to hold: of each
-#: signature one word, or two in a row with any gap between them; of the names that need
+#: signature one word, or some in a row with any gap between them; of the names that need
 #: no "license", the name and the first digit of the version.
 _GATE = (
-    "(?i)(?=[lcswprdag])(?:licen[cs]e|copyright|spdx"
-    f"|gnu{_GAP}gpl{_VERSION}[123]|apache(?:{_GAP}software)?{_VERSION}[12]"
-    f"|rights{_GAP}reserved|without{_GAP}warranty|public{_GAP}domain"
-    f"|permission{_GAP}(?:is|to)|redistribution{_GAP}and"
+    "(?i)(?=[lcswprdagntu])(?:licen[cs]e|copyright|spdx"
+    f"|gpl{_VERSION}[123]|apache(?:{_GAP}software)?{_VERSION}[12]"
+    f"|rights{_GAP}reserved|without{_GAP}(?:any{_GAP}express|warranty)|public{_GAP}domain"
+    f"|permission{_GAP}(?:is|to)|redistribution{_GAP}and|neither{_GAP}the{_GAP}name|advertising{_GAP}materials"
+    f"|software{_GAP}developed{_GAP}by|terms{_GAP}as{_GAP}perl|to{_GAP}the{_GAP}extent{_GAP}possible|unencumbered{_GAP}software"
     f"|(?:released|distributed|published|available|provided){_GAP}(?:under|according|subject))"
 )
 
@@ -61,13 +63,6 @@ _NAMED = (
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
     ("0bsd", "bsd|0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)"),
-    ("gpl-1.0", "gnu", "gnu(?: general public license| gpl)(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2.0", "gnu", "gnu(?: general public license| gpl)(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "gnu", "gnu(?: general public license| gpl)(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2.0", "gnu", "gnu (?:library|lesser) general public license(?: version| v)? ?2(?: 0)?"),
-    ("lgpl-2.1", "gnu", "gnu lesser general public license(?: version| v)? ?2 1"),
-    ("lgpl-3.0", "gnu", "gnu lesser general public license(?: version| v)? ?3(?: 0)?"),
-    ("agpl-3.0", "gnu", "gnu affero general public license(?: version| v)? ?3(?: 0)?"),
     ("gfdl-1.3", "gnu", "gnu free documentation license(?: version| v)? ?1 3"),
     ("mpl-1.1", "mozilla", "mozilla public license(?: version| v)? ?1 1"),
     ("mpl-2.0", "mozilla", "mozilla public license(?: version| v)? ?2(?: 0)?"),
@@ -92,6 +87,14 @@ _NAMED = (
     ("vim", "vim", "vim"), ("w3c", "w3c", "w3c(?: software)?"), ("sspl-1.0", "server", "server side public license(?: version| v)? ?1"),
     ("busl-1.1", "business", "business source license(?: version| v)? ?1 1"), ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
 )
+# The GNU family's abbreviations, names and versions.
+_GNU = (
+    ("gpl", "general public license", ("1.0", "2.0", "3.0")),
+    ("lgpl", "(?:library|lesser) general public license", ("2.0", "2.1", "3.0")),
+    ("agpl", "affero general public license", ("1.0", "3.0")),
+)
+# What says that a later version, or no other, will do as well.
+_ONWARDS = {"": "", "-or-later": " or(?: at your option)?(?: any)? later(?: version)?", "-only": " only"}
 # The parts and versions of the Creative Commons family.
 _COMMONS_PARTS = {
     "by": "attribution", "by sa": "attribution share ?alike", "by nd": "attribution no ?deriv(?:ative)?s",
@@ -99,39 +102,94 @@ _COMMONS_PARTS = {
     "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s",
 }
 _COMMONS_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-# Signatures that name no license.
+# Signatures from the wording of notices and licenses.
 _OTHER = (
     Rule("all-rights-reserved", "reserved", "all rights reserved", 1),
     Rule("copyright", "copyright", r"copyright(?: c)? (?:19|20)\d\d", 1),
     Rule("public-domain", "domain", "(?:dedicated to|released into|placed in) the public domain", 3),
+    Rule("no-warranty", "warranty", "without warranty of any kind", 1),
+    Rule("license-reference", "license", r"see (?:the )?license(?: file)?(?: for details)?", 1),
     Rule("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 4),
+    Rule("mit", "permission", "the above copyright notice and this permission notice shall be included in all copies", 3),
     Rule("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 4),
+    Rule("hpnd", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose", 4),
     Rule("bsd", "redistribution", "redistribution and use in source and binary forms", 4),
-    Rule("no-warranty", "warranty", "without warranty of any kind", 1),
-    Rule("license-reference", "license", r"see (?:the )?license(?: file)?(?: for details)?", 1),
-)
+    Rule("bsd-2-clause", "redistribution", "redistribution and use in source and binary forms(?: [^ ]+){1,60}? this software is provided by", 4),
+    Rule("bsd-3-clause", "endorse", "neither the name of(?: [^ ]+){1,15}? (?:nor|or) the names of (?:its|his|their|any) contributors may be used to endorse", 4),
+    Rule("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display", 4),
+    Rule("apache-1.1", "apache", "this product includes software developed by the apache software foundation", 4),
+    Rule("apache-2.0", "apache", "apache license version 2 0 the license you may not use this file except in compliance with the license", 4),
+    Rule("apache-2.0", "apache", "may obtain a copy of the license at https? www apache org licenses license 2 0", 4),
+    Rule("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 4),
+    Rule("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0", 4),
+    Rule("epl-1.0", "eclipse", "made available under the terms of the eclipse public license v(?:ersion)? ?1 0", 4),
+    Rule("epl-2.0", "eclipse", "made available under the terms of the eclipse public license v(?:ersion)? ?2 0", 4),
+    Rule("cddl-1.0", "distribution", "the contents of this file are subject to the terms of the common development and distribution license", 4),
+    Rule("zlib", "express", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 4),
+    Rule("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 4),
+    Rule("wtfpl", "license", "do what the fuck you want to public license", 4),
+    Rule("cc0-1.0", "law", "to the extent possible under law(?: [^ ]+){1,20}? has waived all copyright", 4),
+    Rule("perl", "perl", "under the same terms as perl(?: itself)?", 3),
+    Rule("openssl", "openssl", "this product includes software developed by the openssl project", 4),
+    Rule("python-2.0", "psf", "psf license agreement for python", 4),
+    Rule("bsl-1.0", "boost", "distributed under the boost software license version 1 0", 4),
+    Rule("gfdl", "gnu", "gnu free documentation license", 2),
+    Rule("bsd", "bsd", "bsd(?: style| type)? licen[cs]e", 1),
+    Rule("gpl", "gpl", "(?:gnu )?gpl licen[cs]e", 1),
+    Rule("lgpl", "lgpl", "(?:gnu )?lgpl licen[cs]e", 1),
+    Rule("agpl", "agpl", "(?:gnu )?agpl licen[cs]e", 1),
+)
 _GRANT = (
     "(?:licensed|(?:licensed|released|distributed|published|available|provided|redistributed)"
-    " (?:under|according to|subject to))(?: the)?(?: terms(?: and conditions)? of)?(?: the)? "
+    " (?:under|according to|subject to))(?: the| an?)?(?: terms(?: and conditions)? of)?(?: the)? "
 )
+_HEADER = "licen[cs]e(?: type| name)?(?: is)?(?: the)? "
+
+
+def _gnu_rules() -> list[Rule]:
+    """The names, abbreviations and notices of the GNU family, by version and what follows it."""
+    found = []
+    for short, words, versions in _GNU:
+        found.append(Rule(short, short, f"(?:{_HEADER}|{_GRANT})(?:gnu )?{short}", 2))
+        for version in versions:
+            major, minor = version.split(".")
+            number = f"{major} {minor}" if minor != "0" else f"{major}(?: 0)?"
+            name = f"(?:gnu {words}|(?:gnu )?{short})(?: version| v|v)? ?{number}"
+            notice = f"gnu {words} as published by the free software foundation(?: either)?(?: version| v)? ?{number}(?: of the license)?"
+            # Words by which a name or notice can be told: each is tried under one of them.
+            keywords = ("gnu", short, f"{short}v{major}", f"{short}{major}")
+            for more, onwards in _ONWARDS.items():
+                label = f"{short}-{version}{more}"
+                tag = f"{short} {major} {minor}{more.replace('-', ' ')}"
+                found += [
+                    Rule(label, "spdx", f"spdx license identifier {tag}", 4),
+                    Rule(label, "gnu", f"{notice}{onwards}", 4),
+                ]
+                for word in keywords:
+                    found += [
+                        Rule(label, word, f"{_GRANT}{name}{onwards}(?: licen[cs]e)?", 3),
+                        Rule(label, word, f"(?:{_HEADER})?{name}{onwards}(?: licen[cs]e)?", 2),
+                    ]
+    return found
 
 
 def rules() -> tuple[Rule, ...]:
-    """All signatures in order of priority, from four forms of each name.
+    """All signatures in order of priority: wordings, the GNU family, and four forms of each other name.
 
     4: an SPDX tag or a whole grant; 3: a sentence that licenses under the name;
-    2: the name with the word "license"; 1: an address that names it, or a bare mention.
+    2: the name before or behind the word "license"; 1: an address that names it, or a bare mention.
     """
     names = [(label, keyword, pattern, label.replace("-", " ").replace(".", " ")) for label, keyword, pattern in _NAMED]
     for part, words in _COMMONS_PARTS.items():
         for version in _COMMONS_VERSIONS:
             label = f"cc-{part.replace(' ', '-')}-{version.replace(' ', '.')}"
-            pattern = f"(?:cc {part}|creative commons {words})(?: licen[cs]e)?(?: version| v)? ?{version}"
+            pattern = f"(?:cc {part}|creative commons {words})(?: licen[cs]e)?(?: version| v)? ?{version}(?: international| unported)?"
             names.append((label, "cc|commons", pattern, f"cc {part} {version}"))
-    found = list(_OTHER)
+    found = [*_OTHER, *_gnu_rules()]
+    found += [Rule(label, "bsd", f"(?:{_HEADER}|{_GRANT})(?:{words})", 2) for label, words in (("bsd", "bsd"), ("bsd-2-clause", "2 clause bsd"))]
     for label, keyword, pattern, tag in names:
         found += [
-            Rule(label, "spdx", f"spdx license identifier {tag}(?: only| or later)?", 4),
+            Rule(label, "spdx", f"spdx license identifier {tag}", 4),
             Rule(label, "licenses", f"(?:opensource org|spdx org|creativecommons org) licenses {tag.removeprefix('cc ')}", 1),
         ]
         # A name that says what it is needs no such word behind it.
@@ -139,6 +197,7 @@ def rules() -> tuple[Rule, ...]:
         for word in keyword.split("|"):
             found += [
                 Rule(label, word, f"{_GRANT}(?:{pattern})(?: licen[cs]e)?", 3),
+                Rule(label, word, f"{_HEADER}(?:{pattern})", 2),
                 Rule(label, word, f"(?:{pattern}){named}", 2),
             ]
     return tuple(sorted(found, key=lambda r: -r.priority))
@@ -172,17 +231,14 @@ def _detections(text: Column, rules_: tuple[Rule, ...]) -> Column:
     ``text`` is a column of words with one blank around each; being a column, it isn't
     put together anew for each rule.
     """
-    by_keyword: dict[str, list[Column]] = {}
+    by_keyword: dict[str, list[dict]] = {}
     for r in rules_:
-        by_keyword.setdefault(r.keyword, []).append(
-            F.struct(
-                F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"),
-                F.lit(r.priority).alias("priority"),
-                F.lit(r.label).alias("label"),
-            )
-        )
-    table = F.array(
-        *(F.struct(F.lit(f" {word} ").alias("keyword"), F.array(*some).alias("rules")) for word, some in by_keyword.items())
+        entry = {"pattern": f"(?<= )(?:{r.pattern})(?= )", "priority": r.priority, "label": r.label}
+        by_keyword.setdefault(r.keyword, []).append(entry)
+    # One constant, which is folded once; an expression for each rule would take long to analyse.
+    table = F.from_json(
+        F.lit(json.dumps([{"keyword": f" {word} ", "rules": some} for word, some in by_keyword.items()])),
+        "array<struct<keyword:string,rules:array<struct<pattern:string,priority:int,label:string>>>>",
     )
 
     def places(rule: Column) -> Column:
@@ -263,7 +319,7 @@ def scan_licenses(docs: DataFrame, rules_: tuple[Rule, ...] = RULES, doc_id: str
     ``base`` has ``at, label`` of each place of a base phrase; ``detections`` has
     ``start, end, priority, label`` of what no stronger detection holds; all in words
     from 0. Null and empty texts have no words. Repeated rows come out as often as they
-    are there; columns besides the two are ignored.
+    are there; columns besides the two are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(docs, text).alias("_text"))
     gate = F.col("_text").rlike(_gate(rules_))
