@@ -114,3 +114,7 @@ class ComparisonError(ValueError):
 
 class OptimizationFailureError(ValueError):
     """A solver that found no acceptable vector."""
+
+
+class StorageError(RuntimeError):
+    """No folder that the whole cluster shares."""
