@@ -174,6 +174,11 @@ def test_calendar(spark):
     with pytest.raises(errors.GridDeclarationError):
         cal.require_increasing(grid.withColumn("ord", -F.col("ord")))
     assert cal.horizon_seconds("2 days, 1:00:01") == 2 * 86400 + 3601
+    for bad in ("-1 days, 1:00:00", "0:00:00", "1:99:00", "24:00:00"):
+        with pytest.raises(errors.GridDeclarationError):
+            cal.horizon_seconds(bad)
+    with pytest.raises(errors.ProtocolStructureError):
+        cal.quarter_end_refits(spark, day(1), day(1, 6), 0, "x")
 
 
 # Diagnostics.
@@ -184,7 +189,7 @@ def test_quantiles_and_ties(spark):
         row = dia.describe(obs(spark, [("FF/s", day(i + 1), day(i + 1), v) for i, v in enumerate(values)])).first()
         assert (row.q25, row.median, row.q75) == want and row.series_id == "s"
     one = dia.describe(obs(spark, [("s", day(1), day(1), 1)])).first()
-    assert one["std"] is None and one.undefined == ["std_needs_two_values"]
+    assert one["std"] is None and one.undefined == ["insufficient_n"]
     a = [("a", day(d), day(d), v) for d, v in ((1, 1), (2, 2), (3, 2), (4, 4))]
     b = [("b", day(d), day(d), v) for d, v in ((1, 10), (2, 30), (3, 20), (4, 40))]
     c = [("c", day(d), day(d), 1) for d in (1, 2, 3, 4)]
@@ -379,6 +384,66 @@ def test_tables(spark):
         tables.from_csv(spark, "s,o,v\nA,2024-01-01T00:00:00Z,1\n", explicit)
     with pytest.raises(errors.InvalidChronologyError):
         tables.from_csv(spark, "s,o,v,a\nA,2024-01-02T00:00:00Z,1,2024-01-01T00:00:00Z\n", explicit)
+    # Cells in quotes, and a row shorter than the header.
+    quoted = 's,o,v,"more, or less"\n"A ""1""",2024-01-01T00:00:00Z,"x\ny",z\nB,2024-01-01T00:00:00Z\n'
+    rows = {(r.series_id, r.value_str, r.value_kind) for r in tables.from_csv(spark, quoted, declared).collect()}
+    assert rows == {('A "1"', "x\ny", "str"), ("B", None, "null")}
+
+
+def test_storage_on_a_cluster_needs_a_named_folder():
+    from vintara import storage
+
+    assert [m for m in ("local", "local[4]", "local[*]", "local-cluster[2,1,1024]", "yarn", "spark://h:7077") if storage.runs_in_one_process(m)] == ["local", "local[4]", "local[*]"]
+
+
+def test_running_totals_in_buckets(spark):
+    from vintara.operators.buckets import running
+
+    rng = np.random.default_rng(3)
+    rows = [("hot" if rng.random() < 0.7 else "x", int(rng.integers(0, 40)), float(rng.integers(0, 9))) for _ in range(400)] + [(None, 1, None)]
+    frame = spark.createDataFrame(rows, "g string, k int, v double")
+    got = running(frame, ["g"], ["k"], {"total": ("sum", F.col("v")), "top": ("max", F.col("v")), "n": ("count", F.col("v"))}, rows=30).collect()
+    want = []
+    for g, k, v in rows:
+        upto = [w for h, q, w in rows if h == g and q <= k and w is not None]
+        want.append((g, k, v, sum(upto) if upto else None, max(upto, default=None), len(upto)))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_series_of_one_local_id_are_rejected(spark):
+    rows = [(f"{p}/a", day(d), day(d), d) for p in "xy" for d in (1, 2, 3, 4)]
+    for report in (dia.describe, dia.correlation, dia.series_table):
+        with pytest.raises(errors.AmbiguousObservationError):
+            report(obs(spark, rows))
+
+
+def test_comparisons_carry_every_declaration(spark):
+    measured = spark.createDataFrame([(s, *([float(i)] * 6)) for i, s in enumerate("abc")], ", ".join(["strategy_id string", *(f"{m} double" for m in met.METRICS)]))
+    under = lambda gamma, path="main": compare.observations(measured, basis="net", periods_per_year=12, gamma=gamma, risk_free=0.0, path=path)
+    records = under(1.0).where("strategy_id = 'a'").unionByName(under(2.0).where("strategy_id = 'a'")).unionByName(under(1.0, "other").where("strategy_id = 'b'"))
+    spec = compare.ComparisonSpec({"a": "target", "b": "comparator", "z": "benchmark"}, ("sharpe_ratio",), {"z": "a market"})
+    table = compare.ComparisonTable.of(spec, records)
+    (_, verdict, some), = table.rows
+    assert verdict == "missing_values" and [c.status for c in some] == ["ok", "missing_path", "missing_record"]
+    assert some[0].observations == (("net", 12, 1.0, 0.0, 0.0), ("net", 12, 2.0, 0.0, 0.0))
+    assert compare.ComparisonTable.from_json(table.to_json()) == table and "z (benchmark, a market)" in table.render()
+    alone = compare.ComparisonTable.of(compare.ComparisonSpec({"a": "target"}, ("sharpe_ratio",)), records)
+    assert alone.rows[0][1] == "multiple_declaration_sets"
+    with pytest.raises(errors.ComparisonError):
+        compare.cells(spark.createDataFrame([("a",)], "strategy_id string"), ["sharpe_ratio"], records.withColumn("value", F.lit(float("inf"))))
+
+
+def test_a_long_ledger_is_linear(spark):
+    n = 100_000
+    at = F.timestamp_micros(F.col("id") * 60_000_000)
+    instants = spark.range(n + 1).select(F.lit("s").alias("strategy_id"), at.alias("instant"))
+    growth = spark.range(n).select(at.alias("instant"), F.lit("A").alias("asset"), F.lit(1.0).alias("g"))
+    growth = growth.unionByName(growth.withColumn("asset", F.lit("B")))
+    initial = spark.createDataFrame([("s", "A", 0.5), ("s", "B", 0.5)], "strategy_id string, asset string, weight double")
+    every = spark.range(1, n, 7).select(F.lit("s").alias("strategy_id"), at.alias("execution_time"))
+    decisions = every.withColumns({"asset": F.lit("A"), "weight": F.lit(0.5)}).unionByName(every.withColumns({"asset": F.lit("B"), "weight": F.lit(0.5)}))
+    found = led.build_ledger(initial, instants, decisions, growth, 0.001)
+    assert found.count() == n and found.where("gross_return <> 0 OR turnover <> 0").count() == 0
 
 
 def archive(member, text):
@@ -394,7 +459,7 @@ def test_factor_files(spark):
     data = archive(file.member, lines)
     got = {(r.series_id.split("/")[-1], r.period_key, r.value) for r in factors.load(spark, "factors", data=data).collect()}
     assert got == {("Mkt-RF", "202401", 1.5), ("RF", "202401", 0.1), ("SMB", "202402", 2.5), ("RF", "202402", 0.1)}
-    rows, source = factors.decode(spark, data, "factors_monthly_csv", tables.Availability.same_instant())
+    rows, source = factors.decode(spark, data, "factors_monthly_csv", tables.Availability.same_instant(), "UTC")
     assert utc(rows.agg(F.max("observation_time")).first()[0]) == datetime(2024, 2, 29, 23, 59, 59, 999999, UTC)
     text = archive(factors.CATALOG["factors_monthly_txt"].member, "x\n\n  Mkt-RF  SMB  RF\n202401  1.5 -99.99 0.1\n202402 -999 2.5 0.1\n")
     assert factors.decode_unqualified(spark, text, "factors_monthly_txt").count() == 4
@@ -403,14 +468,14 @@ def test_factor_files(spark):
     with pytest.raises(errors.UnknownDatasetError):
         factors.resolve("nothing")
     with pytest.raises(errors.ProviderResponseError):
-        factors.decode(spark, data, "factors_monthly_csv", tables.Availability.same_instant(), sha256="0" * 64)
+        factors.decode(spark, data, "factors_monthly_csv", tables.Availability.same_instant(), "UTC", sha256="0" * 64)
     whole = dataset.Dataset(
         factors.decode_unqualified(spark, data, "factors_monthly_csv"), source,
         lambda policy, tz: factors.decode(spark, data, "factors_monthly_csv", policy, tz)[0],
     )
     with pytest.raises(errors.UnqualifiedDataError):
         whole.to_information_set(day(1))
-    qualified = whole.qualify(tables.Availability.same_instant())
+    qualified = whole.qualify(tables.Availability.same_instant(), "UTC")
     assert qualified.to_information_set(day(1)).count() == 4 and qualified.same_as(qualified) and len(whole.to_pandas()) == 4
 
 
@@ -421,16 +486,22 @@ def test_macro_series(spark):
     ).encode()
     got = {(r.period_key, r.value) for r in macro.load(spark, "X", frequency="Monthly", data=data).collect()}
     assert got == {("2024-01", 1.5), ("2024-04", 2.0)}
-    rows = macro.decode(spark, data, "X", tables.Availability.same_instant(), frequency="Quarterly", retrieved=day(12, 9))
+    rows = macro.decode(spark, data, "X", tables.Availability.same_instant(), frequency="Quarterly", tz="UTC", retrieved=day(12, 9))
     got = rows.orderBy("observation_time").collect()
     assert [utc(r.observation_time).month for r in got] == [3, 6] and {utc(r.available_time) for r in got} == {day(12, 9)}
     macro.require_snapshot_recency(rows, day(12, 9))
+    # Bytes without a retrieval are known from the end of the day that they name themselves.
+    unknown = macro.load(spark, "X", frequency="Monthly", data=data, availability=tables.Availability.same_instant(), tz="UTC").collect()
+    assert {utc(r.available_time) for r in unknown} == {datetime(2026, 9, 12, 23, 59, 59, 999999, UTC)}
+    for half in ({"availability": tables.Availability.same_instant()}, {"tz": "UTC"}):
+        with pytest.raises(errors.MissingAvailabilityError):
+            macro.load(spark, "X", frequency="Monthly", data=data, **half)
     with pytest.raises(errors.PseudoVintageError):
         macro.require_snapshot_recency(rows, day(13, 9))
     with pytest.raises(errors.PseudoVintageError):
-        macro.decode(spark, data, "X", tables.Availability.same_instant(), frequency="Monthly", retrieved=day(1), data_mode="POINT_IN_TIME")
+        macro.decode(spark, data, "X", tables.Availability.same_instant(), frequency="Monthly", tz="UTC", retrieved=day(1), data_mode="POINT_IN_TIME")
     with pytest.raises(errors.UnsupportedFrequencyError):
-        macro.decode(spark, data, "X", tables.Availability.same_instant(), frequency="Weekly", retrieved=day(1))
+        macro.decode(spark, data, "X", tables.Availability.same_instant(), frequency="Weekly", tz="UTC", retrieved=day(1))
     with pytest.raises(errors.UnknownProviderSeriesError):
         macro.load(spark, "X", frequency="Monthly", data=b'{"error_code": 400, "error_message": "no"}')
     with pytest.raises(ValueError):

@@ -120,7 +120,11 @@ def month_end_refits(spark: SparkSession, start: datetime, end: datetime, every_
 
 def quarter_end_refits(spark: SparkSession, start: datetime, end: datetime, every_quarters: int, role: str, tz: str = "UTC") -> DataFrame:
     """As :func:`month_end_refits`, over ends of calendar quarters."""
+    if every_quarters < 1:
+        raise ProtocolStructureError("a cadence is of at least one quarter")
     a, b = require_instant(start, "start"), require_instant(end, "end")
+    if a >= b:
+        raise InvalidChronologyError("start must be before end")
     local = a.astimezone(ZoneInfo(tz))
     count = (b.year - a.year + 1) * 4 // every_quarters + 2
     grid = period_end_schedule(spark, local.year, 3 * ((local.month - 1) // 3 + 1), count, 3 * every_quarters, tz)
@@ -165,13 +169,16 @@ def realization_violations(df: DataFrame) -> DataFrame:
     return df.where(~F.coalesce(lawful, F.lit(False)))
 
 
-_HORIZON = re.compile(r"(?:(-?\d+) days?, )?(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{6}))?")
+_HORIZON = re.compile(r"(?:(\d+) days?, )?(\d|1\d|2[0-3]):([0-5]\d):([0-5]\d)(?:\.(\d{6}))?")
 
 
 def horizon_seconds(text: str) -> float:
-    """Seconds of ``N days, H:MM:SS``."""
+    """Seconds of ``N days, H:MM:SS``, more than none."""
     found = _HORIZON.fullmatch(text)
     if not found:
         raise GridDeclarationError(f"not a horizon: {text!r}")
     days, hours, minutes, seconds, micros = (int(x or 0) for x in found.groups())
-    return days * 86400 + hours * 3600 + minutes * 60 + seconds + micros / 1e6
+    total = days * 86400 + hours * 3600 + minutes * 60 + seconds + micros / 1e6
+    if total <= 0:
+        raise GridDeclarationError(f"a horizon is positive: {text!r}")
+    return total

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintara.checks import repeated, require_none
 from vintara.errors import AmbiguousObservationError, GridDeclarationError
+from vintara.operators.buckets import running
+from vintara.storage import saved
 
 METHODS, DELETIONS, LEAST_OVERLAP = ("pearson", "spearman"), ("listwise", "pairwise"), 3
 
@@ -29,38 +31,69 @@ def _kind(df: DataFrame) -> Column:
     return F.when(F.col("value").isNull(), "null").otherwise("number")
 
 
+def require_local_ids(df: DataFrame) -> DataFrame:
+    """``df``, unless two of its series have one local id: a report names series by it."""
+    names = df.select("series_id").distinct().groupBy(local_id(F.col("series_id")).alias("local")).count()
+    require_none(names.where("count > 1"), AmbiguousObservationError, "two series of one local id")
+    return df
+
+
 def describe(df: DataFrame, key: str = "observation_time") -> DataFrame:
-    """One row for each series: counts by kind, moments, quantiles (type 7) and keys.
+    """One row for each series: counts by kind, moments, quantiles (type 7) and number of keys.
 
-    ``undefined`` names the measures that too few numbers leave undefined.
+    ``undefined`` names the measures that too few numbers leave undefined. Quantiles are
+    read off the running counts of distinct values, which are taken in range buckets, so a
+    series of any length is spread over tasks. The keys themselves are :func:`described_keys`.
     """
+    rows = require_local_ids(df).withColumn("_kind", _kind(df))
     number = F.when(F.col("_kind") == "number", F.col("value"))
-    quantiles = F.percentile(number, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = (
-        df.withColumn("_kind", _kind(df))
-        .groupBy("series_id")
-        .agg(
-            F.count(number).alias("n"),
-            F.avg(number).alias("mean"),
-            F.stddev_samp(number).alias("std"),
-            F.min(number).alias("min"),
-            F.max(number).alias("max"),
-            quantiles.alias("_q"),
-            *(F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in ("bool", "str", "null")),
-            F.count_distinct(key).alias("n_keys"),
-            F.array_sort(F.collect_set(key)).alias("keys"),
-        )
+    counts = rows.groupBy("series_id").agg(
+        F.count(number).alias("n"),
+        F.avg(number).alias("mean"),
+        F.stddev_samp(number).alias("std"),
+        F.min(number).alias("min"),
+        F.max(number).alias("max"),
+        *(F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in ("bool", "str", "null")),
     )
-    undefined = F.when(F.col("n") == 0, F.array(F.lit("no_numeric_values"))).when(
-        F.col("n") == 1, F.array(F.lit("std_needs_two_values"))
+    keys = described_keys(df, key).groupBy(F.col("series_id").alias("_local")).agg(F.count(F.lit(1)).alias("n_keys"))
+    local = local_id(F.col("series_id"))
+    shares = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    found = counts.join(keys, local == F.col("_local")).join(_quantiles(rows.where("_kind = 'number'"), shares), "series_id", "left")
+    undefined = F.when(F.col("n") == 0, F.array(F.lit("insufficient_n"), F.lit("no_numeric_values"))).when(
+        F.col("n") == 1, F.array(F.lit("insufficient_n"))
     ).otherwise(F.array().cast("array<string>"))
-    return out.select(
-        local_id(F.col("series_id")).alias("series_id"), "n", "mean", "std", "min", "max",
-        F.get("_q", 0).alias("q25"), F.get("_q", 1).alias("median"), F.get("_q", 2).alias("q75"),
-        "n_bool", "n_str", "n_null", "n_keys", "keys", undefined.alias("undefined"),
+    return found.select(
+        local.alias("series_id"), "n", "mean", "std", "min", "max", *shares,
+        "n_bool", "n_str", "n_null", "n_keys", undefined.alias("undefined"),
     )
 
 
+def described_keys(df: DataFrame, key: str = "observation_time") -> DataFrame:
+    """``series_id`` (local) and key: the distinct keys of each series."""
+    return df.select(local_id(F.col("series_id")).alias("series_id"), key).distinct()
+
+
+def _quantiles(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of ``value`` for each series: between the two ranks that ``h = (n - 1) p`` lies between."""
+    counts = rows.groupBy("series_id", "value").agg(F.count(F.lit(1)).alias("_c"))
+    placed = running(counts, ["series_id"], ["value"], {"_upto": ("sum", F.col("_c"))})
+    n = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n"))
+    placed = placed.join(n, "series_id")
+    first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1  # ranks from 0 that the value takes
+    aggregates = []
+    for name, p in shares.items():
+        h = (F.col("_n") - 1) * p
+        for side, rank in (("low", F.floor(h)), ("high", F.ceil(h))):
+            aggregates.append(F.max(F.when(rank.between(first, last), F.col("value"))).alias(f"_{name}_{side}"))
+    found = placed.groupBy("series_id", "_n").agg(*aggregates)
+    columns = []
+    for name, p in shares.items():
+        h = (F.col("_n") - 1) * p
+        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+        columns.append((low + (h - F.floor(h)) * (high - low)).alias(name))
+    return found.select("series_id", *columns)
+
+
 def coverage(df: DataFrame, key: str = "observation_time") -> DataFrame:
     """One row for each series: records, distinct keys, keys held twice, kinds.
 
@@ -101,10 +134,15 @@ def missingness(df: DataFrame, expected: DataFrame, key: str = "observation_time
     return out.withColumn("observed_fraction_of_expected", F.try_divide(met, F.col("expected_n")))
 
 
-def average_rank(value: Column | str, by: Window) -> Column:
-    """Ranks from 1; equal values share their mean rank. ``by`` is a partition without order."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(by.partitionBy(value)) - 1) / 2.0
+def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with ranks from 1 within ``by``; equal values share their mean rank.
+
+    Ranks come from running counts of distinct values, taken in range buckets.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running(counts, by, [value], {"_upto": ("sum", F.col("_c"))})
+    rank = F.col("_upto") - (F.col("_c") - 1) / 2.0
+    return rows.join(upto.select(*by, value, rank.alias(name)), [*by, value])
 
 
 def correlation(
@@ -121,6 +159,7 @@ def correlation(
     if min_overlap < LEAST_OVERLAP:
         raise GridDeclarationError(f"an overlap is of at least {LEAST_OVERLAP}")
     require_none(repeated(df, ["series_id", key]), AmbiguousObservationError, "a key is there more than once")
+    require_local_ids(df)
     rows = df.where(F.col("value").isNotNull()).select(local_id(F.col("series_id")).alias("s"), F.col(key).alias("k"), F.col("value").alias("v"))
     series = rows.select("s").distinct()
     if deletion == "listwise":
@@ -131,12 +170,8 @@ def correlation(
     b = rows.select(F.col("s").alias("second"), "k", F.col("v").alias("y"))
     pairs = a.join(b, "k").where("first <= second")
     if method == "spearman":
-        ranks = [
-            F.rank().over(Window.partitionBy("first", "second").orderBy(c))
-            + (F.count(F.lit(1)).over(Window.partitionBy("first", "second", c)) - 1) / 2.0
-            for c in ("x", "y")
-        ]
-        pairs = pairs.select("first", "second", "k", ranks[0].alias("x"), ranks[1].alias("y"))
+        pairs = average_ranks(average_ranks(saved(pairs), ["first", "second"], "x", "_x"), ["first", "second"], "y", "_y")
+        pairs = pairs.select("first", "second", "k", F.col("_x").alias("x"), F.col("_y").alias("y"))
     stats = pairs.groupBy("first", "second").agg(
         F.count(F.lit(1)).alias("n"),
         F.covar_pop("x", "y").alias("_xy"),
@@ -156,7 +191,7 @@ def correlation(
 
 def series_table(df: DataFrame, series: list[str] | None = None, key: str = "observation_time") -> DataFrame:
     """Keys as rows, series as columns in order of their names."""
-    named = df.withColumn("_s", local_id(F.col("series_id")))
+    named = require_local_ids(df).withColumn("_s", local_id(F.col("series_id")))
     pivot = named.groupBy(key)
     pivot = pivot.pivot("_s", series) if series else pivot.pivot("_s")
     return pivot.agg(F.first("value")).orderBy(key)

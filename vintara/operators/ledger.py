@@ -34,26 +34,32 @@ def periods_of(instants: DataFrame, by: tuple[str, ...] = ("strategy_id",)) -> D
 
 
 def _segments(instants: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Segments of each strategy with their spell and whether an execution opens them.
+    """Segments of each strategy with their spell, their period and whether an execution opens them.
 
-    ``instants`` has each strategy's accounting instants, the last of which closes the path.
+    ``instants`` has each strategy's accounting instants, the last of which closes the path;
+    each opens a segment, so their running number is the period that a segment belongs to.
     """
     executions = decisions.select("strategy_id", F.col("execution_time").alias("instant")).distinct().withColumn("trade", F.lit(1))
     last = instants.groupBy("strategy_id").agg(F.max("instant").alias("_end"))
     starts = (
-        instants.select("strategy_id", "instant")
+        instants.select("strategy_id", "instant", F.lit(1).alias("point"))
         .distinct()
         .join(executions, ["strategy_id", "instant"], "full")
         .join(last, "strategy_id")
         .where(F.col("instant") < F.col("_end"))
-        .select("strategy_id", "instant", F.coalesce("trade", F.lit(0)).alias("trade"))
+        .select("strategy_id", "instant", F.coalesce("trade", F.lit(0)).alias("trade"), F.coalesce("point", F.lit(0)).alias("point"))
     )
     ordered = Window.partitionBy("strategy_id").orderBy("instant")
-    return starts.withColumn("spell", F.sum("trade").over(ordered)).withColumn("segment", F.row_number().over(ordered))
+    return starts.select(
+        "strategy_id", "instant", "trade",
+        F.sum("trade").over(ordered).alias("spell"),
+        F.row_number().over(ordered).alias("segment"),
+        (F.sum("point").over(ordered) - 1).alias("period"),
+    )
 
 
 def ledger_weights(initial: DataFrame, instants: DataFrame, decisions: DataFrame, factors: DataFrame) -> DataFrame:
-    """``strategy_id, spell, segment, instant, asset, base, opening, closing, value``.
+    """``strategy_id, spell, segment, period, instant, asset, base, opening, closing, value``.
 
     ``initial`` has ``strategy_id, asset, weight``; ``instants`` ``strategy_id, instant``;
     ``decisions`` ``strategy_id, execution_time, asset, weight``; ``factors`` ``instant,
@@ -74,35 +80,35 @@ def ledger_weights(initial: DataFrame, instants: DataFrame, decisions: DataFrame
     return grown.withColumn("value", F.sum(F.col("base") * F.col("_c")).over(book)).withColumn(
         "value_before", F.sum(F.col("base") * F.col("_open")).over(book)
     ).select(
-        "strategy_id", "spell", "segment", "instant", "trade", "asset", "base", "g", "value_before", "value",
+        "strategy_id", "spell", "segment", "period", "instant", "trade", "asset", "base", "g", "value_before", "value",
         F.try_divide(F.col("base") * F.col("_open"), F.col("value_before")).alias("opening"),
         F.try_divide(F.col("base") * F.col("_c"), F.col("value")).alias("closing"),
     )
 
 
 def executions(weights: DataFrame, rate: float, measure: str = "one_way", initial: DataFrame | None = None) -> DataFrame:
-    """``strategy_id, execution_time, turnover, q`` of each execution.
+    """``strategy_id, execution_time, segment, period, turnover, q`` of each execution.
 
     The book before a trade is the one that the segment before closes with; a trade that
     opens the path meets the ``initial`` book.
     """
     half = 0.5 if measure == "one_way" else 1.0
-    opened = weights.where("trade = 1").select("strategy_id", "segment", "instant", "asset", F.col("base").alias("target"))
+    opened = weights.where("trade = 1").select("strategy_id", "segment", "period", "instant", "asset", F.col("base").alias("target"))
     closed = weights.select("strategy_id", (F.col("segment") + 1).alias("segment"), "asset", F.col("closing").alias("pre"))
     if initial is not None:
         closed = closed.unionByName(
             initial.select("strategy_id", F.lit(1).alias("segment"), "asset", F.col("weight").alias("pre"))
         )
-    times = opened.select("strategy_id", "segment", "instant").distinct()
+    times = opened.select("strategy_id", "segment", "period", "instant").distinct()
     closed = closed.join(times.select("strategy_id", "segment"), ["strategy_id", "segment"], "left_semi")
     delta = F.abs(F.coalesce("target", F.lit(0.0)) - F.coalesce("pre", F.lit(0.0)))
     return (
-        opened.drop("instant")
+        opened.drop("instant", "period")
         .join(closed, ["strategy_id", "segment", "asset"], "full")
         .groupBy("strategy_id", "segment")
         .agg((half * F.sum(delta)).alias("turnover"))
         .join(times, ["strategy_id", "segment"])
-        .select("strategy_id", F.col("instant").alias("execution_time"), "segment", "turnover", (rate * F.col("turnover")).alias("q"))
+        .select("strategy_id", F.col("instant").alias("execution_time"), "segment", "period", "turnover", (rate * F.col("turnover")).alias("q"))
     )
 
 
@@ -131,17 +137,9 @@ def build_ledger(
     if checked:
         _require_lawful(initial, instants, decisions, weights, trades)
     periods = periods_of(instants)
-    values = weights.select("strategy_id", "segment", "instant", F.try_divide("value", "value_before").alias("d")).distinct()
-    inside = lambda t: (F.col(t) >= F.col("period_start")) & (F.col(t) < F.col("period_end"))
-    gross = (
-        periods.join(values, "strategy_id").where(inside("instant")).groupBy("strategy_id", "period").agg(F.product("d").alias("_gross"))
-    )
-    cost = (
-        periods.join(trades, "strategy_id")
-        .where(inside("execution_time"))
-        .groupBy("strategy_id", "period")
-        .agg(F.product(1 - F.col("q")).alias("_cost"), F.sum("turnover").alias("turnover"))
-    )
+    values = weights.select("strategy_id", "period", "segment", F.try_divide("value", "value_before").alias("d")).distinct()
+    gross = values.groupBy("strategy_id", "period").agg(F.product("d").alias("_gross"))
+    cost = trades.groupBy("strategy_id", "period").agg(F.product(1 - F.col("q")).alias("_cost"), F.sum("turnover").alias("turnover"))
     rows = periods.join(gross, ["strategy_id", "period"]).join(cost, ["strategy_id", "period"], "left")
     factor = F.coalesce("_cost", F.lit(1.0))
     rows = rows.withColumn("_net", F.col("_gross") * factor)

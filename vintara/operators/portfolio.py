@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintara.checks import require_none, require_same_keys
+from vintara.checks import require_none
 from vintara.errors import ConfigurationError, ExecutionError
+from vintara.storage import saved
 
 STATES = ("TARGET", "PRE_TRADE", "POST_TRADE")
 TURNOVERS = ("one_way", "two_sided")
@@ -72,11 +73,16 @@ def drift(books: DataFrame, factors: DataFrame, by: Sequence[str], factor_by: Se
     Universes of books and factors must be the same; a book must keep a positive value.
     """
     keys = [*(factor_by if factor_by is not None else by), "asset"]
-    require_same_keys(books, factors, keys, ExecutionError, "books and factors hold different assets")
+    # One pass, read back: what is checked isn't computed again for the result.
+    held, grows = F.col("weight").isNotNull(), F.col("g").isNotNull()
+    both = books.select(*books.columns, F.lit(True).alias("_held")).join(factors.withColumn("_grown", F.lit(True)), keys, "full")
     total = F.sum(F.col("weight") * F.col("g")).over(Window.partitionBy(*by))
-    grown = books.join(factors, keys).withColumn("growth", total)
+    grown = saved(both.withColumn("growth", total))
+    apart = F.col("_held").isNull() | F.col("_grown").isNull()
+    require_none(grown.where(apart | ~held | ~grows), ExecutionError, "books and factors hold different assets")
     require_none(grown.where(~F.coalesce(F.col("growth") > 0, F.lit(False))), ExecutionError, "a book lost all its value")
-    return grown.withColumn("weight", F.try_divide(F.col("weight") * F.col("g"), F.col("growth")) + F.lit(0.0))
+    weight = F.try_divide(F.col("weight") * F.col("g"), F.col("growth")) + F.lit(0.0)
+    return grown.drop("_held", "_grown").withColumn("weight", weight)
 
 
 def execute(targets: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -24,13 +26,13 @@ _TARGETS = """targets AS (
     UNION ALL SELECT 'equal_weight', decision_time, asset, 1.0 / count(*) OVER (PARTITION BY decision_time) FROM inverse_vol)"""
 
 
-def _windows(spark, sf_dir):
-    returns = views.panel(spark, sf_dir).select("asset", F.col("month").alias("t"), "available_time", "r")
-    return alloc.decision_windows(returns, views.decisions(spark, sf_dir), views.WINDOW, checked=False)
+def _windows(market):
+    returns = market.panel.select("asset", F.col("month").alias("t"), "available_time", "r")
+    return alloc.decision_windows(returns, market.decisions, views.WINDOW, checked=False)
 
 
-def _targets(spark, sf_dir):
-    inverse = alloc.inverse_volatility(_windows(spark, sf_dir))
+def _targets(market):
+    inverse = alloc.inverse_volatility(_windows(market))
     equal = alloc.equal_weight(inverse.select("decision_time", "asset"))
     named = lambda df, name: df.select(F.lit(name).alias("strategy_id"), "decision_time", "asset", "weight")
     return saved(named(inverse, "inverse_vol").unionByName(named(equal, "equal_weight")))
@@ -163,14 +165,14 @@ _PATH = f"""WITH RECURSIVE {_LEDGER},
            d * (1 - {RATE} * turnover) - 1 AS net_return, {RATE} * turnover AS transaction_cost FROM path)"""
 
 
-def ledger_inputs(spark, sf_dir, targets=None):
+def ledger_inputs(market, targets=None):
     """Initial books, instants, decisions and factors of the strategies' path.
 
     The path opens with the first decision's targets as the initial book.
     """
-    targets = _targets(spark, sf_dir) if targets is None else targets
-    months = views.months(spark, sf_dir)
-    first = views.decisions(spark, sf_dir).agg(F.min("decision_time").alias("first"))
+    targets = _targets(market) if targets is None else targets
+    months = market.months
+    first = market.decisions.agg(F.min("decision_time").alias("first"))
     last = months.agg(F.max("instant").alias("last"))
     # Decisions at the last instant aren't executed on the path.
     begun = targets.join(F.broadcast(first), F.col("decision_time") >= F.col("first")).join(
@@ -180,12 +182,11 @@ def ledger_inputs(spark, sf_dir, targets=None):
     decisions = begun.where("decision_time > first").select("strategy_id", F.col("decision_time").alias("execution_time"), "asset", "weight")
     at = months.join(F.broadcast(first), F.col("instant") >= F.col("first")).select("instant")
     instants = targets.select("strategy_id").distinct().join(small(at), F.lit(True))
-    factors = views.panel(spark, sf_dir).select(F.col("month").cast("timestamp").alias("instant"), "asset", "g")
-    return initial, instants, decisions, factors
+    return initial, instants, decisions, market.factors
 
 
 def strategy_ledger(spark, sf_dir, targets=None, checked=False):
-    return saved(led.build_ledger(*ledger_inputs(spark, sf_dir, targets), rate=RATE, checked=checked))
+    return saved(led.build_ledger(*ledger_inputs(views.Market(spark, sf_dir), targets), rate=RATE, checked=checked))
 
 
 @query(f"""{_PATH}, wealth AS (SELECT *, product(1 + net_return) OVER (PARTITION BY strategy_id ORDER BY period) AS w FROM ledger)
@@ -201,7 +202,7 @@ def ptf_ledger(spark, sf_dir):
     FROM path p JOIN flow f ON f.strategy_id = p.strategy_id AND f.position = p.position)
     SELECT strategy_id, instant, asset, {_r('closing')} AS closing FROM books""")
 def ptf_ledger_weights(spark, sf_dir):
-    found = led.ledger_weights(*ledger_inputs(spark, sf_dir))
+    found = led.ledger_weights(*ledger_inputs(views.Market(spark, sf_dir)))
     return _rounded(found, "closing").select("strategy_id", "instant", "asset", "closing")
 
 
@@ -209,9 +210,9 @@ def ptf_ledger_weights(spark, sf_dir):
     SELECT 'all' AS strategy_id, execution_time, asset, {_r('product(g) - 1')} AS realized_return
     FROM spans JOIN months ON instant >= execution_time AND instant < until JOIN panel USING (month) GROUP BY ALL""")
 def ptf_realized_interval(spark, sf_dir):
-    executions = views.decisions(spark, sf_dir).select(F.lit("all").alias("strategy_id"), F.col("decision_time").alias("execution_time"))
-    factors = views.panel(spark, sf_dir).select(F.col("month").cast("timestamp").alias("instant"), "asset", "g")
-    return _rounded(led.realized_returns(factors, executions), "realized_return")
+    market = views.Market(spark, sf_dir)
+    executions = market.decisions.select(F.lit("all").alias("strategy_id"), F.col("decision_time").alias("execution_time"))
+    return _rounded(led.realized_returns(market.factors, executions), "realized_return")
 
 
 # Allocation.
@@ -219,19 +220,19 @@ def ptf_realized_interval(spark, sf_dir):
 
 @query(f"WITH {_BASE}, {_TARGETS} SELECT decision_time, asset, {_r('weight')} AS weight FROM targets WHERE strategy_id = 'equal_weight'")
 def str_equal_weight(spark, sf_dir):
-    found = alloc.equal_weight(_windows(spark, sf_dir).select("decision_time", "asset").distinct())
+    found = alloc.equal_weight(_windows(views.Market(spark, sf_dir)).select("decision_time", "asset").distinct())
     return _rounded(found, "weight").select("decision_time", "asset", "weight")
 
 
 @query(f"WITH {_BASE} SELECT decision_time, asset, {_r('weight')} AS weight FROM inverse_vol")
 def str_inverse_vol(spark, sf_dir):
-    return _rounded(alloc.inverse_volatility(_windows(spark, sf_dir)), "weight")
+    return _rounded(alloc.inverse_volatility(_windows(views.Market(spark, sf_dir))), "weight")
 
 
 @query(f"""WITH {_BASE} SELECT x.decision_time, x.asset AS a, y.asset AS b, {_r('covar_samp(x.r, y.r)')} AS covariance
     FROM windows x JOIN windows y ON x.decision_time = y.decision_time AND x.month = y.month AND x.asset <= y.asset GROUP BY ALL""")
 def str_covariance(spark, sf_dir):
-    return _rounded(alloc.sample_covariance(_windows(spark, sf_dir)), "covariance")
+    return _rounded(alloc.sample_covariance(_windows(views.Market(spark, sf_dir))), "covariance")
 
 
 @query(f"""WITH {_BASE}, two AS (SELECT * FROM windows WHERE asset IN ('AF', 'NO')),
@@ -240,16 +241,13 @@ def str_covariance(spark, sf_dir):
     w AS (SELECT decision_time, least(1, greatest(0, (s22 - s12) / (s11 + s22 - 2 * s12))) AS w FROM s)
     SELECT decision_time, 'AF' AS asset, {_r('w', 6)} AS weight FROM w UNION ALL SELECT decision_time, 'NO', {_r('1 - w', 6)} FROM w""")
 def str_min_var_2asset(spark, sf_dir):
-    found = alloc.minimum_variance(_windows(spark, sf_dir).where(F.col("asset").isin("AF", "NO")))
+    found = alloc.minimum_variance(_windows(views.Market(spark, sf_dir)).where(F.col("asset").isin("AF", "NO")))
     return _rounded(found, "weight", places=6).select("decision_time", "asset", "weight")
 
 
-_SIX = ("AF", "AO", "NF", "NO", "RF", "RO")
-
-
 @query()
 def str_min_var(spark, sf_dir):
-    return alloc.minimum_variance(_windows(spark, sf_dir))
+    return alloc.minimum_variance(_windows(views.Market(spark, sf_dir)))
 
 
 def _forecasts(windows):
@@ -258,14 +256,14 @@ def _forecasts(windows):
 
 @query()
 def str_mean_var(spark, sf_dir):
-    windows = _windows(spark, sf_dir)
+    windows = _windows(views.Market(spark, sf_dir))
     return alloc.mean_variance(windows, _forecasts(windows), 4.0)
 
 
 @query(f"""WITH {_BASE} SELECT decision_time, count(DISTINCT asset) AS n_assets, count(*) AS n_rows, count(DISTINCT month) AS n_months
     FROM windows GROUP BY ALL""")
 def str_windows(spark, sf_dir):
-    return _windows(spark, sf_dir).groupBy("decision_time").agg(
+    return _windows(views.Market(spark, sf_dir)).groupBy("decision_time").agg(
         F.count_distinct("asset").alias("n_assets"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("t").alias("n_months")
     )
 
@@ -349,7 +347,7 @@ def exp_backtest_inverse_vol(spark, sf_dir):
 @query(f"""WITH {_BASE}, {_TARGETS} SELECT strategy_id, decision_time, {_r('sum(weight)')} AS net, count(*) AS n_assets,
     decision_time AS execution_time FROM targets GROUP BY ALL""")
 def exp_targets(spark, sf_dir):
-    books = _targets(spark, sf_dir)
+    books = _targets(views.Market(spark, sf_dir))
     found = ptf.exposures(books, ["strategy_id", "decision_time"])
     return _rounded(found, "net").select("strategy_id", "decision_time", "net", "n_assets", F.col("decision_time").alias("execution_time"))
 
@@ -381,14 +379,39 @@ def _table(spark, sf_dir):
 
 @query(f"{_TABLE} SELECT strategy_id, metric, {_r('value', 6)} AS value, status FROM cells")
 def cmp_table(spark, sf_dir):
-    return _rounded(_table(spark, sf_dir), "value", places=6).select("strategy_id", "metric", "value", "status")
+    found = _table(spark, sf_dir).select("strategy_id", "metric", "status", F.explode_outer("observations").alias("o"))
+    return _rounded(found.withColumn("value", F.col("o.value")), "value", places=6).select("strategy_id", "metric", "value", "status")
+
+
+# Declarations of the comparability query: one, two that differ between the arms, two of one arm.
+_DECLARED = ("one", "differ", "several", "missing")
 
 
-@query(f"""{_TABLE} SELECT metric, CASE WHEN count(*) FILTER (status <> 'ok') > 0 THEN 'missing_values' ELSE 'comparable' END AS comparability FROM cells GROUP BY ALL""")
+@query(f"""{_PATH}, {_DRAWDOWN}, {_CORE}, found AS ({_CELLS}),
+    declared(kind, strategy_id, gamma) AS (VALUES ('one', 'equal_weight', 3), ('one', 'inverse_vol', 3), ('differ', 'equal_weight', 3),
+        ('differ', 'inverse_vol', 5), ('several', 'equal_weight', 3), ('several', 'inverse_vol', 3), ('several', 'inverse_vol', 5), ('missing', 'equal_weight', 3)),
+    cells AS (SELECT kind, k.strategy_id, metric, count(d.gamma) AS n, max(d.gamma) AS gamma FROM (SELECT DISTINCT d.kind, f.strategy_id, f.metric FROM declared d, found f) k
+        LEFT JOIN declared d USING (kind, strategy_id) GROUP BY ALL)
+    SELECT kind, metric, CASE WHEN min(n) = 0 THEN 'missing_values' WHEN max(n) > 1 THEN 'multiple_declaration_sets'
+        WHEN count(DISTINCT gamma) = 1 THEN 'comparable' ELSE 'declaration_mismatch' END AS comparability FROM cells GROUP BY ALL""")
 def cmp_comparability(spark, sf_dir):
     from vintara.plans import compare
 
-    return compare.comparability(_table(spark, sf_dir)).select("metric", "comparability")
+    measured = saved(met.core_metrics(strategy_ledger(spark, sf_dir), 12, 3.0, 0.001))
+    arms = spark.createDataFrame([(s,) for s in STRATEGIES], "strategy_id string")
+    under = lambda gamma: compare.observations(measured, basis="net", periods_per_year=12, gamma=gamma, risk_free=0.001)
+    equal, inverse = F.col("strategy_id") == "equal_weight", F.col("strategy_id") == "inverse_vol"
+    records = {
+        "one": under(3.0),
+        "differ": under(3.0).where(equal).unionByName(under(5.0).where(inverse)),
+        "several": under(3.0).unionByName(under(5.0).where(inverse)),
+        "missing": under(3.0).where(equal),
+    }
+    parts = [
+        compare.comparability(compare.cells(arms, list(met.METRICS), records[kind])).select(F.lit(kind).alias("kind"), "metric", "comparability")
+        for kind in _DECLARED
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("""WITH declared(field, value) AS (VALUES ('rate', '0.001'), ('window', '12'), ('gamma', '3')),

@@ -9,18 +9,26 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vintara.checks import require_none
 from vintara.errors import ComparisonError
 from vintara.operators.metrics import METRICS
+from vintara.plans.results import strict_json
+from vintara.storage import saved
 
 STATUSES = ("ok", "missing_record", "missing_path", "missing_metric")
 COMPARABILITY = ("missing_values", "multiple_declaration_sets", "comparable", "declaration_mismatch")
 ROLES = ("target", "comparator", "ablation", "robustness", "benchmark")
 
 
-def observations(measured: DataFrame, *, basis: str, periods_per_year: int, gamma: float, risk_free: float) -> DataFrame:
-    """Metrics as rows, each with the declaration it was measured under."""
+#: What a value was measured under, in the order in which declarations are sorted.
+DECLARATION = ("basis", "periods_per_year", "gamma", "risk_free")
+
+
+def observations(measured: DataFrame, *, basis: str, periods_per_year: int, gamma: float, risk_free: float, path: str = "main") -> DataFrame:
+    """Metrics of a path as rows, each with the declaration it was measured under."""
     return measured.unpivot(["strategy_id"], list(METRICS), "metric", "value").select(
         "strategy_id",
+        F.lit(path).alias("path"),
         "metric",
         "value",
         F.struct(
@@ -32,33 +40,58 @@ def observations(measured: DataFrame, *, basis: str, periods_per_year: int, gamm
     )
 
 
-def cells(arms: DataFrame, metrics: Sequence[str], records: DataFrame) -> DataFrame:
-    """A cell for each arm and metric: ``value, declaration, status``.
+def cells(arms: DataFrame, metrics: Sequence[str], records: DataFrame, path: str = "main") -> DataFrame:
+    """One cell for each arm and metric: ``strategy_id, metric, status, observations``.
 
-    ``arms`` has one row a strategy; a strategy without any record is a missing record.
+    ``arms`` has one row a strategy; ``records`` has ``strategy_id, path, metric, value,
+    declaration``, and a row with a null path for a record without any. A cell carries
+    the values of all declarations, in their order; none is chosen. Its status says what
+    is missing first: the record, the path in it, or the metric on the path (a null value
+    counts as none). Values must be finite.
     """
     unknown = set(metrics) - set(METRICS)
     if unknown or not metrics:
         raise ComparisonError(f"metrics are of {METRICS}")
+    require_none(
+        records.where(F.isnan("value") | (F.abs("value") == float("inf"))), ComparisonError, "a value that isn't finite"
+    )
+    on_path = records.where(F.col("path") == path)
+    known = records.groupBy("strategy_id").agg(F.coalesce(F.bool_or(F.col("path") == path), F.lit(False)).alias("_path"))
+    value = F.struct(*(F.col(f"declaration.{d}") for d in DECLARATION), "value")
+    found = on_path.where("value IS NOT NULL").groupBy("strategy_id", "metric").agg(F.array_sort(F.collect_list(value)).alias("observations"))
     asked = arms.select("strategy_id", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
-    known = records.select("strategy_id").distinct().withColumn("_recorded", F.lit(True))
     status = (
-        F.when(F.col("_recorded").isNull(), "missing_record").when(F.col("value").isNull(), "missing_metric").otherwise("ok")
+        F.when(F.col("_path").isNull(), "missing_record")
+        .when(~F.col("_path"), "missing_path")
+        .when(F.col("observations").isNull(), "missing_metric")
+        .otherwise("ok")
     )
+    none = F.array().cast(found.schema["observations"].dataType)
     return (
         asked.join(known, "strategy_id", "left")
-        .join(records, ["strategy_id", "metric"], "left")
-        .select("strategy_id", "metric", "value", "declaration", status.alias("status"))
+        .join(found, ["strategy_id", "metric"], "left")
+        .select("strategy_id", "metric", status.alias("status"), F.coalesce("observations", none).alias("observations"))
     )
 
 
 def comparability(table: DataFrame) -> DataFrame:
-    """One row for each metric; values of different declarations aren't comparable."""
+    """One row for each metric: whether its cells can be compared, and if not, why.
+
+    In this order: a cell without a value; a cell with values of several declarations;
+    declarations that differ between cells.
+    """
+    one = F.struct(*(F.col("observations")[0][d].alias(d) for d in DECLARATION))
     rows = table.groupBy("metric").agg(
         F.count_if(F.col("status") != "ok").alias("_missing"),
-        F.count_distinct(F.to_json("declaration")).alias("n_declarations"),
+        F.max(F.size("observations")).alias("_most"),
+        F.count_distinct(F.when(F.size("observations") > 0, F.to_json(one))).alias("n_declarations"),
+    )
+    verdict = (
+        F.when(F.col("_missing") > 0, "missing_values")
+        .when(F.col("_most") > 1, "multiple_declaration_sets")
+        .when(F.col("n_declarations") == 1, "comparable")
+        .otherwise("declaration_mismatch")
     )
-    verdict = F.when(F.col("_missing") > 0, "missing_values").when(F.col("n_declarations") == 1, "comparable").otherwise("declaration_mismatch")
     return rows.select("metric", "n_declarations", verdict.alias("comparability"))
 
 
@@ -80,43 +113,71 @@ class ComparisonSpec:
             raise ComparisonError(f"metrics are distinct and of {METRICS}")
 
 
+#: A value and its declaration: ``basis, periods_per_year, gamma, risk_free, value``.
+Observation = tuple[str, int, float, float, float]
+
+
+@dataclass(frozen=True)
+class Cell:
+    """One strategy's values of one metric; there are some if and only if the status is ok."""
+
+    strategy_id: str
+    status: str
+    observations: tuple[Observation, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.status not in STATUSES or (self.status == "ok") != bool(self.observations):
+            raise ComparisonError("a cell has values if and only if it is ok")
+
+
 @dataclass(frozen=True)
 class ComparisonTable:
-    """A collected comparison: a few arms by a few metrics."""
+    """A collected comparison: a few arms by a few metrics.
+
+    ``arms`` are ``strategy_id, role, annotation`` by id, ``rows`` are ``metric,
+    comparability, cells`` in the order of the declaration.
+    """
 
-    arms: tuple[tuple[str, str], ...]
-    rows: tuple[tuple[str, str, tuple[tuple[str, float | None, str], ...]], ...]
+    arms: tuple[tuple[str, str, str | None], ...]
+    rows: tuple[tuple[str, str, tuple[Cell, ...]], ...]
 
     @classmethod
-    def of(cls, spec: ComparisonSpec, records: DataFrame) -> ComparisonTable:
-        spark = records.sparkSession
-        arms = spark.createDataFrame([(a,) for a in spec.arms], "strategy_id string")
-        table = cells(arms, spec.metrics, records)
-        found = {(r["metric"], r["strategy_id"]): r for r in table.collect()}
+    def of(cls, spec: ComparisonSpec, records: DataFrame, path: str = "main") -> ComparisonTable:
+        arms = records.sparkSession.createDataFrame([(a,) for a in spec.arms], "strategy_id string")
+        table = saved(cells(arms, spec.metrics, records, path))
+        found = {
+            (r["metric"], r["strategy_id"]): Cell(r["strategy_id"], r["status"], tuple(map(tuple, r["observations"])))
+            for r in table.collect()
+        }
         verdicts = {r["metric"]: r["comparability"] for r in comparability(table).collect()}
         order = sorted(spec.arms)
-        rows = tuple(
-            (m, verdicts[m], tuple((a, found[m, a]["value"], found[m, a]["status"]) for a in order)) for m in spec.metrics
+        return cls(
+            tuple((a, spec.arms[a], spec.annotations.get(a)) for a in order),
+            tuple((m, verdicts[m], tuple(found[m, a] for a in order)) for m in spec.metrics),
         )
-        return cls(tuple((a, spec.arms[a]) for a in order), rows)
 
     def to_json(self) -> str:
-        return json.dumps({"arms": self.arms, "rows": self.rows}, sort_keys=True, separators=(",", ":"), allow_nan=False)
+        rows = [[m, verdict, [[c.strategy_id, c.status, c.observations] for c in some]] for m, verdict, some in self.rows]
+        return json.dumps({"arms": self.arms, "rows": rows}, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
     @classmethod
     def from_json(cls, text: str) -> ComparisonTable:
-        data = json.loads(text)
-        if set(data) != {"arms", "rows"}:
+        data = strict_json(text)
+        if not isinstance(data, dict) or set(data) != {"arms", "rows"}:
             raise ComparisonError("not a comparison table")
-        return cls(
-            tuple(map(tuple, data["arms"])), tuple((m, v, tuple(map(tuple, cells_))) for m, v, cells_ in data["rows"])
+        rows = tuple(
+            (m, verdict, tuple(Cell(a, status, tuple(map(tuple, values))) for a, status, values in some))
+            for m, verdict, some in data["rows"]
         )
+        names = [a for a, _, _ in data["arms"]]
+        if any(v not in COMPARABILITY for _, v, _ in rows) or any([c.strategy_id for c in some] != names for _, _, some in rows):
+            raise ComparisonError("not a comparison table")
+        return cls(tuple(map(tuple, data["arms"])), rows)
 
     def render(self) -> str:
-        """Aligned plain text."""
-        head = ["metric", *(f"{a} ({r})" for a, r in self.arms), "comparability"]
-        body = [
-            [m, *(f"{v:.6f}" if s == "ok" else s for _, v, s in cells_), verdict] for m, verdict, cells_ in self.rows
-        ]
+        """Aligned plain text; values of several declarations stand side by side."""
+        head = ["metric", *(f"{a} ({role}{', ' + note if note else ''})" for a, role, note in self.arms), "comparability"]
+        shown = lambda c: " / ".join(f"{o[-1]:.6f}" for o in c.observations) or c.status
+        body = [[m, *map(shown, some), verdict] for m, verdict, some in self.rows]
         widths = [max(len(row[i]) for row in [head, *body]) for i in range(len(head))]
         return "\n".join("  ".join(x.ljust(w) for x, w in zip(row, widths)).rstrip() for row in [head, *body])

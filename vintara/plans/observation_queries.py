@@ -16,6 +16,7 @@ from vintara.plans import views
 from vintara.plans.registry import query
 from vintara.plans.views import GRID, OBS
 from vintara.sources import tables
+from vintara.storage import shared_path
 
 # Sources.
 
@@ -30,14 +31,24 @@ def _raw(spark, sf_dir):
 
 @query(f"WITH {OBS} SELECT series_id, observation_time, available_time, value FROM obs")
 def src_parquet_obs(spark, sf_dir):
-    found = tables.from_dataframe(_raw(spark, sf_dir), _schema(tables.Availability.explicit_column("available_time")))
-    return found.select("series_id", "observation_time", "available_time", "value")
+    path = shared_path(spark, "observations")
+    _raw(spark, sf_dir).write.parquet(path)
+    declared = _schema(tables.Availability.explicit_column("available_time"))
+    return tables.from_parquet(spark, path, declared, checked=False).select("series_id", "observation_time", "available_time", "value")
 
 
-@query(f"WITH {OBS} SELECT series_id, observation_time, available_time, round(value, 6) + 0.0 AS value FROM obs WHERE available_time >= observation_time")
+# Orders as observations: when they were placed, known when the last line was shipped.
+_PLACED = """placed AS (SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, CAST(o.o_orderdate AS TIMESTAMP) AS placed_at,
+    CAST(max(l.l_shipdate) AS TIMESTAMP) AS shipped_at FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY ALL)"""
+
+
+@query(f"WITH {_PLACED} SELECT o_orderkey AS series_id, placed_at AS observation_time, shipped_at AS available_time, round(o_totalprice, 6) + 0.0 AS value FROM placed")
 def src_explicit_column(spark, sf_dir):
-    found = tables.from_dataframe(_raw(spark, sf_dir), _schema(tables.Availability.explicit_column("available_time")))
-    return found.select("series_id", "observation_time", "available_time", F.round("value", 6).alias("value"))
+    shipped = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").cast("timestamp").alias("shipped_at"))
+    placed = views.table(spark, sf_dir, "orders").join(shipped, "o_orderkey").withColumn("placed_at", F.col("o_orderdate").cast("timestamp"))
+    declared = tables.DeclaredTable("o_orderkey", "placed_at", tables.Availability.explicit_column("shipped_at"), "o_totalprice", "money", "irregular")
+    found = tables.from_dataframe(placed, declared)
+    return found.select(F.col("series_id").cast("long").alias("series_id"), "observation_time", "available_time", F.round("value", 6).alias("value"))
 
 
 @query("""SELECT 'EV/' || event_type AS series_id, ts AS observation_time, ts + INTERVAL 2 DAYS AS available_time, value FROM events""")
@@ -177,11 +188,12 @@ def cal_holding_plan_intersect(spark, sf_dir):
 @query(f"""WITH {OBS}, {GRID}
     SELECT decision_time, count(*) AS n_admitted FROM obs JOIN grid ON available_time <= decision_time GROUP BY ALL""")
 def pit_admission(spark, sf_dir):
-    # Counts up to each decision need no join: admissions by the first decision that sees
-    # them, added up.
+    # Each row counts from the first decision that admits it: the place is found in the
+    # grid, which is small, and the counts are added up.
     grid = views.grid(spark)
-    first = F.greatest(F.ceil((F.unix_micros("available_time") - F.lit(1704153600000000)) / F.lit(86400000000)), F.lit(0))
-    counts = views.obs(spark, sf_dir).groupBy(first.cast("int").alias("ord")).count()
+    times = F.array(*(F.lit(r["decision_time"]) for r in grid.orderBy("ord").collect()))
+    first = F.size(F.filter(times, lambda t: ~pit.is_available(F.col("available_time"), t)))
+    counts = views.obs(spark, sf_dir).groupBy(first.alias("ord")).count()
     total = F.sum(F.coalesce("count", F.lit(0))).over(Window.orderBy("ord"))  # one row a decision
     return grid.join(counts, "ord", "left").withColumn("n_admitted", total).where("n_admitted > 0").select("decision_time", "n_admitted")
 
@@ -372,7 +384,7 @@ def trf_latest_window(spark, sf_dir):
     FROM months m JOIN months n ON n.instant <= m.instant)
     SELECT cutoff, instant AS window_start FROM x WHERE k = 12""")
 def trf_window_start(spark, sf_dir):
-    at = views.months(spark, sf_dir).select("instant")
+    at = views.Market(spark, sf_dir).months.select("instant")
     return trf.window_start(at, at.select(F.col("instant").alias("cutoff")), 12)
 
 
@@ -392,11 +404,40 @@ def trf_simple_returns(spark, sf_dir):
 @query(f"""WITH {OBS} SELECT replace(series_id, 'EV/', '') AS series_id, count(value) AS n, round(avg(value), 6) AS mean,
     round(stddev_samp(value), 6) AS std, min(value) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.25), 6) AS q25,
     round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75,
-    count(DISTINCT observation_time) AS n_keys FROM obs GROUP BY ALL""")
+    count(DISTINCT observation_time) AS n_keys, count(*) FILTER (value IS NULL) AS n_null, '' AS undefined FROM obs GROUP BY ALL""")
 def dia_describe(spark, sf_dir):
-    found = dia.describe(views.obs(spark, sf_dir))
+    return _described(dia.describe(views.obs(spark, sf_dir)))
+
+
+def _described(found):
     measures = [F.round(c, 6).alias(c) for c in ("mean", "std", "max", "q25", "median", "q75")]
-    return found.select("series_id", "n", "min", *measures, "n_keys")
+    return found.select("series_id", "n", "min", *measures, "n_keys", "n_null", F.array_join("undefined", ",").alias("undefined"))
+
+
+# Customers' orders as series: many short ones, some with one number, and with none where the price is hidden.
+_SHORT = """short AS (SELECT 'C/' || o_custkey AS series_id, o_orderkey AS k, CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice END AS value FROM orders)"""
+
+
+def _short(spark, sf_dir):
+    orders = views.table(spark, sf_dir, "orders")
+    return orders.select(
+        F.concat(F.lit("C/"), F.col("o_custkey").cast("string")).alias("series_id"), F.col("o_orderkey").alias("k"),
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_totalprice")).alias("value"),
+    )
+
+
+@query(f"""WITH {_SHORT} SELECT replace(series_id, 'C/', '') AS series_id, count(value) AS n, round(avg(value), 6) AS mean,
+    round(stddev_samp(value), 6) AS std, min(value) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.25), 6) AS q25,
+    round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75, count(DISTINCT k) AS n_keys,
+    count(*) FILTER (value IS NULL) AS n_null,
+    CASE count(value) WHEN 0 THEN 'insufficient_n,no_numeric_values' WHEN 1 THEN 'insufficient_n' ELSE '' END AS undefined FROM short GROUP BY ALL""")
+def dia_describe_short_series(spark, sf_dir):
+    return _described(dia.describe(_short(spark, sf_dir), "k"))
+
+
+@query(f"WITH {OBS} SELECT DISTINCT replace(series_id, 'EV/', '') AS series_id, observation_time FROM obs")
+def dia_describe_keys(spark, sf_dir):
+    return dia.described_keys(views.obs(spark, sf_dir))
 
 
 @query(f"""WITH {OBS}, cells AS (SELECT series_id, observation_time, count(*) AS n, count(*) FILTER (value IS NULL) AS z FROM obs GROUP BY ALL)
@@ -447,9 +488,11 @@ def _pairs_sql(rows, ranked=False):
     )
     return f"""WITH {_HOURLY}, kept AS ({rows}),
         pairs AS (SELECT replace(a.series_id, 'EV/', '') AS first, replace(b.series_id, 'EV/', '') AS second, a.observation_time AS k, a.value AS x, b.value AS y
-            FROM kept a JOIN kept b ON a.observation_time = b.observation_time AND a.series_id <= b.series_id)
-        SELECT first, second, count(*) AS n, round(least(1.0, greatest(-1.0, covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)))), 6) + 0.0 AS coefficient
-        FROM {value} GROUP BY ALL"""
+            FROM kept a JOIN kept b ON a.observation_time = b.observation_time AND a.series_id <= b.series_id),
+        names AS (SELECT DISTINCT replace(series_id, 'EV/', '') AS s FROM hourly),
+        found AS (SELECT first, second, count(*) AS n, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r FROM {value} GROUP BY ALL)
+        SELECT a.s AS first, b.s AS second, coalesce(n, 0) AS n, CASE WHEN n >= 3 THEN round(least(1.0, greatest(-1.0, r)), 6) + 0.0 END AS coefficient
+        FROM names a JOIN names b ON a.s <= b.s LEFT JOIN found f ON f.first = a.s AND f.second = b.s"""
 
 
 _ALL = "SELECT * FROM hourly"

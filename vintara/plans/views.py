@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,12 +104,12 @@ PANEL = f"""monthly AS (
     FROM (SELECT *, count(*) OVER (PARTITION BY month) AS n FROM rets WHERE r IS NOT NULL) WHERE n = 6)"""
 
 
-def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+def months(panel: DataFrame) -> DataFrame:
     """``month, instant, position``: the panel's months in order, from 0.
 
     A month's growth is that of the segment that begins at its ``instant``.
     """
-    found = panel(spark, sf_dir).select("month").distinct()
+    found = panel.select("month").distinct()
     place = F.row_number().over(Window.orderBy("month")) - 1  # one row a month
     return saved(found.select("month", F.col("month").cast("timestamp").alias("instant"), place.alias("position")))
 
@@ -120,14 +122,34 @@ MONTHS = """months AS (
 WINDOW, EVERY = 12, 3
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decisions(months: DataFrame) -> DataFrame:
     """Every third month's start, once enough months are published."""
-    at = months(spark, sf_dir)
-    return at.where((F.col("position") >= WINDOW + 3) & (F.col("position") % EVERY == 0)).select(
+    return months.where((F.col("position") >= WINDOW + 3) & (F.col("position") % EVERY == 0)).select(
         F.col("instant").alias("decision_time"), "position"
     )
 
 
+class Market:
+    """The panel, its months and the decisions on them, each made once for all that a query reads of it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.panel = panel(spark, sf_dir)
+
+    @cached_property
+    def months(self) -> DataFrame:
+        return months(self.panel)
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        return decisions(self.months)
+
+    @property
+    def factors(self) -> DataFrame:
+        """``instant, asset, g``: growth of the segment that begins at an instant."""
+        return self.panel.select(F.col("month").cast("timestamp").alias("instant"), "asset", "g")
+
+
 DECISIONS = f"""decisions AS (
     SELECT instant AS decision_time, position FROM months WHERE position >= {WINDOW + 3} AND position % {EVERY} = 0)"""
 

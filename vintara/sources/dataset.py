@@ -30,7 +30,7 @@ class Dataset:
     def qualified(self) -> bool:
         return "available_time" in self.rows.columns
 
-    def qualify(self, availability: Availability, tz: str = "UTC") -> Dataset:
+    def qualify(self, availability: Availability, tz: str) -> Dataset:
         """The same bytes decoded again under a policy. One way only."""
         if self.qualified or self.requalify is None:
             raise UnqualifiedDataError("only an unqualified dataset with its bytes can be qualified")

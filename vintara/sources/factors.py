@@ -22,7 +22,7 @@ from vintara.checks import require_none
 from vintara.errors import ProviderResponseError, UnknownDatasetError
 from vintara.functions.calendar import day_end, month_end
 from vintara.operators.pit import require_observations
-from vintara.sources.tables import Availability, Provenance
+from vintara.sources.tables import Availability, Provenance, require_both
 
 KINDS = ("factor", "portfolio_returns")
 PREFIX = "FF/"
@@ -158,7 +158,7 @@ def period_instant(key, frequency: str, tz: str = "UTC"):
     return month_end(part(1, 4), part(5, 2), tz)
 
 
-def qualify(rows: DataFrame, frequency: str, availability: Availability, tz: str = "UTC") -> DataFrame:
+def qualify(rows: DataFrame, frequency: str, availability: Availability, tz: str) -> DataFrame:
     """Period-labelled rows as bitemporal observations under a policy."""
     length = 8 if frequency == "daily" else 6
     require_none(rows.where(F.length("period_key") != length), ProviderResponseError, "a key of another frequency")
@@ -173,7 +173,7 @@ def qualify(rows: DataFrame, frequency: str, availability: Availability, tz: str
     return require_observations(at.select("series_id", "observation_time", known.alias("available_time"), "value"))
 
 
-def decode(spark: SparkSession, data: bytes, dataset_id: str, availability: Availability, tz: str = "UTC", sha256: str | None = None) -> tuple[DataFrame, Provenance]:
+def decode(spark: SparkSession, data: bytes, dataset_id: str, availability: Availability, tz: str, sha256: str | None = None) -> tuple[DataFrame, Provenance]:
     """Observations of an archive, and where they are from. A pinned digest must match."""
     digest = hashlib.sha256(data).hexdigest()
     if sha256 is not None and digest != sha256:
@@ -183,10 +183,16 @@ def decode(spark: SparkSession, data: bytes, dataset_id: str, availability: Avai
     return rows, Provenance(file.kind, tuple(rows.columns), rows.count(), file.units, file.frequency, digest)
 
 
-def load(spark: SparkSession, name: str, *, frequency: str = "monthly", data: bytes | None = None, availability: Availability | None = None, tz: str = "UTC") -> DataFrame:
-    """Unqualified rows of a dataset, or observations if an availability is given."""
+def load(spark: SparkSession, name: str, *, frequency: str = "monthly", data: bytes | None = None, availability: Availability | None = None, tz: str | None = None, sha256: str | None = None) -> DataFrame:
+    """Unqualified rows of a dataset, or observations if an availability and a zone are given.
+
+    One of the two without the other is rejected. A pinned digest must be that of the bytes.
+    """
+    require_both(availability, tz)
     dataset_id = resolve(name, frequency)
     content = fetch(dataset_id)[0] if data is None else data
+    if sha256 is not None and hashlib.sha256(content).hexdigest() != sha256:
+        raise ProviderResponseError("the bytes aren't those that were pinned")
     if availability is None:
         return decode_unqualified(spark, content, dataset_id)
     return decode(spark, content, dataset_id, availability, tz)[0]

@@ -8,7 +8,8 @@ from __future__ import annotations
 import json
 import urllib.parse
 import urllib.request
-from datetime import datetime, timezone
+from datetime import datetime, time, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from vintara.errors import (
 )
 from vintara.functions.calendar import day_end, month_end, quarter_end, require_instant
 from vintara.operators.pit import require_observations
-from vintara.sources.tables import Availability
+from vintara.sources.tables import Availability, require_both
 
 CURRENT_SNAPSHOT, POINT_IN_TIME = "CURRENT_SNAPSHOT", "POINT_IN_TIME"
 FREQUENCIES = ("Monthly", "Quarterly", "Daily")
@@ -97,6 +98,16 @@ def period_instant(date, frequency: str, tz: str = "UTC"):
     return F.when(starts, quarter_end(year, F.floor((month - 1) / 3).cast("int") + 1, tz))
 
 
+def realtime_bound(data: bytes, series_id: str, tz: str) -> datetime:
+    """The last instant of the answer's realtime-end day."""
+    text = require_payload(data, series_id)["realtime_end"]
+    try:
+        day = datetime.strptime(text, "%Y-%m-%d")
+    except (TypeError, ValueError) as bad:
+        raise ProviderResponseError(f"no realtime end: {text!r}") from bad
+    return datetime.combine(day, time.max, ZoneInfo(tz))
+
+
 def decode(
     spark: SparkSession,
     data: bytes,
@@ -104,19 +115,21 @@ def decode(
     availability: Availability,
     *,
     frequency: str,
-    retrieved: datetime,
+    tz: str,
+    retrieved: datetime | None = None,
     data_mode: str = CURRENT_SNAPSHOT,
-    tz: str = "UTC",
 ) -> DataFrame:
     """Observations available at the later of the declared availability and the retrieval.
 
-    A current snapshot says nothing about what was known before it was retrieved.
+    A current snapshot says nothing about what was known before it was retrieved. Where
+    the retrieval isn't known, it is taken as the last instant, in ``tz``, of the day that
+    the answer itself names as its realtime end.
     """
     if data_mode == POINT_IN_TIME:
         raise PseudoVintageError("a current snapshot is no past vintage")
     if data_mode != CURRENT_SNAPSHOT:
         raise ProviderResponseError(f"no data mode {data_mode!r}")
-    bound = F.lit(require_instant(retrieved, "retrieved"))
+    bound = F.lit(require_instant(retrieved, "retrieved") if retrieved is not None else realtime_bound(data, series_id, tz))
     rows = raw_rows(spark, data, series_id).withColumn("value", F.col("cell").try_cast("double"))
     require_none(rows.where("value IS NULL"), ProviderResponseError, "a value is no number")
     rows = rows.withColumn("observation_time", period_instant(F.col("date"), frequency, tz))
@@ -140,13 +153,14 @@ def require_snapshot_recency(observations: DataFrame, retrieved: datetime) -> Da
     return observations
 
 
-def load(spark: SparkSession, series_id: str, *, frequency: str, data: bytes | None = None, api_key: str | None = None, retrieved: datetime | None = None, availability: Availability | None = None, tz: str = "UTC") -> DataFrame:
-    """Unqualified rows, or observations if an availability is given."""
+def load(spark: SparkSession, series_id: str, *, frequency: str, data: bytes | None = None, api_key: str | None = None, retrieved: datetime | None = None, availability: Availability | None = None, tz: str | None = None) -> DataFrame:
+    """Unqualified rows, or observations if an availability and a zone are given.
+
+    The two are one piece of evidence: one without the other is rejected, never filled in.
+    """
+    require_both(availability, tz)
     if data is None:
         data, retrieved = fetch(series_id, api_key or "")
     if availability is None:
         return decode_unqualified(spark, data, series_id, frequency)
-    return decode(
-        spark, data, series_id, availability, frequency=frequency,
-        retrieved=retrieved or datetime(1970, 1, 1, tzinfo=timezone.utc), tz=tz,
-    )
+    return decode(spark, data, series_id, availability, frequency=frequency, tz=tz, retrieved=retrieved)

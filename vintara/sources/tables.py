@@ -15,6 +15,7 @@ from vintara.checks import require_columns, require_none
 from vintara.errors import MissingAvailabilityError, NaiveTimestampError, WindowDeclarationError
 from vintara.functions.calendar import OFFSET_PATTERN, to_instant
 from vintara.operators.pit import require_observations
+from vintara.storage import shared_path
 
 MODES = ("EXPLICIT_COLUMN", "SAME_INSTANT", "FIXED_LAG")
 #: The columns of observations; ``value`` is null unless ``value_kind`` is number.
@@ -168,19 +169,21 @@ def from_dataframe(df: DataFrame, declared: DeclaredTable, checked: bool = False
     return require_observations(out) if checked else out
 
 
-def from_csv(spark: SparkSession, source: str, declared: DeclaredTable, checked: bool = True) -> DataFrame:
-    """A CSV file or folder (or its text, if it has a line break) with a header; cells are decoded."""
-    options = {"header": "true", "encoding": "UTF-8", "mode": "PERMISSIVE"}
+def from_csv(spark: SparkSession, source: str, declared: DeclaredTable, checked: bool = True, multi_line: bool = False) -> DataFrame:
+    """A CSV file or folder (or its text, if it has a line break) with a header; cells are decoded.
+
+    Cells in quotes may hold commas, doubled quotes and, in a text or with ``multi_line``
+    (which a file pays for by being read in one piece), line breaks. Rows shorter than
+    the header are filled with empty cells.
+    """
     if "\n" in source:
-        lines = [(line,) for line in source.removeprefix("﻿").splitlines() if line]
-        header, *rows = lines
-        names = [n.strip('"') for n in header[0].split(",")]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        text = spark.createDataFrame(rows, "line string") if rows else spark.createDataFrame([], "line string")
-        parsed = text.select(F.from_csv("line", schema.simpleString()[7:-1].replace(":", " ")).alias("r")).select("r.*")
-        return from_dataframe(parsed, declared, checked, cells=True)
+        # The text goes through the shared folder, so that one reader serves files and texts.
+        path = shared_path(spark, "csv")
+        spark.createDataFrame([(source.removeprefix("\ufeff"),)], "text string").coalesce(1).write.text(path)
+        source, multi_line = path, True
+    options = {"header": "true", "encoding": "UTF-8", "mode": "PERMISSIVE", "escape": '"', "multiLine": str(multi_line).lower()}
     frame = spark.read.options(**options).csv(source, inferSchema=False)
-    return from_dataframe(frame, declared, checked, cells=True)
+    return from_dataframe(frame.fillna(""), declared, checked, cells=True)
 
 
 def from_parquet(spark: SparkSession, path: str, declared: DeclaredTable, checked: bool = True) -> DataFrame:
@@ -198,8 +201,7 @@ def provenance(df: DataFrame, declared: DeclaredTable, kind: str, data: bytes |
     return Provenance(kind, tuple(df.columns), df.count(), declared.units, declared.frequency, digest)
 
 
-def content_digest(df: DataFrame, keys: tuple[str, ...] = ("series_id", "observation_time", "available_time")) -> str:
-    """A digest of a table's rows that doesn't depend on their order: sums of row hashes."""
-    row = F.xxhash64(*df.columns)
-    found = df.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(F.shiftright(row, 20))).first()
-    return hashlib.sha256(repr(tuple(found)).encode()).hexdigest()
+def require_both(availability: Availability | None, tz: str | None) -> None:
+    """Reject an availability without a zone, or a zone without an availability."""
+    if (availability is None) != (tz is None):
+        raise MissingAvailabilityError("an availability and a zone are given together or not at all")
