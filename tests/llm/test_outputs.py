@@ -172,11 +172,14 @@ def test_pipeline_against_plain_steps(spark):
     texts = {i: t for i, t in rows.items() if model.score(np.array([quality.features(t)]))[0] >= quality.ACCEPT}
     last = {t: i for i, t in sorted(texts.items())}
     texts = {i: t for t, i in last.items()}
-    from test_similarity import brute_components, brute_print
+    from test_similar import brute_similar
 
     ids = sorted(texts)
-    roots = brute_components([brute_print(texts[i]) for i in ids], ids)
-    texts = {i: texts[i] for i in set(roots)}
+    least = {ids[c] for c in brute_similar([texts[i] for i in ids])}
+    # Keys may miss a link in a hundred, so a copy more may stay; none that should stay goes.
+    kept = {r.doc_id for r in got}
+    assert least <= kept and len(kept - least) <= 0.02 * len(ids)
+    texts = {i: texts[i] for i in kept}
     assert {r.doc_id for r in got} == set(texts)
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
@@ -189,7 +192,7 @@ def test_pipeline_against_plain_steps(spark):
 
 def test_stages_keep_the_columns_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[1:-1]:
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(50), sf_dir).columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert packing.pack_documents(docs.limit(0)).count() == 0

@@ -52,12 +52,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sup
         .agg(best, F.count(F.lit(1)).alias("group_size"))
     )
     frequent = rows.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    others = (
-        rows.join(F.broadcast(winners), "text_sha256", "left_anti")
-        .withColumn("_best", F.max(F.struct("doc_id", "_row")).over(group))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
+    # Aggregated before the shuffle, so no group is ever held by one task.
+    rest = rows.join(F.broadcast(winners), "text_sha256", "left_anti")
+    others = rest.join(rest.groupBy("text_sha256").agg(best, F.count(F.lit(1)).alias("group_size")), "text_sha256")
     columns = [
         F.col("doc_id"),
         F.col("_best.doc_id").alias("keep_id"),
@@ -68,21 +65,33 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sup
     return frequent.select(*columns).unionByName(others.select(*columns))
 
 
+def drop_unkept(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``found`` keeps, with all their columns.
+
+    ``found`` has ``doc_id, digest, kept`` for each row, the digest being the SHA-256 of its
+    text, and keeps one at most of rows that repeat with id and text. What goes is decided
+    on these; texts are shuffled only if so many rows go that Spark can't broadcast them,
+    or for rows that repeat with id and text and of which one stays.
+    """
+    each = found.groupBy(F.col("doc_id").alias("_vintara_id"), F.col("digest").alias("_vintara_digest")).agg(
+        F.bool_or("kept").alias("_vintara_kept"), F.count(F.lit(1)).alias("_vintara_n")
+    )
+    each = saved(each.where("NOT _vintara_kept OR _vintara_n > 1"))
+    marked = docs.withColumn("_vintara_hash", F.sha2(text_of(docs, text), 256))
+    same = F.col(doc_id).eqNullSafe(F.col("_vintara_id")) & (F.col("_vintara_hash") == F.col("_vintara_digest"))
+    alone = marked.join(each, same, "left_anti").select(*docs.columns)
+    repeated = each.where("_vintara_kept")
+    if repeated.isEmpty():
+        return alone
+    one = Window.partitionBy("_vintara_hash", doc_id).orderBy(F.lit(1))
+    of_each = marked.join(repeated, same, "left_semi").withColumn("_vintara_rank", F.row_number().over(one))
+    return alone.unionByName(of_each.where("_vintara_rank = 1").select(*docs.columns))
+
+
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
-    Rows of frequent digests other than the winner go before the shuffle; what remains
-    is settled by the digest's largest id. Same treatment of nulls, ties and repeats.
+    Same treatment of nulls, ties and repeats; an empty table gives no rows.
     """
-    marked = docs.withColumn("_vintara_digest", F.sha2(text_of(docs, text), 256))
-    digests = saved(marked.select("_vintara_digest", F.col(doc_id).alias("_vintara_best")))
-    winners = saved(
-        digests.join(F.broadcast(frequent_values(digests, "_vintara_digest", support)), "_vintara_digest")
-        .groupBy("_vintara_digest")
-        .agg(F.max("_vintara_best").alias("_vintara_best"))
-    )
-    left = marked.join(F.broadcast(winners), "_vintara_digest", "left").where(
-        F.col("_vintara_best").isNull() | (F.col(doc_id) == F.col("_vintara_best"))
-    )
-    first = F.row_number().over(Window.partitionBy("_vintara_digest").orderBy(F.col(doc_id).desc_nulls_last()))
-    return left.withColumn("_vintara_rank", first).where("_vintara_rank = 1").select(*docs.columns)
+    found = exact_dedup(docs, doc_id, text, support).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    return drop_unkept(docs, found, doc_id, text)
