@@ -1,5 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
+Every stage takes null texts as empty ones, null ids, repeated rows and further columns,
+and gives no rows for an empty table; what it does with them its operator states.
+
 Each stage is one of the corpus operators, applied to all that its predecessor kept.
 ``run`` writes every stage to the folder that the cluster shares and reads it again, so
 a lost executor costs no more than the stage at work.
@@ -9,12 +12,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintara.llm import exact, packing, pii, quality, simhash
+from vintara.llm import exact, packing, pii, quality, similar
 from vintara.llm.common import shared_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that a classifier learned from ``labels`` accepts."""
+    """The documents that a classifier learned from ``labels`` accepts; a null text is scored as an empty one."""
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
@@ -25,8 +28,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by SimHash, the document with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group linked by SimHash variants and a similarity of 0.8, the document with the smallest id."""
+    return similar.drop_similar_documents(docs)
 
 
 def sanitised_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
