@@ -1,20 +1,24 @@
 """Personal data: detection, and information-theoretic sanitisation (no Python code in tasks).
 
 Entities are found by expressions: e-mail and IP addresses, card and phone numbers. Words
-near them may reveal them too. How strongly a term ``t`` reveals entities ``e`` of a kind
-is estimated from the whole corpus by pointwise mutual information,
+near them may reveal them too. How strongly a term ``t`` reveals an entity ``e`` is estimated
+from the whole corpus by pointwise mutual information,
 
     PMI(t, e) = log p(t, e) / (p(t) p(e)),
 
 where ``p(t)`` is the share of the corpus' terms outside entities that are ``t``, ``p(e)`` the share of terms
-that stand near an entity of the kind, and ``p(t, e)`` the share that are ``t`` and do. A term
-that always stands near one has PMI equal to the information of the kind, ``-log p(e)``.
-Terms whose PMI is at least ``DISCLOSURE`` of that are sanitised wherever they stand: they
-become a general label, as the entities do.
+that stand near ``e``, and ``p(t, e)`` the share that are ``t`` and do. A term that always stands near
+``e`` has PMI equal to its information, ``-log p(e)``. The estimate is made twice: for each
+entity that recurs, such as one mailbox and the name beside it, and for each kind of entity,
+as most entities are too rare to be estimated by themselves. Terms whose PMI is at least
+``ENTITY_DISCLOSURE``, or ``DISCLOSURE``, of that information are sanitised wherever they stand: those
+that :data:`GENERAL` knows are generalised to what it says, others are removed, and a label stands in
+their place as it does for entities.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +26,10 @@ from pyspark.sql import functions as F
 
 from vintara.llm.common import saved, text_of
 
-#: Share of an entity's information that a term may not reveal.
+#: Share of a kind's, and of a single entity's, information that a term may not reveal.
 DISCLOSURE = 0.9
-#: Occurrences near entities below which the corpus gives no estimate.
+ENTITY_DISCLOSURE = 0.97
+#: Occurrences near entities, and different texts with one entity, below which the corpus gives no estimate.
 SUPPORT = 5
 #: Characters on each side of an entity that are near it.
 NEAR = 40
@@ -82,6 +87,17 @@ BASE_KINDS = (
     Kind("phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(10, 15)),
 )
 TERM_KIND = "term"
+# What terms are generalised to, and the terms.
+_GENERAL = {
+    "title": "mr mrs ms miss dr prof sir madam herr frau monsieur madame mademoiselle señor señora don doña",
+    "relation": "mother father wife husband son daughter brother sister mutter vater tochter bruder schwester mère père frère sœur madre padre hijo hija hermano hermana",
+    "occupation": "doctor nurse teacher lawyer engineer manager director professor student ingenieur lehrer arzt médecin professeur abogado maestro",
+    "organisation": "inc ltd llc corp company bank university hospital school gmbh verein firma société université hôpital empresa universidad banco",
+    "place": "street road avenue lane square city town village country strasse straße weg platz stadt rue ville pays calle avenida ciudad london paris berlin madrid rome vienna",
+    "date": "january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday birthday januar februar märz juli oktober dezember janvier février juillet août décembre enero febrero julio agosto diciembre",
+    "number": "one two three four five six seven eight nine ten hundred thousand eins zwei drei hundert tausend deux trois cent mille dos tres cien mil",
+}
+GENERAL = {word: name for name, words in _GENERAL.items() for word in words.split()}
 KIND_NAMES = (*(k.name for k in BASE_KINDS), TERM_KIND)
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -118,31 +134,47 @@ def entity_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """``kind, term, start, end`` of the terms of a lowered text near each span; cut words aren't terms."""
+def near_terms(text: Column, low: Column, spans: Column) -> Column:
+    """``kind, start, entity, term, first`` of the terms near each span; cut words aren't terms.
 
-    def side(begin: Column, end: Column, kind: Column, ragged_left: Column, ragged_right: Column) -> Column:
+    ``low`` is the lowered text, ``entity`` a hash of the span's own characters. A term near
+    two entities is there for both; for each kind one of them is marked ``first``.
+    """
+
+    def side(begin: Column, end: Column, s: Column, ragged_left: Column, ragged_right: Column) -> Column:
         # The text before this term in the window says where it stands; a run of letters
         # that the window's border may have cut is no term.
         found = F.filter(
-            matches(F.substring(text, begin + 1, end - begin), f"{_TERM}++"),
+            matches(F.substring(low, begin + 1, end - begin), f"{_TERM}++"),
             lambda m: ~(ragged_left & (m["start"] == 0)) & ~(ragged_right & (m["end"] == end - begin)),
         )
+        entity = F.xxhash64(F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
         return F.transform(
             found,
             lambda m: F.struct(
-                kind.alias("kind"), m["match"].alias("term"), (begin + m["start"]).alias("start"), (begin + m["end"]).alias("end")
+                s["kind"].alias("kind"), (begin + m["start"]).alias("start"), entity.alias("entity"), m["match"].alias("term")
             ),
         )
 
     def around(s: Column) -> Column:
-        left, right = F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["end"] + NEAR, F.length(text))
+        left, right = F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["end"] + NEAR, F.length(low))
         return F.concat(
-            side(left, s["start"], s["kind"], left > 0, F.lit(False)),
-            side(s["end"], right, s["kind"], F.lit(False), right < F.length(text)),
+            side(left, s["start"], s, left > 0, F.lit(False)),
+            side(s["end"], right, s, F.lit(False), right < F.length(low)),
         )
 
-    return F.array_distinct(F.flatten(F.transform(spans, around)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, around))))
+
+
+def _marked_first(near: Column) -> Column:
+    """Sorted terms with ``first``: whether the one before has another kind or place."""
+
+    def mark(x: Column, i: Column) -> Column:
+        before = F.get(near, i - 1)
+        first = (i == 0) | (before["kind"] != x["kind"]) | (before["start"] != x["start"])
+        return F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), x["term"].alias("term"), first.alias("first"))
+
+    return F.transform(near, mark)
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -152,22 +184,30 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(
-    rows: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
+    rows: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, entity_disclosure: float = ENTITY_DISCLOSURE
 ) -> DataFrame:
-    """``kind, term``: the terms that reveal too much about entities of a kind.
+    """``term``: those that reveal too much about a kind of entity or about a single entity.
 
-    ``near`` has a row ``kind, term`` for each occurrence of a term near an entity of ``rows``.
+    ``near`` has a row ``text_hash, kind, entity, term, first`` for each occurrence of a term
+    near an entity of ``rows``.
     """
     counts = saved(term_counts(rows))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    joint = saved(near.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("joint")))
-    shares = {r["kind"]: r["near"] / total for r in joint.groupBy("kind").agg(F.sum("joint").alias("near")).collect()}
     # log(joint / n) - log p(e) >= disclosure * -log p(e)
+    joint = saved(near.where("first").groupBy("kind", "term").agg(F.count(F.lit(1)).alias("joint")))
+    shares = {r["kind"]: r["near"] / total for r in joint.groupBy("kind").agg(F.sum("joint").alias("near")).collect()}
     least = F.lit(2.0)
     for kind, share in shares.items():
         least = F.when(F.col("kind") == kind, min(1.0, share) ** (1 - disclosure)).otherwise(least)
-    some = joint.where(F.col("joint") >= support)
-    return some.join(counts, "term").where(F.col("joint") / F.col("n") >= least).select("kind", "term")
+    of_kinds = joint.where(F.col("joint") >= support).select("term", "joint", least.alias("least"))
+    # Copies of a text say nothing new about an entity: support is counted in different texts.
+    pairs = near.groupBy("kind", "entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.groupBy("kind", "entity", "term").agg(F.sum("n").alias("joint"), F.count(F.lit(1)).alias("texts"))
+    sizes = near.groupBy("kind", "entity").agg((F.count(F.lit(1)) / F.lit(max(1, total))).alias("share"))
+    least = F.pow(F.least(F.col("share"), F.lit(1.0)), F.lit(1 - entity_disclosure))
+    of_entities = pairs.where(F.col("texts") >= support).join(sizes, ["kind", "entity"]).select("term", "joint", least.alias("least"))
+    some = of_kinds.unionByName(of_entities).join(counts, "term")
+    return some.where(F.col("joint") / F.col("n") >= F.col("least")).select("term").distinct()
 
 
 def _apart(spans: Column) -> Column:
@@ -217,10 +257,11 @@ def _rows(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
 
 
 def _revealing(rows: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """``term``: what discloses an entity of any kind in ``rows``, which :func:`_rows` made."""
-    near = rows.where(F.size("spans") > 0).select(F.inline(near_terms(F.col("_low"), F.col("spans"))))
-    near = saved(near.select("kind", "term"))
-    return saved(disclosing_terms(rows, near, disclosure, support).select("term").distinct())
+    """``term``: what discloses an entity in ``rows``, which :func:`_rows` made."""
+    near = near_terms(F.col("_text"), F.col("_low"), F.col("spans"))
+    held = rows.where(F.size("spans") > 0).select("text_hash", near.alias("_near"))
+    near = saved(held.select("text_hash", F.inline(_marked_first(F.col("_near")))))
+    return saved(disclosing_terms(rows, near, disclosure, support))
 
 
 def _with_terms(rows: DataFrame, revealing: DataFrame) -> DataFrame:
@@ -253,7 +294,7 @@ def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int
     """``doc_id, spans, terms`` for each row: the base spans and those of disclosing terms.
 
     Null and empty texts have none; null ids are ids like others; repeated rows come out as
-    often as they are there; other columns are ignored.
+    often as they are there, each with its terms; other columns are ignored; an empty table gives no rows.
     """
     rows = _rows(docs, doc_id, text)
     return _with_terms(rows, _revealing(rows, disclosure, support)).select("doc_id", "spans", "terms")
@@ -262,14 +303,22 @@ def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with entities and disclosing terms replaced by labels such as ``[EMAIL]``.
 
-    Rows and columns stay; a column ``n_chars`` becomes the new length. A null text
-    stays null.
+    A term is generalised to what :data:`GENERAL` calls it, such as ``[PLACE]``, or else removed,
+    which leaves ``[TERM]``. Rows and columns stay; a column ``n_chars`` becomes the new length.
+    A null text stays null; an empty table gives no rows.
     """
     rows = _rows(docs, doc_id, text, F.struct(*docs.columns).alias("_row"))
     joined = _with_terms(rows, _revealing(rows, disclosure, support))
     labels = F.array(*(F.lit(f"[{name.upper()}]") for name in KIND_NAMES))
     new = joined.withColumn("_apart", _apart(F.concat("spans", "terms")))
-    new = new.withColumn("_text", _rewrite(F.col("_text"), F.col("_apart"), lambda s: F.get(labels, s["kind"])))
+    general = F.from_json(F.lit(json.dumps({word: f"[{name.upper()}]" for word, name in GENERAL.items()})), "map<string,string>")
+
+    def label(s: Column) -> Column:
+        # An entity's characters are blank in the lowered text, so only terms are looked up.
+        term = F.substring("_low", s["start"] + 1, s["end"] - s["start"])
+        return F.coalesce(F.try_element_at(general, term), F.get(labels, s["kind"]))
+
+    new = new.withColumn("_text", _rewrite(F.col("_text"), F.col("_apart"), label))
     value = F.when(F.col(f"_row.{text}").isNull(), F.lit(None)).otherwise(F.col("_text"))
     columns = []
     for name in docs.columns:

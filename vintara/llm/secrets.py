@@ -55,13 +55,55 @@ BASE_RULES = (
 # Public formats of well-known credentials.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("github_fine", r"github_pat_[A-Za-z0-9_]{36,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("gitlab_runner", r"glrt-[A-Za-z0-9_-]{20,}"),
     Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
+    Rule("slack_app", r"xapp-[0-9]-[A-Z0-9]+-[0-9]+-[a-z0-9]+"),
+    Rule("slack_hook", r"https://hooks\.slack\.com/(?:services|workflows)/[A-Za-z0-9+/]{20,}"),
+    Rule("discord_hook", r"https://(?:www\.)?discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]{30,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("google_client", r"[0-9]{6,}-[0-9a-z]{32}\.apps\.googleusercontent\.com"),
+    Rule("google_secret", r"GOCSPX-[A-Za-z0-9_-]{28}"),
+    Rule("google_token", r"ya29\.[0-9A-Za-z_-]{20,}"),
+    Rule("aws_temporary", r"(?:ASIA|ABIA|ACCA)[A-Z0-9]{16}(?![A-Z0-9])"),
+    Rule("aws_secret", r"(?i:aws_?secret_?access_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9/+=]{40}"),
+    Rule("azure_storage", r"AccountKey=[A-Za-z0-9+/]{86}=="),
+    Rule("azure_signature", r"[?&]sig=[A-Za-z0-9%]{43,}%3[dD]"),
     Rule("stripe", r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}"),
+    Rule("stripe_hook", r"whsec_[A-Za-z0-9+/]{32,}"),
+    Rule("square", r"sq0(?:atp|csp)-[0-9A-Za-z_-]{22,}"),
+    Rule("square_live", r"EAAA[A-Za-z0-9_-]{60}"),
+    Rule("paypal_live", r"access_token\$production\$[0-9a-z]{16}\$[0-9a-f]{32}"),
+    Rule("shopify", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}"),
+    Rule("twilio", r"(?:AC|SK)[0-9a-f]{32}(?![0-9a-f])"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("mailgun", r"key-[0-9a-f]{32}(?![0-9a-f])"),
+    Rule("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-AgE[A-Za-z0-9_-]{50,}"),
+    Rule("rubygems", r"rubygems_[0-9a-f]{48}"),
+    Rule("nuget", r"oy2[a-z0-9]{43}"),
+    Rule("docker", r"dckr_pat_[A-Za-z0-9_-]{27}"),
+    Rule("heroku", r"HRKU-[A-Za-z0-9_-]{36,}"),
+    Rule("digitalocean", r"do[opr]_v1_[0-9a-f]{64}"),
+    Rule("linear", r"lin_api_[A-Za-z0-9]{40}"),
+    Rule("notion", r"ntn_[A-Za-z0-9]{40,}"),
+    Rule("figma", r"figd_[A-Za-z0-9_-]{40}"),
+    Rule("postman", r"PMAK-[0-9a-f]{24}-[0-9a-f]{34}"),
+    Rule("new_relic", r"NRAK-[A-Z0-9]{27}"),
+    Rule("grafana", r"glsa_[A-Za-z0-9]{32}_[0-9a-f]{8}"),
+    Rule("databricks", r"dapi[0-9a-f]{32}"),
+    Rule("hugging_face", r"hf_[A-Za-z]{34}"),
+    Rule("vault", r"hv[sb]\.[A-Za-z0-9_-]{24,}"),
+    Rule("age_key", r"AGE-SECRET-KEY-1[0-9A-Z]{58}"),
+    Rule("telegram", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("url_login", r"[a-z][a-z0-9+]{1,9}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"),
+    Rule("putty_key", r"PuTTY-User-Key-File-[23]"),
+    # Classes that don't give back what they took keep long runs linear.
+    Rule("url_login", r"[a-z][a-z0-9+]{1,9}://[^\s:/@]++:[^\s:/@]++@"),
+    Rule("bearer", r"(?i:authorization)\x20*[:=]\x20*[\"']?(?i:bearer|basic)\x20+[A-Za-z0-9+/_.=~-]{16,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -274,7 +316,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
     A span is ``kind, start, end`` in code points, the end exclusive. Matches of a rule
     are leftmost and don't overlap; those the rule doesn't accept are dropped. Spans of
     different rules may overlap. Null and empty texts have no spans; repeated rows have
-    their spans each; other columns are ignored.
+    their spans each; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     return rows.mapInArrow(
