@@ -578,6 +578,63 @@ def test_experiment(spark):
         experiment.select(config, ["nobody"])
 
 
+def test_declared_runs_say_everything(spark):
+    from vintara.plans import declared
+
+    config = experiment.Configuration("a", ("b",))
+    none = {"a": protocol.Protocol((), ()), "b": protocol.Protocol((), ())}
+    ready = declared.Conditions()
+    with pytest.raises(TypeError):
+        declared.run_declared(config, {}, ready, none, None)
+    for protocols, fits in ((none, {"a": ()}), ({"a": none["a"]}, {"a": (), "b": ()}), (none, {"a": (), "b": (protocol.FitProvenance("x", day(1), 1),)})):
+        with pytest.raises(errors.ExecutionError):
+            declared.run_declared(config, {}, ready, protocols, fits)
+    with pytest.raises(errors.ConfigurationError):
+        declared.run_declared(config, {}, ready, none, {"a": (), "b": ()})
+
+
+def test_decision_contexts_and_results(spark):
+    from vintara.plans import declared
+
+    universe = spark.createDataFrame([(day(1), "A"), (day(1), "B"), (day(2), "A")], "decision_time timestamp, asset string")
+    books = spark.createDataFrame([(day(1), "A", 1.0, "PRE_TRADE")], "decision_time timestamp, asset string, weight double, state string")
+    seen = spark.createDataFrame([(day(1), day(1))], "decision_time timestamp, as_of timestamp")
+    told = spark.createDataFrame([(day(1), day(1))], "decision_time timestamp, forecast_time timestamp")
+    assert declared.require_contexts(universe, books, seen, told) is universe
+    for bad, error in (
+        (dict(universe=universe.unionByName(universe)), errors.ConfigurationError),
+        (dict(universe=universe, holdings=books.withColumn("state", F.lit("TARGET"))), errors.ExecutionError),
+        (dict(universe=universe, holdings=books.withColumn("decision_time", F.lit(day(9)))), errors.ExecutionError),
+        (dict(universe=universe, information=seen.withColumn("as_of", F.lit(day(2)))), errors.FutureInformationError),
+        (dict(universe=universe, forecasts=told.withColumn("forecast_time", F.lit(day(2)))), errors.ExecutionError),
+    ):
+        with pytest.raises(error):
+            declared.require_contexts(**bad)
+    results_ = spark.createDataFrame([("s", day(1), day(1)), ("s", day(2), day(3))], "strategy_id string, decision_time timestamp, execution_time timestamp")
+    assert declared.require_results(results_, results_) is results_
+    for bad in (results_.withColumn("execution_time", F.lit(day(1))), results_.limit(1)):
+        with pytest.raises(errors.ExecutionError):
+            declared.require_results(bad, results_)
+    assert declared.rebalance_violations(results_).count() == 0
+    assert declared.rebalance_violations(results_.withColumn("execution_time", F.lit(day(5)))).count() == 1
+    assert declared.on_schedule(spark.createDataFrame([(day(1),), (day(7),)], "instant timestamp"), universe).count() == 1
+    links = spark.createDataFrame([("s", day(1), "f"), ("s", day(2), "f"), ("t", day(1), "g")], "strategy_id string, decision_time timestamp, fit_id string")
+    assert declared.forecast_links(links).count() == 2
+    with pytest.raises(errors.ExecutionError):
+        declared.forecast_links(links.withColumn("decision_time", F.lit(day(1))))
+    mapping = spark.createDataFrame([("x/1", "A"), ("x/2", "B")], "series_id string, asset string")
+    rows = spark.createDataFrame([("x/1", 1.0), ("x/3", 2.0)], "series_id string, value double")
+    assert [(r.asset, r.value) for r in declared.mapped_assets(rows, mapping).collect()] == [("A", 1.0)]
+    with pytest.raises(errors.ConfigurationError):
+        declared.mapped_assets(rows, mapping.withColumn("asset", F.lit("A")))
+    used = spark.createDataFrame([(day(1), day(2))], "use_time timestamp, available_time timestamp")
+    with pytest.raises(errors.FutureInformationError):
+        declared.require_factors_available(used)
+    values = spark.createDataFrame([("a", "g", "3"), ("b", "g", "3"), ("a", "l", "1"), ("b", "l", "1"), ("a", "own", "1")], "strategy_id string, name string, value string")
+    said = spark.createDataFrame([("g", "identical"), ("l", "distinct")], "name string, relation string")
+    assert [r["name"] for r in declared.relation_violations(values, said).collect()] == ["l"]
+
+
 def test_result_records():
     manifest = results.RunManifest("e", "0" * 64, "1", 0, "2026-01-01T00:00:00Z", "test")
     block = results.MetricsBlock({"cumulative_return": 0.1}, "net", 12, 1.0, 0.0)

@@ -337,25 +337,60 @@ def met_core(spark, sf_dir):
     return _rounded(found, *met.METRICS, places=6)
 
 
+def _declared(spark, sf_dir, every=1):
+    """Ledger, metrics and records of both strategies by a declared run over the panel."""
+    from vintara.plans import declared, experiment, protocol
+
+    market = views.Market(spark, sf_dir)
+    windows = saved(_windows(market))
+    strategies = {
+        "inverse_vol": alloc.inverse_volatility,
+        "equal_weight": lambda w: alloc.equal_weight(w.select("decision_time", "asset").distinct()),
+    }
+    config = experiment.Configuration("inverse_vol", ("equal_weight",))
+    conditions = declared.Conditions(
+        windows, market.months.select("instant"), market.factors, constraints=ptf.WeightConstraints(), rate=RATE,
+        turnover="one_way", periods_per_year=12, risk_aversion=3.0, risk_free=0.001,
+    )
+    # Neither strategy fits anything, and both say so.
+    nothing = {name: protocol.Protocol((), ()) for name in strategies}
+    return declared.run_declared(config, strategies, conditions, nothing, {name: () for name in strategies}, rebalance_every=every)
+
+
 @query(_CORE_SQL)
 def exp_backtest_inverse_vol(spark, sf_dir):
-    """The flagship: targets, ledger and metrics of both strategies, with all inputs checked."""
-    found = met.core_metrics(strategy_ledger(spark, sf_dir, checked=True), 12, 3.0, 0.001)
-    return _rounded(found, *met.METRICS, places=6)
+    """The flagship: targets, ledger and metrics of both strategies in a declared run, with all inputs checked."""
+    _, measured, _ = _declared(spark, sf_dir)
+    return _rounded(measured, *met.METRICS, places=6)
+
+
+@query(f"""{_PATH}, wealth AS (SELECT *, product(1 + net_return) OVER (PARTITION BY strategy_id ORDER BY period) AS w FROM ledger)
+    SELECT strategy_id, count(*) AS n_periods, min(period_start) AS period_start, max(period_end) AS period_end, 1.0 AS wealth_open,
+           {_r('arg_max(w, period)', 6)} AS wealth_close FROM wealth GROUP BY ALL""")
+def exp_record(spark, sf_dir):
+    _, _, records = _declared(spark, sf_dir)
+    found = records.select("strategy_id", "n_periods", "period_start", "period_end", "wealth_open", "wealth_close")
+    return _rounded(found, "wealth_open", "wealth_close", places=6)
 
 
 @query(f"""WITH {_BASE}, {_TARGETS} SELECT strategy_id, decision_time, {_r('sum(weight)')} AS net, count(*) AS n_assets,
     decision_time AS execution_time FROM targets GROUP BY ALL""")
 def exp_targets(spark, sf_dir):
-    books = _targets(views.Market(spark, sf_dir))
+    from vintara.plans import experiment
+
+    windows = saved(_windows(views.Market(spark, sf_dir)))
+    equal = lambda w: alloc.equal_weight(w.select("decision_time", "asset").distinct())
+    books = experiment.targets_of(windows, {"inverse_vol": alloc.inverse_volatility, "equal_weight": equal})
     found = ptf.exposures(books, ["strategy_id", "decision_time"])
     return _rounded(found, "net").select("strategy_id", "decision_time", "net", "n_assets", F.col("decision_time").alias("execution_time"))
 
 
-@query(f"""{_PATH} SELECT strategy_id, count(*) AS n_periods, count(*) FILTER (turnover > 0) AS n_trades FROM ledger GROUP BY ALL""")
+@query(f"""WITH {_BASE}, {_TARGETS}, placed AS (SELECT strategy_id, decision_time, dense_rank() OVER (PARTITION BY strategy_id ORDER BY decision_time) - 1 AS p FROM targets)
+    SELECT DISTINCT strategy_id, decision_time FROM placed WHERE p % 2 = 0""")
 def exp_hold_cadence(spark, sf_dir):
-    found = strategy_ledger(spark, sf_dir)
-    return found.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("n_periods"), F.count_if(F.col("turnover") > 0).alias("n_trades"))
+    from vintara.plans import experiment
+
+    return experiment.held(_targets(views.Market(spark, sf_dir)), 2).select("strategy_id", "decision_time").distinct()
 
 
 # Comparison.
