@@ -79,3 +79,14 @@ def test_table(spark, sf_dir, reference):
         ids = np.array(reference.encode_ordinary(texts[r.doc_id]), "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_long_words_are_not_remembered():
+    from vintara.llm.tokens import MEMO_CHARS, WordMemo
+
+    memo = WordMemo(lambda word: [len(word)], limit=3)
+    long = "x" * (MEMO_CHARS + 1)
+    assert memo[long] == (len(long)).to_bytes(4, "little") and long not in memo
+    for word in ("a", "bb", "ccc", "dddd"):
+        assert memo[word] == len(word).to_bytes(4, "little")
+    assert set(memo) == {"dddd"}

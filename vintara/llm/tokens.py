@@ -18,6 +18,8 @@ import regex
 
 #: Words remembered by one worker; it starts anew when they are this many.
 MEMO_WORDS = 400_000
+#: Characters up to which a word is remembered, so that many words bound the bytes as well.
+MEMO_CHARS = 200
 
 #: Texts of these characters only can be split by the faster of the two engines: there
 #: its classes for letters, digits and spaces are the same as the Unicode categories.
@@ -35,7 +37,7 @@ def split_words(text: str) -> list[str]:
 class WordMemo(dict):
     """Words and their ids, as little-endian unsigned 32-bit integers.
 
-    A word that isn't there yet is encoded and remembered.
+    A word that isn't there yet is encoded and, unless it is very long, remembered.
     """
 
     def __init__(self, encode_word: Callable[[str], list[int]], limit: int = MEMO_WORDS):
@@ -43,10 +45,12 @@ class WordMemo(dict):
         self._encode, self._limit = encode_word, limit
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self._limit:
-            self.clear()
         ids = self._encode(word)
-        made = self[word] = np.array(ids, "<u4").tobytes() if _BIG else array("I", ids).tobytes()
+        made = np.array(ids, "<u4").tobytes() if _BIG else array("I", ids).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= self._limit:
+                self.clear()
+            self[word] = made
         return made
 
     def ids(self, text: str) -> bytes:
