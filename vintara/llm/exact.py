@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.llm.common import saved, text_of
+from vintara.storage import small
 
 #: Share of the rows above which a digest counts as frequent. It bounds the broadcast:
 #: at most ``1 / SUPPORT`` digests.
 SUPPORT = 0.001
+#: Rows of identifiers and digests (about 100 bytes each) up to which they are broadcast.
+DROP_ROWS = 100_000
 
 
 def frequent_values(df: DataFrame, column: str, support: float = SUPPORT) -> DataFrame:
@@ -70,13 +73,14 @@ def drop_unkept(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
 
     ``found`` has ``doc_id, digest, kept`` for each row, the digest being the SHA-256 of its
     text, and keeps one at most of rows that repeat with id and text. What goes is decided
-    on these; texts are shuffled only if so many rows go that Spark can't broadcast them,
+    on these; texts are shuffled only if more than :data:`DROP_ROWS` rows go,
     or for rows that repeat with id and text and of which one stays.
     """
     each = found.groupBy(F.col("doc_id").alias("_vintara_id"), F.col("digest").alias("_vintara_digest")).agg(
         F.bool_or("kept").alias("_vintara_kept"), F.count(F.lit(1)).alias("_vintara_n")
     )
-    each = saved(each.where("NOT _vintara_kept OR _vintara_n > 1"))
+    # Few rows are broadcast after a count; more meet the texts in a shuffle.
+    each = small(saved(each.where("NOT _vintara_kept OR _vintara_n > 1")), DROP_ROWS)
     marked = docs.withColumn("_vintara_hash", F.sha2(text_of(docs, text), 256))
     same = F.col(doc_id).eqNullSafe(F.col("_vintara_id")) & (F.col("_vintara_hash") == F.col("_vintara_digest"))
     alone = marked.join(each, same, "left_anti").select(*docs.columns)

@@ -87,8 +87,16 @@ def _far(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) > CANDIDATE_DISTANCE
 
 
-def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose shingles are as similar as asked; texts without words equal each other."""
+def _verified(pairs: DataFrame, sizes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose shingles are as similar as asked; texts without words equal each other.
+
+    Sets of too different sizes can't be similar; only the others' shingles are brought together.
+    """
+    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
+        sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"
+    )
+    near = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+    pairs = saved(sized.where(near).select("a", "b"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = shingles.join(nodes, "node", "left_semi")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
@@ -113,7 +121,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
     # Equal texts are one node, named by one of their rows.
     names = saved(rows.groupBy("digest").agg(F.min("row").alias("node")))
-    nodes = saved(rows.join(names, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "fp", "mins"))
+    nodes = saved(rows.join(names, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "fp", "mins", F.size("shingles").alias("n")))
+    sizes = nodes.select("node", "n")
     shingles = rows.select(F.col("row").alias("node"), "shingles")
 
     def keyed(some: DataFrame) -> DataFrame:
@@ -124,7 +133,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     whole_key = Window.partitionBy("key")
     order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(SEGMENTS))).alias("hash"), F.col("node").alias("node"), F.col("fp").alias("fp"))
     first = (
-        keyed(nodes)
+        keyed(nodes.drop("n"))
         .withColumn("_hub", F.min(order).over(whole_key))
         .select(F.col("node").alias("a"), F.col("_hub.node").alias("b"), "fp", F.col("_hub.fp").alias("fp2"))
         .where((F.col("a") != F.col("b")) & ~_far("fp", "fp2"))
@@ -132,7 +141,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
         .distinct()
     )
     first = saved(first)
-    roots = saved(connected_components(_verified(first, shingles, similarity)))
+    roots = saved(connected_components(_verified(first, sizes, shingles, similarity)))
     labelled = nodes.join(roots, "node", "left").select("node", "fp", "mins", F.coalesce("root", "node").alias("label"))
     # What is left: keys of three or more texts that are still in different components.
     left = saved(
@@ -150,7 +159,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
         .distinct()
     )
     more = saved(more.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    across = _verified(more, shingles, similarity)
+    across = _verified(more, sizes, shingles, similarity)
     of = labelled.select("node", "label")
     joined = across.join(of.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(of.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
     tops = saved(connected_components(joined.select("la", "lb").distinct()))
