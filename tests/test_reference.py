@@ -433,6 +433,21 @@ def test_comparisons_carry_every_declaration(spark):
         compare.cells(spark.createDataFrame([("a",)], "strategy_id string"), ["sharpe_ratio"], records.withColumn("value", F.lit(float("inf"))))
 
 
+def test_compensated_sums(spark):
+    rows = [[0.1] * 10, [1e16, 1.0, -1e16], [1 / 3, 1 / 3, 1 / 3], []]
+    frame = spark.createDataFrame([(r,) for r in rows], "v array<double>")
+    assert [r[0] for r in frame.select(led.compensated_sum(F.col("v"))).collect()] == [1.0, 1.0, 1.0, 0.0]
+    instants = spark.createDataFrame([("s", day(1)), ("s", day(2))], "strategy_id string, instant timestamp")
+    grown = spark.createDataFrame([(day(1), "A", 1.0), (day(1), "B", 1.0)], "instant timestamp, asset string, g double")
+    none = spark.createDataFrame([], "strategy_id string, execution_time timestamp, asset string, weight double")
+    for off, raises in ((0.0, False), (1e-12, True)):
+        book = spark.createDataFrame([("s", "A", 0.5), ("s", "B", 0.5 + off)], "strategy_id string, asset string, weight double")
+        assert led.build_ledger(book, instants, none, grown).count() == 1
+        if raises:
+            with pytest.raises(errors.ExecutionError):
+                led.build_ledger(book, instants, none, grown, strict_budget=True)
+
+
 def test_a_long_ledger_is_linear(spark):
     n = 100_000
     at = F.timestamp_micros(F.col("id") * 60_000_000)

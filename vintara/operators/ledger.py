@@ -11,7 +11,7 @@ product of both. All of it is joins and windows, whatever the number of periods.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.checks import require_none
@@ -121,13 +121,15 @@ def build_ledger(
     measure: str = "one_way",
     initial_wealth: float = 1.0,
     checked: bool = True,
+    strict_budget: bool = False,
 ) -> DataFrame:
     """One row for each period: ``gross_return, net_return, turnover, transaction_cost,
     wealth_open, wealth_close`` and its bounds.
 
     ``transaction_cost`` is ``1 - prod(1 - q)``. With ``checked`` the inputs are validated
     first: unit books, factors for every asset and segment, executions on the path,
-    positive values, costs below 1.
+    positive values, costs below 1. A unit book sums to 1 within 1e-9, or with
+    ``strict_budget`` exactly, as a compensated sum in order of assets gives it.
     """
     if measure not in TURNOVERS or rate < 0 or not 0 < initial_wealth < float("inf"):
         raise ExecutionError("a ledger needs a turnover measure, a rate and a positive wealth")
@@ -135,7 +137,7 @@ def build_ledger(
     weights = saved(ledger_weights(initial, instants, decisions, factors))
     trades = saved(executions(weights, rate, measure, initial))
     if checked:
-        _require_lawful(initial, instants, decisions, weights, trades)
+        _require_lawful(initial, instants, decisions, weights, trades, strict_budget)
     periods = periods_of(instants)
     values = weights.select("strategy_id", "period", "segment", F.try_divide("value", "value_before").alias("d")).distinct()
     gross = values.groupBy("strategy_id", "period").agg(F.product("d").alias("_gross"))
@@ -156,10 +158,26 @@ def build_ledger(
     )
 
 
-def _require_lawful(initial: DataFrame, instants: DataFrame, decisions: DataFrame, weights: DataFrame, trades: DataFrame) -> None:
-    books = initial.select("strategy_id", F.lit(None).cast("timestamp").alias("execution_time"), "weight").unionByName(
-        decisions.select("strategy_id", "execution_time", "weight")
+def compensated_sum(values: Column) -> Column:
+    """The sum of an array of doubles in its order, with what each addition loses added at the end."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("lost"))
+
+    def add(acc: Column, x: Column) -> Column:
+        total = acc["sum"] + x
+        lost = F.when(F.abs(acc["sum"]) >= F.abs(x), (acc["sum"] - total) + x).otherwise((x - total) + acc["sum"])
+        return F.struct(total.alias("sum"), (acc["lost"] + lost).alias("lost"))
+
+    return F.aggregate(values, start, add, lambda acc: acc["sum"] + acc["lost"])
+
+
+def _require_lawful(initial: DataFrame, instants: DataFrame, decisions: DataFrame, weights: DataFrame, trades: DataFrame, strict_budget: bool = False) -> None:
+    books = initial.select("strategy_id", F.lit(None).cast("timestamp").alias("execution_time"), "asset", "weight").unionByName(
+        decisions.select("strategy_id", "execution_time", "asset", "weight")
     )
+    if strict_budget:
+        held = F.transform(F.array_sort(F.collect_list(F.struct("asset", "weight"))), lambda x: x["weight"])
+        exact = books.groupBy("strategy_id", "execution_time").agg(compensated_sum(held).alias("total"))
+        require_none(exact.where("total IS NULL OR total <> 1"), ExecutionError, "not exactly a unit book")
     sums = books.groupBy("strategy_id", "execution_time").agg(F.sum("weight").alias("total"))
     require_none(sums.where("total IS NULL OR abs(total - 1) > 1e-9"), ExecutionError, "not a unit book")
     span = instants.groupBy("strategy_id").agg(F.min("instant").alias("_from"), F.max("instant").alias("_to"))
