@@ -410,6 +410,31 @@ def test_running_totals_in_buckets(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_windows_across_buckets(spark, monkeypatch):
+    from vintara.operators import buckets
+
+    rng = np.random.default_rng(5)
+    start = day(1)
+    rows = [("hot" if i % 5 else f"s{i % 3}", start + timedelta(minutes=int(rng.integers(0, 300))), None, int(rng.integers(0, 50))) for i in range(400)]
+    frame = obs(spark, [(s, t, t + timedelta(minutes=v), v) for s, t, _, v in rows])
+    decisions = spark.createDataFrame([(start + timedelta(minutes=7 * i),) for i in range(60)], "decision_time timestamp")
+    instants = spark.createDataFrame([(start + timedelta(minutes=3 * i),) for i in range(90)], "instant timestamp")
+    anchors = spark.createDataFrame([(start + timedelta(minutes=4 * i - 30),) for i in range(90)], "cutoff timestamp")
+
+    def results():
+        mean = trf.rolling_mean(frame, 4).groupBy("series_id", "available_time").agg(F.round(F.sum("value"), 9), F.count(F.lit(1)))
+        return [sorted(map(str, df.collect())) for df in (mean, pit.as_of(frame, decisions, few=False), trf.window_start(instants, anchors, 12))]
+
+    whole = results()
+    assert whole[1] == sorted(map(str, pit.as_of(frame, decisions, few=True).collect()))
+    times = [start + timedelta(minutes=3 * i) for i in range(90)]
+    want = [(a, [t for t in times if t <= a][-12]) for a in (start + timedelta(minutes=4 * i - 30) for i in range(90)) if sum(t <= a for t in times) >= 12]
+    assert sorted((utc(r.cutoff), utc(r.window_start)) for r in trf.window_start(instants, anchors, 12).collect()) == want
+    monkeypatch.setattr(buckets, "BUCKET_ROWS", 37)
+    monkeypatch.setattr(trf, "BUCKET_ROWS", 37)
+    assert results() == whole
+
+
 def test_series_of_one_local_id_are_rejected(spark):
     rows = [(f"{p}/a", day(d), day(d), d) for p in "xy" for d in (1, 2, 3, 4)]
     for report in (dia.describe, dia.correlation, dia.series_table):
@@ -593,6 +618,14 @@ def test_experiment(spark):
         experiment.select(config, ["nobody"])
 
 
+def test_fit_events_lie_in_partitions():
+    part = protocol.Partition("development", day(1), day(9))
+    assert protocol.Protocol((part,), (protocol.FitEvent("initial_fit", "development", day(9)),)).events
+    for parts in ((part,), ()):
+        with pytest.raises(errors.ProtocolStructureError):
+            protocol.Protocol(parts, (protocol.FitEvent("initial_fit", "development", day(10)),))
+
+
 def test_declared_runs_say_everything(spark):
     from vintara.plans import declared
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vintara.checks import require_none
 from vintara.errors import InsufficientWindowError, WindowDeclarationError
+from vintara.operators.buckets import BUCKET_ROWS, bucketed, running
 from vintara.operators.pit import as_of
 
 _COLUMNS = ("series_id", "observation_time", "available_time", "value")
@@ -26,12 +27,13 @@ def _order(df: DataFrame) -> list[str]:
 def _rolling(df: DataFrame, window: int, suffix: str, of, least: int = 1) -> DataFrame:
     if not isinstance(window, int) or isinstance(window, bool) or window < least:
         raise WindowDeclarationError(f"a window is of at least {least} rows; got {window!r}")
-    ordered = Window.partitionBy("series_id").orderBy(*_order(df))
-    frame = ordered.rowsBetween(1 - window, 0)
+    order = _order(df)
+    dealt = _with_halo(df, order, window)
+    frame = Window.partitionBy("series_id", "_bucket").orderBy(*order).rowsBetween(1 - window, 0)
     return (
-        df.withColumn("_n", F.row_number().over(ordered))
+        dealt.withColumn("_n", F.count(F.lit(1)).over(frame))
         .withColumn("_v", of("value").over(frame))
-        .where(F.col("_n") >= window)
+        .where((F.col("_n") == window) & ~F.col("_halo"))
         .select(
             F.concat("series_id", F.lit(f"|{suffix}[{window}]")).alias("series_id"),
             F.col("available_time").alias("observation_time"),
@@ -41,6 +43,25 @@ def _rolling(df: DataFrame, window: int, suffix: str, of, least: int = 1) -> Dat
     )
 
 
+def _with_halo(df: DataFrame, order: list[str], window: int) -> DataFrame:
+    """``df`` in range buckets, each led by the last ``window - 1`` rows of the bucket before.
+
+    A bucket that lies within a series has at least so many rows; should one not, which
+    needs a window of a bucket's size, each series is one bucket.
+    """
+    dealt = bucketed(df, ["series_id"], order, max(BUCKET_ROWS, 8 * window))
+    sizes = dealt.groupBy("series_id", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    of_series = Window.partitionBy("series_id")
+    inner = sizes.withColumns({"_first": F.min("_bucket").over(of_series), "_last": F.max("_bucket").over(of_series)})
+    if not inner.where(F.col("_bucket").between(F.col("_first") + 1, F.col("_last") - 1) & (F.col("_rows") < window - 1)).isEmpty():
+        return df.withColumns({"_bucket": F.lit(0), "_halo": F.lit(False)})
+    back = Window.partitionBy("series_id", "_bucket").orderBy(*(F.col(c).desc() for c in order))
+    led = dealt.withColumn("_back", F.row_number().over(back)).where(F.col("_back") < window).drop("_back")
+    return dealt.withColumn("_halo", F.lit(False)).unionByName(
+        led.withColumn("_bucket", F.col("_bucket") + 1).withColumn("_halo", F.lit(True))
+    )
+
+
 def rolling_mean(df: DataFrame, window: int) -> DataFrame:
     """Means of the last ``window`` rows; full windows only."""
     return _rolling(df, window, "rolling_mean", F.avg)
@@ -147,9 +168,13 @@ def unbalanced(df: DataFrame, window: int, decision: str = "decision_time", seri
 
 def window_start(instants: DataFrame, anchors: DataFrame, n: int, instant: str = "instant", anchor: str = "cutoff") -> DataFrame:
     """For each anchor the ``n``-th latest instant at or before it."""
-    seen = anchors.join(instants, F.col(instant) <= F.col(anchor))
-    rank = F.row_number().over(Window.partitionBy(anchor).orderBy(F.col(instant).desc()))
-    return seen.withColumn("_r", rank).where(F.col("_r") == n).select(anchor, F.col(instant).alias("window_start"))
+    # Anchors stand among the instants and take their running number; ranks then meet ranks.
+    points = instants.select(F.col(instant).alias("_t"), F.lit(1).alias("_point"), F.lit(None).cast("int").alias("_asks")).distinct()
+    asked = anchors.select(F.col(anchor).alias("_t"), F.lit(None).cast("int").alias("_point"), F.lit(1).alias("_asks")).distinct()
+    placed = running(points.unionByName(asked), [], ["_t"], {"_rank": ("count", F.col("_point"))})
+    ranked = placed.where("_point = 1").select(F.col("_t").alias("window_start"), "_rank")
+    wanted = placed.where("_asks = 1").select(F.col("_t").alias(anchor), (F.col("_rank") - (n - 1)).alias("_rank"))
+    return wanted.join(ranked, "_rank").select(anchor, "window_start")
 
 
 def simple_returns(df: DataFrame) -> DataFrame:

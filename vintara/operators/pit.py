@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintara.checks import repeated, require_none
@@ -25,6 +25,7 @@ from vintara.errors import (
     InvalidChronologyError,
     UnknownSeriesError,
 )
+from vintara.operators.buckets import running
 from vintara.storage import small
 
 KEY = ("series_id", "observation_time", "available_time")
@@ -109,14 +110,6 @@ def vintage_as_of(observations: DataFrame, decisions: DataFrame, value: Sequence
     )
 
 
-def _running(observations: DataFrame, latest: Sequence[str], value: Sequence[str]) -> DataFrame:
-    """Each availability with the greatest ``latest`` among what was available by then."""
-    seen = Window.partitionBy("series_id").orderBy("available_time").rangeBetween(Window.unboundedPreceding, 0)
-    rest = [c for c in ("observation_time", "available_time", *value) if c not in latest]
-    best = F.max(F.struct(*latest, *rest)).over(seen)
-    return observations.select("series_id", F.col("available_time").alias("_at"), best.alias("_best"))
-
-
 def as_of(
     observations: DataFrame,
     decisions: DataFrame,
@@ -141,17 +134,15 @@ def as_of(
             .agg(F.max(F.struct(*latest, *rest)).alias("_best"))
         )
     else:
-        # Decisions of every series stand among the running maxima, after those at the
-        # same instant, and take the last one before them.
-        running = _running(observations, latest, value)
+        # Decisions of every series stand among the observations, after those available at
+        # the same instant, and take the running maximum.
+        each = observations.select("series_id", F.col("available_time").alias("_at"), F.struct(*latest, *rest).alias("_row"), F.lit(0).alias("_asks"))
+        none = F.lit(None).cast(each.schema["_row"].dataType)
         asked = grid.crossJoin(observations.select("series_id").distinct()).select(
-            "series_id", F.col("decision_time").alias("_at"), F.lit(None).cast(running.schema["_best"].dataType).alias("_best"), F.lit(1).alias("_asks")
+            "series_id", F.col("decision_time").alias("_at"), none.alias("_row"), F.lit(1).alias("_asks")
         )
-        before = Window.partitionBy("series_id").orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
         best = (
-            running.withColumn("_asks", F.lit(0))
-            .unionByName(asked)
-            .withColumn("_best", F.last("_best", ignorenulls=True).over(before))
+            running(each.unionByName(asked), ["series_id"], ["_at", "_asks"], {"_best": ("max", F.col("_row"))})
             .where("_asks = 1 AND _best IS NOT NULL")
             .select(F.col("_at").alias("decision_time"), "series_id", "_best")
         )

@@ -365,7 +365,7 @@ def exp_backtest_inverse_vol(spark, sf_dir):
 
 
 @query(f"""{_PATH}, wealth AS (SELECT *, product(1 + net_return) OVER (PARTITION BY strategy_id ORDER BY period) AS w FROM ledger)
-    SELECT strategy_id, count(*) AS n_periods, min(period_start) AS period_start, max(period_end) AS period_end, 1.0 AS wealth_open,
+    SELECT strategy_id, count(*) AS n_periods, min(period_start) AS period_start, max(period_end) AS period_end, 1.0::DOUBLE AS wealth_open,
            {_r('arg_max(w, period)', 6)} AS wealth_close FROM wealth GROUP BY ALL""")
 def exp_record(spark, sf_dir):
     _, _, records = _declared(spark, sf_dir)

@@ -132,6 +132,8 @@ class Protocol:
             raise ProtocolStructureError("fit events are sorted and distinct")
         spans = [p for p in self.partitions if p.role == "evaluation"]
         for e in self.events:
+            if not any(p.start <= e.cutoff <= p.end for p in self.partitions):
+                raise ProtocolStructureError(f"a fit event in no partition: {e.cutoff}")
             if e.kind == "refit" and self.learning == "FIXED_ORIGIN" and any(p.start <= e.cutoff <= p.end for p in spans):
                 raise ProtocolStructureError("a fixed origin has no refits in its evaluation")
 
