@@ -33,7 +33,7 @@ ENTITY_DISCLOSURE = 0.97
 SUPPORT = 5
 #: Characters on each side of an entity that are near it.
 NEAR = 40
-#: Disclosing terms up to which each row is compared with all; beyond, they meet its words in a shuffle.
+#: Disclosing terms up to which each word is looked up among them in place; beyond, they meet the words in a join.
 ROW_TERMS = 5_000
 #: Rows with sanitised terms up to which they are broadcast; beyond, they are shuffled.
 BROADCAST_ROWS = 100_000
@@ -98,7 +98,7 @@ _GENERAL = {
     "number": "one two three four five six seven eight nine ten hundred thousand eins zwei drei hundert tausend deux trois cent mille dos tres cien mil",
 }
 GENERAL = {word: name for name, words in _GENERAL.items() for word in words.split()}
-KIND_NAMES = (*(k.name for k in BASE_KINDS), TERM_KIND)
+KIND_NAMES = (*(k.name for k in BASE_KINDS), TERM_KIND, *_GENERAL)
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 _FOUND = "array<struct<start:int,end:int,match:string>>"
@@ -265,15 +265,19 @@ def _revealing(rows: DataFrame, disclosure: float, support: int) -> DataFrame:
 
 
 def _with_terms(rows: DataFrame, revealing: DataFrame) -> DataFrame:
-    """``rows`` with ``terms``: the spans of every occurrence of a revealing term in the text."""
+    """``rows`` with ``terms``: the spans of every occurrence of a revealing term in the text.
+
+    Their kind is what :data:`GENERAL` generalises the term to, or else a removed term's.
+    """
     none = F.array().cast(_SPANS)
     some = revealing.count()
     if some == 0:
         return rows.withColumn("terms", none)
     words = F.split("_low", _NO_TERM)
     if some <= ROW_TERMS:
-        listed = revealing.agg(F.collect_list("term").alias("_listed"))
-        held = rows.crossJoin(F.broadcast(listed)).withColumn("_held", F.array_intersect(words, F.col("_listed")))
+        # Looked up in a set that goes with the plan.
+        listed = [r["term"] for r in revealing.collect()]
+        held = rows.withColumn("_held", F.array_distinct(F.filter(words, lambda w: w.isin(listed))))
     else:
         each = rows.select("doc_id", "text_hash", F.explode(F.array_distinct(words)).alias("term")).join(revealing, "term")
         each = saved(
@@ -283,9 +287,10 @@ def _with_terms(rows: DataFrame, revealing: DataFrame) -> DataFrame:
         held = rows.join(F.broadcast(each) if each.count() <= BROADCAST_ROWS else each, same, "left")
     # Terms are letters alone and need no quoting.
     pattern = F.concat(F.lit(f"(?<!{_TERM})(?:"), F.array_join("_held", "|"), F.lit(f")(?!{_TERM})"))
+    kinds = F.from_json(F.lit(json.dumps({word: KIND_NAMES.index(name) for word, name in GENERAL.items()})), "map<string,int>")
+    kind = lambda m: F.coalesce(F.try_element_at(kinds, m["match"]), F.lit(KIND_NAMES.index(TERM_KIND)))
     spans = F.transform(
-        matches(F.col("_low"), pattern),
-        lambda m: F.struct(m["start"].alias("start"), F.lit(len(BASE_KINDS)).alias("kind"), m["end"].alias("end")),
+        matches(F.col("_low"), pattern), lambda m: F.struct(m["start"].alias("start"), kind(m).alias("kind"), m["end"].alias("end"))
     )
     return held.select(*rows.columns, F.when(F.size("_held") > 0, spans).otherwise(none).alias("terms"))
 
@@ -311,14 +316,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     joined = _with_terms(rows, _revealing(rows, disclosure, support))
     labels = F.array(*(F.lit(f"[{name.upper()}]") for name in KIND_NAMES))
     new = joined.withColumn("_apart", _apart(F.concat("spans", "terms")))
-    general = F.from_json(F.lit(json.dumps({word: f"[{name.upper()}]" for word, name in GENERAL.items()})), "map<string,string>")
-
-    def label(s: Column) -> Column:
-        # An entity's characters are blank in the lowered text, so only terms are looked up.
-        term = F.substring("_low", s["start"] + 1, s["end"] - s["start"])
-        return F.coalesce(F.try_element_at(general, term), F.get(labels, s["kind"]))
-
-    new = new.withColumn("_text", _rewrite(F.col("_text"), F.col("_apart"), label))
+    new = new.withColumn("_text", _rewrite(F.col("_text"), F.col("_apart"), lambda s: F.get(labels, s["kind"])))
     value = F.when(F.col(f"_row.{text}").isNull(), F.lit(None)).otherwise(F.col("_text"))
     columns = []
     for name in docs.columns:
