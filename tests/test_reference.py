@@ -618,6 +618,36 @@ def test_experiment(spark):
         experiment.select(config, ["nobody"])
 
 
+def test_what_a_protocol_requires(spark):
+    part = protocol.Partition("development", day(1), day(9))
+    made = protocol.Protocol((part,), (protocol.FitEvent("initial_fit", "development", day(5)),), estimation=protocol.window(observations=3))
+    seen = obs(spark, [("s", day(d), day(d), d) for d in (1, 2, 3, 7)])
+    protocol.require_first_decision(seen, made)
+    with pytest.raises(errors.ProtocolStructureError):
+        protocol.require_first_decision(seen.where("value <> 2"), made)
+    refits = protocol.RefitSchedule((day(2), day(4)))
+    assert refits.latest(day(3)) == day(2) and refits.latest(day(1)) is None
+    with pytest.raises(errors.ScheduleStructureError):
+        protocol.RefitSchedule((day(4), day(2)))
+    assert protocol.require_selection_labels(seen, day(7)) is seen
+    with pytest.raises(errors.FutureInformationError):
+        protocol.require_selection_labels(seen, day(6))
+    kinds = "decision_time timestamp, asset string, screening_time timestamp, membership_available_time timestamp"
+    schedule = spark.createDataFrame([(day(3), "A", day(2), day(1))], kinds)
+    assert experiment.require_schedule(schedule) is schedule
+    with pytest.raises(errors.FutureInformationError):
+        experiment.require_schedule(schedule.withColumn("screening_time", F.lit(day(4))))
+    told = spark.createDataFrame([(day(3), day(2))], "decision_time timestamp, produced_at timestamp")
+    assert pit.require_forecasts(told) is told
+    with pytest.raises(errors.FutureInformationError):
+        pit.require_forecasts(told.withColumn("produced_at", F.lit(day(4))))
+    realised = spark.createDataFrame([(day(1), day(1), day(2), day(3)), (day(2), day(1), day(2), day(3))], ["decision_time", "execution_time", "start", "end"])
+    assert cal.realization_violations(realised).count() == 1
+    declared = tables.DeclaredTable("s", "o", tables.Availability.same_instant(), "v", "u", "daily")
+    schema = spark.createDataFrame([], "s string, o timestamp, v double").schema
+    assert tables.from_records(spark, [{"s": "A", "o": day(1), "v": 1.0}], declared, schema).count() == 1
+
+
 def test_fit_events_lie_in_partitions():
     part = protocol.Partition("development", day(1), day(9))
     assert protocol.Protocol((part,), (protocol.FitEvent("initial_fit", "development", day(9)),)).events
