@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import ann, bpe, exact, licenses, packing, pii, quality, secrets, simhash, sstable
+from vintara.llm import ann, bpe, exact, licenses, merkle, packing, pii, quality, secrets, simhash, spelling, sstable, toxicity
 from vintara.llm.common import shared_path
 
 
@@ -59,7 +59,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_nearest_neighbours, op4_secret_scan, op5_simhash_near_dedup, op6_exact_dedup, op7_personal_data, op8_bpe_round_trip, op9_sstable_output, op10_quality_classifier)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return spelling.spelling_forms(spelling.word_counts(docs, misspell=True))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    copies = F.when(tampered, merkle.lowered()).otherwise(F.col("text"))
+    return merkle.verify_copies(documents(spark, sf_dir), copies)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_documents(docs, model)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_nearest_neighbours, op4_secret_scan, op5_simhash_near_dedup, op6_exact_dedup, op7_personal_data, op8_bpe_round_trip, op9_sstable_output, op10_quality_classifier, op11_spelling_variants, op12_merkle_manifest, op13_toxicity)}
 
 ORACLES = {
     "op6_exact_dedup": """
