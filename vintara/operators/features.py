@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vintara.checks import require_none
 from vintara.errors import InsufficientWindowError, WindowDeclarationError
-from vintara.operators.buckets import BUCKET_ROWS, bucketed, running
+from vintara.operators.buckets import BUCKET_ROWS, bucketed, in_one_bucket, running
 from vintara.operators.pit import as_of
 
 _COLUMNS = ("series_id", "observation_time", "available_time", "value")
@@ -49,7 +49,10 @@ def _with_halo(df: DataFrame, order: list[str], window: int) -> DataFrame:
     A bucket that lies within a series has at least so many rows; should one not, which
     needs a window of a bucket's size, each series is one bucket.
     """
-    dealt = bucketed(df, ["series_id"], order, max(BUCKET_ROWS, 8 * window))
+    rows = max(BUCKET_ROWS, 8 * window)
+    if in_one_bucket(df, rows):
+        return df.withColumns({"_bucket": F.lit(0), "_halo": F.lit(False)})
+    dealt = bucketed(df, ["series_id"], order, rows)
     sizes = dealt.groupBy("series_id", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     of_series = Window.partitionBy("series_id")
     inner = sizes.withColumns({"_first": F.min("_bucket").over(of_series), "_last": F.max("_bucket").over(of_series)})

@@ -6,31 +6,34 @@ accounting and execution instants, for base weights ``w`` of a spell and cumulat
 ``C`` of an asset within it, a spell's value is ``V = sum(w C)``; a segment grows by ``V`` over
 the ``V`` before, a drifted weight is ``w C / V``. A period's gross growth is the product of its
 segments, its cost factor the product of ``1 - q`` of its executions, and wealth the running
-product of both. All of it is joins and windows, whatever the number of periods.
+product of both. All of it is joins and running totals in range buckets, whatever the number of
+periods: one path is spread over as many tasks as its rows need.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.checks import require_none
 from vintara.errors import ExecutionError
+from vintara.operators.buckets import running
 from vintara.operators.portfolio import TURNOVERS
 from vintara.storage import saved, small
 
+#: What trades cost: ``strategy_id, execution_time, asset, pre, target, delta`` of all trades to ``strategy_id,
+#: execution_time, q``, the share of wealth that each costs.
+CostModel = Callable[[DataFrame], DataFrame]
+
 
 def periods_of(instants: DataFrame, by: tuple[str, ...] = ("strategy_id",)) -> DataFrame:
     """``period, period_start, period_end`` between successive instants."""
-    ordered = Window.partitionBy(*by).orderBy("instant")
-    return (
-        instants.select(*by, "instant")
-        .distinct()
-        .withColumn("period_end", F.lead("instant").over(ordered))
-        .withColumn("period", F.row_number().over(ordered) - 1)
-        .where(F.col("period_end").isNotNull())
-        .withColumnRenamed("instant", "period_start")
-    )
+    placed = running(instants.select(*by, "instant").distinct(), by, ["instant"], {"_place": ("count", F.lit(1))})
+    start = placed.select(*by, F.col("instant").alias("period_start"), (F.col("_place") - 1).cast("int").alias("period"))
+    end = placed.select(*by, F.col("instant").alias("period_end"), (F.col("_place") - 2).cast("int").alias("period"))
+    return start.join(end, [*by, "period"]).select(*by, "period_start", "period_end", "period")
 
 
 def _segments(instants: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -49,13 +52,9 @@ def _segments(instants: DataFrame, decisions: DataFrame) -> DataFrame:
         .where(F.col("instant") < F.col("_end"))
         .select("strategy_id", "instant", F.coalesce("trade", F.lit(0)).alias("trade"), F.coalesce("point", F.lit(0)).alias("point"))
     )
-    ordered = Window.partitionBy("strategy_id").orderBy("instant")
-    return starts.select(
-        "strategy_id", "instant", "trade",
-        F.sum("trade").over(ordered).alias("spell"),
-        F.row_number().over(ordered).alias("segment"),
-        (F.sum("point").over(ordered) - 1).alias("period"),
-    )
+    counts = {"spell": ("sum", F.col("trade")), "segment": ("count", F.lit(1)), "_points": ("sum", F.col("point"))}
+    placed = running(starts, ["strategy_id"], ["instant"], counts)
+    return placed.select("strategy_id", "instant", "trade", "spell", F.col("segment").cast("int").alias("segment"), (F.col("_points") - 1).alias("period"))
 
 
 def ledger_weights(initial: DataFrame, instants: DataFrame, decisions: DataFrame, factors: DataFrame) -> DataFrame:
@@ -74,8 +73,8 @@ def ledger_weights(initial: DataFrame, instants: DataFrame, decisions: DataFrame
         .withColumnRenamed("weight", "base")
     )
     rows = segments.join(base, ["strategy_id", "spell"]).join(factors, ["instant", "asset"], "left")
-    path = Window.partitionBy("strategy_id", "spell", "asset").orderBy("segment")
-    grown = rows.withColumn("_c", F.product("g").over(path)).withColumn("_open", F.lag("_c", 1, 1.0).over(path))
+    before = running(rows, ["strategy_id", "spell", "asset"], ["segment"], {"_grown": ("product", F.col("g"))}, inclusive=False)
+    grown = before.withColumn("_open", F.coalesce("_grown", F.lit(1.0))).withColumn("_c", F.col("_open") * F.coalesce("g", F.lit(1.0)))
     book = Window.partitionBy("strategy_id", "segment")
     return grown.withColumn("value", F.sum(F.col("base") * F.col("_c")).over(book)).withColumn(
         "value_before", F.sum(F.col("base") * F.col("_open")).over(book)
@@ -86,11 +85,13 @@ def ledger_weights(initial: DataFrame, instants: DataFrame, decisions: DataFrame
     )
 
 
-def executions(weights: DataFrame, rate: float, measure: str = "one_way", initial: DataFrame | None = None) -> DataFrame:
+def executions(
+    weights: DataFrame, rate: float, measure: str = "one_way", initial: DataFrame | None = None, costs: CostModel | None = None
+) -> DataFrame:
     """``strategy_id, execution_time, segment, period, turnover, q`` of each execution.
 
     The book before a trade is the one that the segment before closes with; a trade that
-    opens the path meets the ``initial`` book.
+    opens the path meets the ``initial`` book. A trade costs ``rate`` times its turnover, or what ``costs`` says.
     """
     half = 0.5 if measure == "one_way" else 1.0
     opened = weights.where("trade = 1").select("strategy_id", "segment", "period", "instant", "asset", F.col("base").alias("target"))
@@ -101,15 +102,25 @@ def executions(weights: DataFrame, rate: float, measure: str = "one_way", initia
         )
     times = opened.select("strategy_id", "segment", "period", "instant").distinct()
     closed = closed.join(times.select("strategy_id", "segment"), ["strategy_id", "segment"], "left_semi")
-    delta = F.abs(F.coalesce("target", F.lit(0.0)) - F.coalesce("pre", F.lit(0.0)))
-    return (
+    zero = F.lit(0.0)
+    trades = (
         opened.drop("instant", "period")
         .join(closed, ["strategy_id", "segment", "asset"], "full")
-        .groupBy("strategy_id", "segment")
-        .agg((half * F.sum(delta)).alias("turnover"))
+        .withColumn("delta", F.coalesce("target", zero) - F.coalesce("pre", zero))
+    )
+    found = (
+        trades.groupBy("strategy_id", "segment")
+        .agg((half * F.sum(F.abs("delta"))).alias("turnover"))
         .join(times, ["strategy_id", "segment"])
-        .select("strategy_id", F.col("instant").alias("execution_time"), "segment", "period", "turnover", (rate * F.col("turnover")).alias("q"))
+        .select("strategy_id", F.col("instant").alias("execution_time"), "segment", "period", "turnover")
     )
+    if costs is None:
+        return found.withColumn("q", rate * F.col("turnover"))
+    named = trades.join(times, ["strategy_id", "segment"]).select(
+        "strategy_id", F.col("instant").alias("execution_time"), "asset",
+        F.coalesce("pre", zero).alias("pre"), F.coalesce("target", zero).alias("target"), "delta",
+    )
+    return found.join(costs(named).select("strategy_id", "execution_time", "q"), ["strategy_id", "execution_time"], "left")
 
 
 def build_ledger(
@@ -122,11 +133,12 @@ def build_ledger(
     initial_wealth: float = 1.0,
     checked: bool = True,
     strict_budget: bool = False,
+    costs: CostModel | None = None,
 ) -> DataFrame:
     """One row for each period: ``gross_return, net_return, turnover, transaction_cost,
     wealth_open, wealth_close`` and its bounds.
 
-    ``transaction_cost`` is ``1 - prod(1 - q)``. With ``checked`` the inputs are validated
+    ``transaction_cost`` is ``1 - prod(1 - q)``; a model of ``costs`` takes the place of the rate. With ``checked`` the inputs are validated
     first: unit books, factors for every asset and segment, executions on the path,
     positive values, costs below 1. A unit book sums to 1 within 1e-9, or with
     ``strict_budget`` exactly, as a compensated sum in order of assets gives it.
@@ -135,7 +147,7 @@ def build_ledger(
         raise ExecutionError("a ledger needs a turnover measure, a rate and a positive wealth")
     # Both are read several times below.
     weights = saved(ledger_weights(initial, instants, decisions, factors))
-    trades = saved(executions(weights, rate, measure, initial))
+    trades = saved(executions(weights, rate, measure, initial, costs))
     if checked:
         _require_lawful(initial, instants, decisions, weights, trades, strict_budget)
     periods = periods_of(instants)
@@ -145,16 +157,16 @@ def build_ledger(
     rows = periods.join(gross, ["strategy_id", "period"]).join(cost, ["strategy_id", "period"], "left")
     factor = F.coalesce("_cost", F.lit(1.0))
     rows = rows.withColumn("_net", F.col("_gross") * factor)
-    path = Window.partitionBy("strategy_id").orderBy("period")
-    wealth = F.product("_net").over(path) * initial_wealth
-    return rows.withColumn("wealth_close", wealth).select(
+    rows = running(rows, ["strategy_id"], ["period"], {"_before": ("product", F.col("_net"))}, inclusive=False)
+    wealth = F.coalesce("_before", F.lit(1.0)) * initial_wealth
+    return rows.select(
         "strategy_id", "period", "period_start", "period_end",
         (F.col("_gross") - 1).alias("gross_return"),
         (F.col("_net") - 1).alias("net_return"),
         F.coalesce("turnover", F.lit(0.0)).alias("turnover"),
         (1 - factor).alias("transaction_cost"),
-        F.lag("wealth_close", 1, initial_wealth).over(path).alias("wealth_open"),
-        "wealth_close",
+        wealth.alias("wealth_open"),
+        (wealth * F.col("_net")).alias("wealth_close"),
     )
 
 
@@ -187,7 +199,7 @@ def _require_lawful(initial: DataFrame, instants: DataFrame, decisions: DataFram
     require_none(off, ExecutionError, "an execution outside the path")
     require_none(weights.where("g IS NULL OR g < 0"), ExecutionError, "no growth factor for an asset of the book")
     require_none(weights.where("NOT value > 0"), ExecutionError, "a book lost all its value")
-    require_none(trades.where("q >= 1"), ExecutionError, "a trade costs all there is")
+    require_none(trades.where("q IS NULL OR NOT (q >= 0 AND q < 1)"), ExecutionError, "a trade costs all there is, or nobody knows what")
 
 
 def realized_returns(factors: DataFrame, executions_: DataFrame) -> DataFrame:
@@ -195,11 +207,20 @@ def realized_returns(factors: DataFrame, executions_: DataFrame) -> DataFrame:
 
     ``executions_`` has ``strategy_id, execution_time``; the last one's interval is open.
     """
-    ordered = Window.partitionBy("strategy_id").orderBy("execution_time")
-    spans = executions_.select("strategy_id", "execution_time").distinct().withColumn("_next", F.lead("execution_time").over(ordered))
-    within = (F.col("instant") >= F.col("execution_time")) & (F.col("instant") < F.col("_next"))
+    trades = executions_.select("strategy_id", "execution_time").distinct()
+    last = trades.groupBy("strategy_id").agg(F.max("execution_time").alias("_last"))
+    # Which execution an instant follows is a running maximum over both, by buckets of time.
+    at = factors.select("instant").distinct().join(small(last.select("strategy_id")), F.lit(True))
+    points = at.withColumn("_trade", F.lit(None).cast("timestamp")).unionByName(
+        trades.select(F.col("execution_time").alias("instant"), "strategy_id", F.col("execution_time").alias("_trade"))
+    )
+    held = running(points, ["strategy_id"], ["instant"], {"execution_time": ("max", F.col("_trade"))})
+    # An execution at an instant of a factor would give that instant twice.
+    held = held.where("execution_time IS NOT NULL").select("strategy_id", "instant", "execution_time").distinct()
     return (
-        factors.join(small(spans.where("_next IS NOT NULL")), within)
+        held.join(last, "strategy_id")
+        .where(F.col("execution_time") < F.col("_last"))
+        .join(factors, "instant")
         .groupBy("strategy_id", "execution_time", "asset")
         .agg((F.product("g") - 1).alias("realized_return"))
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintara.checks import require_none
 from vintara.errors import ExecutionError
+from vintara.operators.buckets import running
+from vintara.storage import small
 
 BASES = ("net", "gross")
 METRICS = (
@@ -71,12 +73,15 @@ def certainty_equivalent(gamma: float, basis: str = "net", periods_per_year: int
 
 def wealth_paths(ledger: DataFrame, basis: str = "net") -> DataFrame:
     """``strategy_id, period, wealth, peak``; net wealth is the ledger's, gross starts where it starts."""
-    path = Window.partitionBy("strategy_id").orderBy("period")
-    first = F.first("wealth_open").over(path.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    wealth = F.col("wealth_close") if basis == "net" else first * F.product(1 + _return(basis)).over(path)
-    rows = ledger.withColumn("_first", first).withColumn("wealth", wealth)
-    peak = F.greatest("_first", F.max("wealth").over(path.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("peak", peak).select("strategy_id", "period", "wealth", "peak")
+    first = ledger.groupBy("strategy_id").agg(F.min_by("wealth_open", "period").alias("_first"))
+    rows = ledger.join(small(first), "strategy_id")
+    if basis == "net":
+        rows = rows.withColumn("wealth", F.col("wealth_close"))
+    else:
+        rows = running(rows, ["strategy_id"], ["period"], {"_growth": ("product", 1 + _return(basis))})
+        rows = rows.withColumn("wealth", F.col("_first") * F.col("_growth"))
+    peaked = running(rows.select("strategy_id", "period", "_first", "wealth"), ["strategy_id"], ["period"], {"_peak": ("max", F.col("wealth"))})
+    return peaked.select("strategy_id", "period", "wealth", F.greatest("_first", "_peak").alias("peak"))
 
 
 def max_drawdown(ledger: DataFrame, basis: str = "net") -> DataFrame:

@@ -33,6 +33,6 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from vintara.plans import backtest_queries, observation_queries  # noqa: F401
+    from vintara.plans import backtest_queries, observation_queries, path_queries  # noqa: F401
 
 
