@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vintara.checks import require_none
 from vintara.errors import ExecutionError, InsufficientWindowError, OptimizationFailureError
+from vintara.operators.buckets import running
 from vintara.operators.features import latest_window, unbalanced
 from vintara.storage import small
 
@@ -32,8 +33,7 @@ def decision_windows(returns: DataFrame, decisions: DataFrame, window: int, chec
 
     ``returns`` has ``asset, t, available_time, r``. All assets must have the same instants.
     """
-    seen = returns.join(small(decisions.select("decision_time")), F.col("available_time") <= F.col("decision_time"))
-    rows = latest_window(seen, window, ("decision_time", "asset"), "t")
+    rows = latest_window(published_last(returns, decisions, window), window, ("decision_time", "asset"), "t")
     if checked:
         short = rows.groupBy("decision_time", "asset").count().where(F.col("count") < window)
         require_none(short, InsufficientWindowError, "fewer returns than the window")
@@ -41,6 +41,23 @@ def decision_windows(returns: DataFrame, decisions: DataFrame, window: int, chec
     return rows
 
 
+def published_last(returns: DataFrame, decisions: DataFrame, window: int) -> DataFrame:
+    """What the last ``window`` returns that each decision may know are among, without multiplying histories.
+
+    Rows are ranked by ``t`` in their asset. A decision that knows ``v`` rows, the last of them of rank ``k``, misses
+    ``k - v`` of those up to it, so its window lies within the ranks above ``v - window``: it is met by equal ranks. With
+    returns published in order that is ``window`` rows a decision and asset; each one late adds one.
+    """
+    ranked = running(returns, ["asset"], ["t"], {"_rank": ("count", F.lit(1))})
+    known = ranked.select("asset", F.col("available_time").alias("_at"), F.lit(0).alias("_asks"), "_rank")
+    asked = decisions.select(F.col("decision_time").alias("_at")).distinct().join(small(returns.select("asset").distinct()), F.lit(True))
+    points = known.unionByName(asked.select("asset", "_at", F.lit(1).alias("_asks"), F.lit(None).cast("long").alias("_rank")))
+    seen = running(points, ["asset"], ["_at", "_asks"], {"_known": ("count", F.col("_rank")), "_last": ("max", F.col("_rank"))})
+    first = F.greatest(F.col("_known") - window + 1, F.lit(1))
+    spans = seen.where("_asks = 1 AND _known > 0").select("asset", F.col("_at").alias("decision_time"), F.explode(F.sequence(first, F.col("_last"))).alias("_rank"))
+    return spans.join(ranked, ["asset", "_rank"]).where("available_time <= decision_time").select("decision_time", *returns.columns)
+
+
 def equal_weight(universe: DataFrame) -> DataFrame:
     """``weight`` of one over the number of assets of each ``decision_time``."""
     n = F.count(F.lit(1)).over(Window.partitionBy("decision_time"))

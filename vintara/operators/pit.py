@@ -96,18 +96,54 @@ def require_information_set(items: DataFrame) -> DataFrame:
     return items
 
 
-def vintage_as_of(observations: DataFrame, decisions: DataFrame, value: Sequence[str] = ("value",)) -> DataFrame:
+def few_decisions(decisions: DataFrame) -> bool:
+    """Whether the decisions are so few that they are broadcast."""
+    return decisions.limit(BROADCAST_DECISIONS + 1).count() <= BROADCAST_DECISIONS
+
+
+def vintage_as_of(observations: DataFrame, decisions: DataFrame, value: Sequence[str] = ("value",), few: bool | None = None) -> DataFrame:
     """The latest vintage of every (series, observation) visible at each decision.
 
-    ``decisions`` has ``decision_time``. Groups without a visible vintage have no row.
+    ``decisions`` has ``decision_time``. Groups without a visible vintage have no row. ``few`` says whether
+    the decisions are broadcast; by default they are counted.
     """
     row = F.struct("available_time", *value)
-    return (
-        observations.join(small(decisions.select("decision_time")), F.col("available_time") <= F.col("decision_time"))
-        .groupBy("decision_time", "series_id", "observation_time")
-        .agg(F.max_by(row, "available_time").alias("_v"))
-        .select("decision_time", "series_id", "observation_time", "_v.*")
-    )
+    grid = decisions.select("decision_time").distinct()
+    if few_decisions(grid) if few is None else few:
+        return (
+            observations.join(F.broadcast(grid), F.col("available_time") <= F.col("decision_time"))
+            .groupBy("decision_time", "series_id", "observation_time")
+            .agg(F.max_by(row, "available_time").alias("_v"))
+            .select("decision_time", "series_id", "observation_time", "_v.*")
+        )
+    return _by_intervals(observations, grid, value)
+
+
+#: Decisions of one bucket of an interval join.
+INTERVAL_BUCKET = 256
+
+
+def _by_intervals(observations: DataFrame, grid: DataFrame, value: Sequence[str]) -> DataFrame:
+    """Vintages as of many decisions: each is valid from its own place among the decisions to that of the next vintage.
+
+    Places come from a running count, so that what remains is a join on equal buckets of places. A vintage
+    is repeated once a bucket, and once a decision in the answer.
+    """
+    columns = ["series_id", "observation_time", "available_time", *value]
+    each = observations.select(F.col("available_time").alias("_at"), F.lit(0).alias("_asks"), F.struct(*columns).alias("_row"))
+    none = F.lit(None).cast(each.schema["_row"].dataType)
+    # At the same instant a vintage comes before the decision, which may know it.
+    points = each.unionByName(grid.select(F.col("decision_time").alias("_at"), F.lit(1).alias("_asks"), none.alias("_row")))
+    placed = saved(running(points, [], ["_at", "_asks"], {"_place": ("count", F.when(F.col("_asks") == 1, 1))}))
+    asked = placed.where("_asks = 1").select(F.col("_at").alias("decision_time"), (F.col("_place") - 1).alias("_n"))
+    group = Window.partitionBy("_row.series_id", "_row.observation_time").orderBy("_row.available_time")
+    valid = placed.where("_asks = 0").select("_row", F.col("_place").alias("_from"), F.lead("_place").over(group).alias("_next"))
+    valid = valid.join(F.broadcast(asked.agg(F.count(F.lit(1)).alias("_all"))), F.lit(True))
+    valid = valid.withColumn("_to", F.coalesce("_next", "_all")).where("_from < _to")
+    bucket = lambda c: F.floor(c / INTERVAL_BUCKET)
+    spread = valid.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to") - 1))))
+    found = spread.join(asked.withColumn("_bucket", bucket(F.col("_n"))), "_bucket").where("_n >= _from AND _n < _to")
+    return found.select("decision_time", *(F.col(f"_row.{c}").alias(c) for c in columns))
 
 
 def as_of(
@@ -125,7 +161,7 @@ def as_of(
     """
     grid = decisions.select("decision_time").distinct()
     if few is None:
-        few = grid.limit(BROADCAST_DECISIONS + 1).count() <= BROADCAST_DECISIONS
+        few = few_decisions(grid)
     rest = [c for c in ("observation_time", "available_time", *value) if c not in latest]
     if few:
         best = (
@@ -164,15 +200,15 @@ def visible_at(observations: DataFrame, decisions: DataFrame, series: DataFrame,
     return asked.join(as_of(wanted, decisions, few=few), ["decision_time", "series_id"], "left")
 
 
-def align(observations: DataFrame, decisions: DataFrame, requests: DataFrame) -> DataFrame:
+def align(observations: DataFrame, decisions: DataFrame, requests: DataFrame, few: bool | None = None) -> DataFrame:
     """The visible vintage of each requested (series, observation), with the request's ``ord``."""
     wanted = observations.join(requests, ["series_id", "observation_time"])
-    return vintage_as_of(wanted, decisions, ("value", "ord"))
+    return vintage_as_of(wanted, decisions, ("value", "ord"), few)
 
 
-def information_set(observations: DataFrame, decisions: DataFrame) -> DataFrame:
+def information_set(observations: DataFrame, decisions: DataFrame, few: bool | None = None) -> DataFrame:
     """All that each decision may know: the latest visible vintage of every group."""
-    return vintage_as_of(observations, decisions)
+    return vintage_as_of(observations, decisions, few=few)
 
 
 def lineage_violations(outputs: DataFrame, inputs: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:
