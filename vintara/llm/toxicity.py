@@ -156,39 +156,40 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, do
     score is 0.5; the fit depends on the documents' ids, texts and labels alone, not on their order.
     """
 
-
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = pa.array([columns_of(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], columns], names=["shard", "turn", "toxic", "columns"])
 
+    # Dealt to shards once: each round reads its shards where they are. A shard is a bounded share of a bounded
+    # sample, and is learned from in the order of hashed ids, so that partitions and attempts don't change the result.
     texts = labelled_sample(docs, labels, sample_rows, doc_id, text)
-    sample = saved(texts.mapInArrow(measured, "shard long, turn long, toxic int, columns array<int>"))
+    dealt = texts.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn")
+    sample = saved(dealt.mapInArrow(measured, "shard long, turn long, toxic int, columns array<int>"))
     spark, state = docs.sparkSession, State()
     for _ in range(ROUNDS):
         start = spark.sparkContext.broadcast((state.z, state.n))
 
         def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             z, n = start.value
-            own = State(z.copy(), n.copy())
+            shard, own = None, State(z, n)
+
+            def moves() -> pa.RecordBatch:
+                moved = np.flatnonzero((own.n != n) | (own.z != z))
+                change = ((own.z - z)[moved].astype(np.float32), (own.n - n)[moved].astype(np.float32))
+                return pa.RecordBatch.from_arrays([pa.array(moved, pa.int32()), *map(pa.array, change)], names=["column", "z", "n"])
+
             for batch in batches:
-                for columns, label in zip(batch.column("columns"), batch.column("toxic")):
-                    own.learn(columns.values.to_numpy(), label.as_py())
-            moved = np.flatnonzero((own.n != n) | (own.z != z))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(moved), pa.array((own.z - z)[moved]), pa.array((own.n - n)[moved])], names=["column", "z", "n"]
-            )
-
-        # A shard is a bounded share of a bounded sample; it is learned from in the order of hashed
-        # ids, so that partitions and attempts don't change the result.
-        moves = (
-            sample.repartition("shard")
-            .sortWithinPartitions("shard", "turn")
-            .groupBy("shard")
-            .applyInArrow(learned, "column long, z double, n double")
-        )
-        # At most SHARDS rows a column, brought together in an order of their own: sums don't depend on the tasks.
-        found = moves.toArrow().sort_by([("column", "ascending"), ("z", "ascending"), ("n", "ascending")])
+                for of, columns, label in zip(batch.column("shard").to_pylist(), batch.column("columns"), batch.column("toxic").to_pylist()):
+                    if of != shard:
+                        yield moves()
+                        shard, own = of, State(z.copy(), n.copy())
+                    own.learn(columns.values.to_numpy(), label)
+            yield moves()
+
+        # At most SHARDS rows a column; brought together in an order of their own, so sums don't depend on the tasks.
+        found = sample.mapInArrow(learned, "column int, z float, n float").toArrow()
+        found = found.sort_by([("column", "ascending"), ("z", "ascending"), ("n", "ascending")])
         at = found["column"].to_numpy()
         state = State(
             state.z + np.bincount(at, found["z"].to_numpy(), 2**BITS + 1) / SHARDS,
