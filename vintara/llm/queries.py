@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import ann, bpe, exact, licenses, merkle, packing, pii, quality, secrets, simhash, spelling, sstable, toxicity
+from vintara.llm import ann, bpe, exact, licenses, merkle, packing, pii, quality, reference_sql, secrets, simhash, spelling, sstable, toxicity
 from vintara.llm.common import shared_path
 
 
@@ -88,4 +88,6 @@ ORACLES = {
         FROM documents
         WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_spelling_variants": reference_sql.SPELLING,
+    "op12_merkle_manifest": reference_sql.MERKLE,
 }
