@@ -4,17 +4,17 @@ An observation says what a number is about (``observation_time``) and when it be
 knowable (``available_time``); a later ``available_time`` for the same series and time is a
 revision. A decision sees what is available at or before its instant.
 
-All decisions are answered in one plan. :func:`as_of` has two: few decisions are
-broadcast and matched by inequality, with the latest row kept by a partial aggregate; many
-are sorted together with the observations of their series and filled forward, which
-multiplies nothing.
+All decisions are answered in one plan. Few decisions are broadcast and matched by
+inequality, with the latest row kept by a partial aggregate. Many are sorted together with
+the observations: :func:`as_of` fills forward, :func:`vintage_as_of` gives each vintage the
+decisions in which it is valid. Neither multiplies more than the answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.checks import repeated, require_none
@@ -26,7 +26,7 @@ from vintara.errors import (
     UnknownSeriesError,
 )
 from vintara.operators.buckets import running
-from vintara.storage import small
+from vintara.storage import saved, small
 
 KEY = ("series_id", "observation_time", "available_time")
 #: Decisions up to which a grid is broadcast.
@@ -138,8 +138,7 @@ def _by_intervals(observations: DataFrame, grid: DataFrame, value: Sequence[str]
     asked = placed.where("_asks = 1").select(F.col("_at").alias("decision_time"), (F.col("_place") - 1).alias("_n"))
     group = Window.partitionBy("_row.series_id", "_row.observation_time").orderBy("_row.available_time")
     valid = placed.where("_asks = 0").select("_row", F.col("_place").alias("_from"), F.lead("_place").over(group).alias("_next"))
-    valid = valid.join(F.broadcast(asked.agg(F.count(F.lit(1)).alias("_all"))), F.lit(True))
-    valid = valid.withColumn("_to", F.coalesce("_next", "_all")).where("_from < _to")
+    valid = valid.withColumn("_to", F.coalesce("_next", F.lit(asked.count()))).where("_from < _to")
     bucket = lambda c: F.floor(c / INTERVAL_BUCKET)
     spread = valid.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to") - 1))))
     found = spread.join(asked.withColumn("_bucket", bucket(F.col("_n"))), "_bucket").where("_n >= _from AND _n < _to")
