@@ -9,17 +9,16 @@ Returns are long: ``decision_time, asset, t, r`` with the balanced window of eac
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintara.checks import require_none
+from vintara.checks import repeated, require_none
 from vintara.errors import ExecutionError, InsufficientWindowError, OptimizationFailureError
 from vintara.operators.buckets import running
 from vintara.operators.features import latest_window, unbalanced
+from vintara.operators.portfolio import WeightConstraints
 from vintara.storage import small
 
 #: Tolerances of an accepted vector: stationarity, budget.
@@ -86,22 +85,27 @@ def sample_covariance(windows: DataFrame) -> DataFrame:
 
 
 def exact_rank(panel: np.ndarray) -> int:
-    """The rank of a panel less its column means, in exact arithmetic."""
-    rows = [[Fraction(float(x)) for x in row] for row in panel]
-    n = len(rows)
-    means = [sum(column) / n for column in zip(*rows)]
-    rows = [[x - m for x, m in zip(row, means)] for row in rows]
-    rank = 0
-    for column in range(len(means)):
-        pivot = next((i for i in range(rank, n) if rows[i][column]), None)
-        if pivot is None:
+    """The rank of a panel less its column means, exactly.
+
+    Floats are whole numbers over a power of two, so one scale makes all of them whole, and
+    elimination without fractions (Bareiss) keeps them so.
+    """
+    ratios = [[float(x).as_integer_ratio() for x in row] for row in panel]
+    scale = max((d for row in ratios for _, d in row), default=1)
+    whole = [[n * (scale // d) for n, d in row] for row in ratios]
+    sums = [sum(column) for column in zip(*whole)]
+    rows = [[len(whole) * x - s for x, s in zip(row, sums)] for row in whole]
+    rank, before = 0, 1
+    for column in range(len(sums)):
+        lead = max(range(rank, len(rows)), key=lambda i: abs(rows[i][column]), default=None)
+        if lead is None or not rows[lead][column]:
             continue
-        rows[rank], rows[pivot] = rows[pivot], rows[rank]
-        for i in range(rank + 1, n):
-            if rows[i][column]:
-                k = rows[i][column] / rows[rank][column]
-                rows[i] = [x - k * y for x, y in zip(rows[i], rows[rank])]
-        rank += 1
+        rows[rank], rows[lead] = rows[lead], rows[rank]
+        top = rows[rank]
+        for i in range(rank + 1, len(rows)):
+            factor = rows[i][column]
+            rows[i] = [(x * top[column] - factor * y) // before for x, y in zip(rows[i], top)]
+        rank, before = rank + 1, top[column]
     return rank
 
 
@@ -172,6 +176,9 @@ def require_accepted(q: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
     bound = KKT_TOLERANCE * max(1.0, abs(r["level"]))
     if r["budget"] > BUDGET_TOLERANCE * len(w) or r["stationarity"] > bound or r["dual"] > bound:
         raise OptimizationFailureError(f"not optimal: {r}")
+    # At the optimum a step down the gradient leads back to the same vector.
+    if np.abs(w - project_to_simplex(w - (q @ w - c))).max() > bound * len(w):
+        raise OptimizationFailureError("a projected step leads elsewhere")
     value = w @ q @ w / 2 - c @ w
     gradient = q @ w - c
     for size in TRANSFERS:
@@ -219,17 +226,46 @@ def _solve_table(table: pa.Table, risk_aversion: float | None) -> pa.Table:
     )
 
 
-def minimum_variance(windows: DataFrame) -> DataFrame:
-    """Long-only weights of least variance, with the solution's residuals."""
+#: The one declaration that the programs below solve: long only, fully invested, no caps.
+CANONICAL = WeightConstraints()
+
+
+def require_canonical(constraints: WeightConstraints) -> None:
+    """Reject a declaration that the solver wouldn't keep to, before anything is solved."""
+    if constraints.allow_short or constraints.budget != 1.0 or constraints.max_gross is not None or constraints.max_net is not None:
+        raise ExecutionError(f"only long-only books of budget 1 without caps are solved; got {constraints}")
+
+
+def require_real_returns(windows: DataFrame) -> DataFrame:
+    """``windows``, if each return is a finite number and each asset has each instant once."""
+    require_none(windows.where("r IS NULL OR isnan(r) OR abs(r) = double('infinity')"), ExecutionError, "a return is a finite number")
+    require_none(repeated(windows, ["decision_time", "asset", "t"]), ExecutionError, "a return twice")
+    return windows
+
+
+def minimum_variance(windows: DataFrame, constraints: WeightConstraints = CANONICAL, checked: bool = False) -> DataFrame:
+    """Long-only weights of least variance, with the solution's residuals.
+
+    With ``checked`` the windows are validated first, by queries.
+    """
+    require_canonical(constraints)
+    if checked:
+        require_real_returns(windows)
     rows = windows.select("decision_time", "asset", "t", "r")
     return rows.groupBy("decision_time").applyInArrow(lambda t: _solve_table(t, None), _OUT)
 
 
-def mean_variance(windows: DataFrame, forecasts: DataFrame, risk_aversion: float) -> DataFrame:
+def mean_variance(
+    windows: DataFrame, forecasts: DataFrame, risk_aversion: float, constraints: WeightConstraints = CANONICAL, checked: bool = False
+) -> DataFrame:
     """Long-only weights that trade expected return against variance.
 
-    ``forecasts`` has ``decision_time, asset, expected_return``; the mean is taken off.
+    ``forecasts`` has ``decision_time, asset, expected_return``; the mean is taken off. With ``checked`` the
+    windows are validated first, by queries.
     """
+    require_canonical(constraints)
+    if checked:
+        require_real_returns(windows)
     if not risk_aversion > 0:
         raise ExecutionError("risk aversion is positive")
     rows = windows.join(forecasts, ["decision_time", "asset"], "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.checks import require_none
-from vintara.errors import InsufficientWindowError, WindowDeclarationError
+from vintara.errors import AmbiguousObservationError, InsufficientWindowError, WindowDeclarationError
 from vintara.operators.buckets import BUCKET_ROWS, bucketed, in_one_bucket, running
 from vintara.operators.pit import as_of
 
@@ -65,6 +65,14 @@ def _with_halo(df: DataFrame, order: list[str], window: int) -> DataFrame:
     )
 
 
+def require_single_series(df: DataFrame) -> DataFrame:
+    """``df``, if it has one series: transforms take many, and this is for those who expect one."""
+    names = [r["series_id"] for r in df.select("series_id").distinct().limit(2).collect()]
+    if len(names) != 1:
+        raise AmbiguousObservationError(f"one series is expected; got {names or 'none'}")
+    return df
+
+
 def rolling_mean(df: DataFrame, window: int) -> DataFrame:
     """Means of the last ``window`` rows; full windows only."""
     return _rolling(df, window, "rolling_mean", F.avg)

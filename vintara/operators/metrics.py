@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,3 +109,38 @@ def core_metrics(
     joined = found.join(max_drawdown(ledger, basis), "strategy_id")
     missing = F.array_contains(F.array(*(F.col(m).isNull() for m in METRICS)), True)
     return joined.select("strategy_id", "n_periods", *METRICS, F.when(missing, "undefined").otherwise("ok").alias("metric_status"))
+
+
+#: A measure of one's own: an aggregate, or a function of a path's batches in order of periods.
+Evaluator = Column | Callable[[Iterator[pa.RecordBatch]], float]
+
+
+def evaluate(ledger: DataFrame, evaluators: Mapping[str, Evaluator], by: str = "strategy_id") -> DataFrame:
+    """``by`` and a column for each evaluator, one row for each path of the ledger.
+
+    Aggregates are combined over parts of a path; a function is given one path after the other,
+    of which a task holds one batch at a time. A function that returns None has no value there.
+    """
+    if not evaluators:
+        raise ExecutionError("nothing to evaluate")
+    sums = {n: e for n, e in evaluators.items() if isinstance(e, Column)}
+    found = ledger.groupBy(by).agg(*(e.alias(n) for n, e in sums.items())) if sums else ledger.select(by).distinct()
+    ordered = ledger.repartition(by).sortWithinPartitions(by, "period")
+    for name, function in evaluators.items():
+        if name not in sums:
+            found = found.join(ordered.groupBy(by).applyInArrow(_measured(function, by, name), f"`{by}` {dict(ledger.dtypes)[by]}, `{name}` double"), by)
+    return found.select(by, *evaluators)
+
+
+def _measured(function: Callable[[Iterator[pa.RecordBatch]], float], by: str, name: str):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+
+        def all_of() -> Iterator[pa.RecordBatch]:
+            yield first
+            yield from batches
+
+        value = function(all_of())
+        yield pa.RecordBatch.from_arrays([first.column(by)[:1], pa.array([value], pa.float64())], names=[by, name])
+
+    return measure

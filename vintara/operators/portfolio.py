@@ -70,8 +70,11 @@ def require_targets(books: DataFrame, by: Sequence[str], rules: WeightConstraint
 def drift(books: DataFrame, factors: DataFrame, by: Sequence[str], factor_by: Sequence[str] | None = None) -> DataFrame:
     """Books after growth ``g`` of their assets: ``w g / sum(w g)``; and the book's growth.
 
-    Universes of books and factors must be the same; a book must keep a positive value.
+    Universes of books and factors must be the same; a book must keep a positive value. What drifts is
+    held: a book whose ``state`` is ``TARGET`` is rejected.
     """
+    if "state" in books.columns:
+        require_none(books.where("state = 'TARGET'"), ExecutionError, "a target isn't held, so it doesn't drift")
     keys = [*(factor_by if factor_by is not None else by), "asset"]
     # One pass, read back: what is checked isn't computed again for the result.
     held, grows = F.col("weight").isNotNull(), F.col("g").isNotNull()
@@ -85,6 +88,25 @@ def drift(books: DataFrame, factors: DataFrame, by: Sequence[str], factor_by: Se
     return grown.drop("_held", "_grown").withColumn("weight", weight)
 
 
+def book_violations(books: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows that no book may hold, with what is wrong in ``broken``: a blank asset, a weight that is no number, an asset twice, an unknown state."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by, "asset"))
+    state = ~F.coalesce(F.col("state").isin(*STATES), F.lit(False)) if "state" in books.columns else F.lit(False)
+    tests = {
+        "blank_asset": F.coalesce(F.trim("asset"), F.lit("")) == "",
+        "not_finite": F.col("weight").isNull() | F.isnan("weight") | (F.abs("weight") == float("inf")),
+        "repeated": n > 1,
+        "state": state,
+    }
+    broken = F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())))
+    return books.withColumn("broken", broken).where(F.size("broken") > 0)
+
+
+def require_books(books: DataFrame, by: Sequence[str]) -> DataFrame:
+    require_none(book_violations(books, by), ExecutionError, "not a book")
+    return books
+
+
 def execute(targets: DataFrame) -> DataFrame:
     """Targets as filled exactly."""
     return targets.withColumn("state", F.lit("POST_TRADE"))

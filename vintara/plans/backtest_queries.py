@@ -337,6 +337,97 @@ def met_core(spark, sf_dir):
     return _rounded(found, *met.METRICS, places=6)
 
 
+@query(f"""{_PATH}, {_DRAWDOWN.replace('net_return', 'gross_return')} SELECT strategy_id, {_r('product(1 + gross_return) - 1', 6)} AS cumulative_return,
+    {_r('avg(gross_return) * 12', 6)} AS annualized_mean_return, {_r('any_value(max_drawdown)', 6)} AS max_drawdown FROM ledger JOIN falls USING (strategy_id) GROUP BY strategy_id""")
+def met_gross(spark, sf_dir):
+    found = met.core_metrics(strategy_ledger(spark, sf_dir), 12, 3.0, 0.0, basis="gross")
+    return _rounded(found.select("strategy_id", "cumulative_return", "annualized_mean_return", "max_drawdown"), "cumulative_return", "annualized_mean_return", "max_drawdown", places=6)
+
+
+_EXCESS = "net_return - (0.001 + 0.0001 * (period % 5))"
+
+
+@query(_metric("sharpe_ratio", f"avg({_EXCESS}) / stddev_samp({_EXCESS}) * sqrt(12)"))
+def met_risk_free_series(spark, sf_dir):
+    """The ratio over a rate of its own for each period."""
+    ledger = strategy_ledger(spark, sf_dir)
+    rates = ledger.select("period", (0.001 + 0.0001 * (F.col("period") % 5)).alias("risk_free")).distinct()
+    rows = met.with_risk_free(ledger, rates)
+    return _rounded(rows.groupBy("strategy_id").agg(met.sharpe_ratio(12).alias("sharpe_ratio")), "sharpe_ratio", places=6)
+
+
+def longest_loss(batches):
+    """The most periods in a row that lost: a measure that needs a path's order."""
+    longest = now = 0
+    for batch in batches:
+        for r in batch.column("net_return").to_pylist():
+            now = now + 1 if r < 0 else 0
+            longest = max(longest, now)
+    return float(longest)
+
+
+@query(f"""{_PATH}, runs AS (SELECT strategy_id, net_return, period - row_number() OVER (PARTITION BY strategy_id, net_return < 0 ORDER BY period) AS run FROM ledger),
+    losses AS (SELECT strategy_id, max(n) AS longest FROM (SELECT strategy_id, run, count(*) AS n FROM runs WHERE net_return < 0 GROUP BY ALL) GROUP BY ALL)
+    SELECT l.strategy_id, {_r('avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END)', 6)} AS hit_rate, CAST(any_value(longest) AS DOUBLE) AS longest_loss
+    FROM ledger l LEFT JOIN losses USING (strategy_id) GROUP BY l.strategy_id""")
+def met_evaluators(spark, sf_dir):
+    """Measures of one's own beside the six: an aggregate, and a function of the path."""
+    hit_rate = F.avg(F.when(F.col("net_return") > 0, 1.0).otherwise(0.0))
+    found = met.evaluate(strategy_ledger(spark, sf_dir), {"hit_rate": hit_rate, "longest_loss": longest_loss})
+    return _rounded(found, "hit_rate", places=6)
+
+
+@query(f"""{_PATH}, {_DRAWDOWN}, {_CORE} SELECT strategy_id, n_periods, {_r('sharpe_ratio', 6)} AS sharpe_ratio, {_r('max_drawdown', 6)} AS max_drawdown,
+    'run-1' AS experiment_id, TRUE AS same_again FROM measures JOIN falls USING (strategy_id)""")
+def res_records(spark, sf_dir):
+    """Records of a run as rows: composed, written as text, parsed again, and read by field."""
+    from vintara.plans import results
+
+    ledger = strategy_ledger(spark, sf_dir)
+    measured = met.core_metrics(ledger, 12, 3.0, 0.001)
+    manifest = results.RunManifest("run-1", "0" * 64, "1", 0, "2026-01-01T00:00:00Z", "spark")
+    settings = results.verdicts(spark, {"rate": str(RATE)}, {"rate": str(RATE)}, set())
+    texts = results.records_to_json(results.run_records(ledger, measured, manifest, settings, {"periods_per_year": 12, "gamma": 3.0}))
+    again = results.records_from_json(saved(texts))
+    get = lambda path, kind: F.try_variant_get("record", path, kind)
+    found = again.join(texts, "strategy_id").select(
+        "strategy_id", get("$.path.n_periods", "bigint").alias("n_periods"), get("$.metrics.sharpe_ratio", "double").alias("sharpe_ratio"),
+        get("$.metrics.max_drawdown", "double").alias("max_drawdown"), get("$.manifest.experiment_id", "string").alias("experiment_id"),
+        (F.to_json("record") == F.col("text")).alias("same_again"),
+    )
+    return _rounded(found, "sharpe_ratio", "max_drawdown", places=6)
+
+
+@query(f"""WITH {_BASE} SELECT x.decision_time, x.asset AS a, y.asset AS b, count(*) AS n, {_r('covar_samp(x.r, y.r)')} AS covariance
+    FROM windows x JOIN windows y ON x.decision_time = y.decision_time AND x.month = y.month AND x.asset <= y.asset GROUP BY ALL""")
+def str_covariance_blocks(spark, sf_dir):
+    from vintara.operators import gram
+
+    return _rounded(gram.block_covariance(_windows(views.Market(spark, sf_dir))), "covariance")
+
+
+@query(f"WITH {_BASE} SELECT strategy, decision_time, TRUE AS optimal FROM (SELECT DISTINCT decision_time FROM windows), (VALUES ('mean_variance'), ('min_variance')) v(strategy)")
+def str_optimality(spark, sf_dir):
+    """The conditions of the optimum, by SQL over weights, covariances and forecasts: held assets have one marginal value, the others none better."""
+    windows = saved(_windows(views.Market(spark, sf_dir)))
+    half = alloc.sample_covariance(windows)
+    both = half.unionByName(half.where("a < b").select("decision_time", F.col("b").alias("a"), F.col("a").alias("b"), "covariance"))
+    expected = _forecasts(windows)
+    parts = []
+    for name, books, scale, tilt in (("min_variance", alloc.minimum_variance(windows), 1.0, 0.0), ("mean_variance", alloc.mean_variance(windows, expected, 4.0), 4.0, 1.0)):
+        weights = books.select("decision_time", "asset", "weight")
+        risk = both.join(weights.withColumnRenamed("asset", "b"), ["decision_time", "b"]).groupBy("decision_time", F.col("a").alias("asset")).agg(F.sum(F.col("covariance") * F.col("weight")).alias("risk"))
+        rows = weights.join(risk, ["decision_time", "asset"]).join(expected, ["decision_time", "asset"])
+        marginal = scale * F.col("risk") - tilt * F.col("expected_return")
+        rows = rows.withColumn("marginal", marginal)
+        least = F.min("marginal")
+        held = F.max(F.when(F.col("weight") > 0, F.col("marginal")))
+        size = F.max(F.abs("marginal"))
+        lawful = (F.min("weight") >= 0) & (F.abs(F.sum("weight") - 1) < 1e-9) & (held - least <= 1e-6 * size)
+        parts.append(rows.groupBy("decision_time").agg(lawful.alias("optimal")).select(F.lit(name).alias("strategy"), "decision_time", "optimal"))
+    return parts[0].unionByName(parts[1])
+
+
 def _declared(spark, sf_dir, every=1):
     """Ledger, metrics and records of both strategies by a declared run over the panel."""
     from vintara.plans import declared, experiment, protocol
@@ -449,18 +540,22 @@ def cmp_comparability(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("""WITH declared(field, value) AS (VALUES ('rate', '0.001'), ('window', '12'), ('gamma', '3')),
-    effective(field, value) AS (VALUES ('rate', '0.001'), ('window', '12'), ('gamma', '2'), ('zone', 'UTC')),
-    sanctioned(field) AS (VALUES ('gamma')), x AS (
+@query("""WITH declared(field, value) AS (VALUES ('statuses', '3'), ('priorities', '5'), ('rate', '0.001'), ('customers', '10')),
+    effective(field, value) AS (SELECT 'statuses', CAST(count(DISTINCT o_orderstatus) AS VARCHAR) FROM orders UNION ALL SELECT 'priorities', CAST(count(DISTINCT o_orderpriority) AS VARCHAR) FROM orders
+      UNION ALL SELECT 'customers', CAST(count(DISTINCT o_custkey) AS VARCHAR) FROM orders UNION ALL SELECT * FROM (VALUES ('rate', '0.002'), ('zone', 'UTC'))),
+    sanctioned(field) AS (VALUES ('rate')), x AS (
     SELECT coalesce(d.field, e.field) AS field, d.value AS declared, e.value AS effective FROM declared d FULL JOIN effective e ON d.field = e.field)
     SELECT x.field, declared, effective, CASE WHEN declared IS NOT DISTINCT FROM effective THEN 'consistent'
         WHEN s.field IS NOT NULL THEN 'sanctioned_deviation' ELSE 'reject' END AS verdict FROM x LEFT JOIN sanctioned s ON x.field = s.field""")
 def res_conformance_verdict(spark, sf_dir):
+    """What was declared of the orders beside what they have."""
     from vintara.plans import results
 
-    return results.verdicts(
-        spark, {"rate": "0.001", "window": "12", "gamma": "3"}, {"rate": "0.001", "window": "12", "gamma": "2", "zone": "UTC"}, {"gamma"}
-    )
+    orders = views.table(spark, sf_dir, "orders")
+    counted = {"statuses": "o_orderstatus", "priorities": "o_orderpriority", "customers": "o_custkey"}
+    have = orders.agg(*(F.count_distinct(c).cast("string").alias(n) for n, c in counted.items())).first().asDict()
+    declared = {"statuses": "3", "priorities": "5", "rate": "0.001", "customers": "10"}
+    return results.verdicts(spark, declared, have | {"rate": "0.002", "zone": "UTC"}, {"rate"})
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import timedelta, timezone
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from vintara.functions import calendar as cal
 from vintara.operators import diagnostics as dia
 from vintara.operators import features as trf
 from vintara.operators import pit
+from vintara.operators.buckets import running
 from vintara.plans import views
 from vintara.plans.registry import query
 from vintara.plans.views import GRID, OBS
@@ -101,6 +102,34 @@ def src_csv_decode(spark, sf_dir):
     return events.select(text.alias("cell"), decoded["value_kind"].alias("value_kind"), decoded["value"].alias("value"))
 
 
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS series_id, CAST(o_orderdate AS TIMESTAMP) AS observation_time, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 2 DAY AS available_time,
+    CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice, 2) + 0.0 END AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE 'number' END AS value_kind FROM orders""")
+def src_csv_read(spark, sf_dir):
+    """Orders written as CSV, with blank cells and quoted text, and read under a declaration."""
+    path = shared_path(spark, "orders-csv")
+    cell = F.when(F.col("o_orderkey") % 5 != 0, F.format_string("%.2f", "o_totalprice")).otherwise("")
+    rows = views.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit('a "quoted", '), "o_orderpriority").alias("note"),
+        F.col("o_custkey").alias("customer"),
+        F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("placed"),
+        cell.alias("price"),
+    )
+    rows.write.options(header="true", escape='"').csv(path)
+    lag = tables.Availability.fixed_lag(timedelta(days=2), justification="orders are booked two days later")
+    declared = tables.DeclaredTable("customer", "placed", lag, "price", units="money", frequency="irregular")
+    found = tables.from_csv(spark, path, declared, checked=False)
+    return found.select("series_id", "observation_time", "available_time", F.round("value", 2).alias("value"), "value_kind")
+
+
+@query(f"""WITH {OBS}, {GRID}, asked AS (SELECT series_id, observation_time, available_time, value, decision_time,
+      row_number() OVER (PARTITION BY decision_time, series_id, observation_time ORDER BY available_time DESC) AS k FROM obs JOIN grid ON available_time <= decision_time)
+    SELECT decision_time, series_id, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM asked WHERE k = 1 GROUP BY ALL""")
+def pit_information_set_many(spark, sf_dir):
+    """What each decision may know, by the intervals in which vintages are valid."""
+    found = pit.information_set(views.obs(spark, sf_dir), views.grid(spark), few=False)
+    return found.groupBy("decision_time", "series_id").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("value"), 6) + 0.0).alias("total"))
+
+
 # Calendar.
 
 
@@ -122,20 +151,59 @@ def cal_quarter_end(spark, sf_dir):
     return orders.select("o_orderkey", cal.quarter_end(F.year("o_orderdate"), F.quarter("o_orderdate")).alias("quarter_end"))
 
 
-@query(
-    """SELECT CAST(i AS INTEGER) AS ord, TIMESTAMP '2020-02-01' + to_months(CAST(i AS INTEGER) + 1) - INTERVAL 1 MICROSECOND AS instant
-       FROM range(60) t(i)"""
-)
+def _grid_counts(grid, spark, sf_dir, months):
+    """The grid's instants with the orders placed in the period that ends there."""
+    orders = views.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("at"))
+    month = F.year("at") * 12 + F.month("at") - 1
+    # Periods are numbered as the grid is: by months since its first.
+    first = grid.where("ord = 0").select((F.year("instant") * 12 + F.month("instant") - 1).alias("_first"))
+    placed = orders.select(month.alias("_m")).join(F.broadcast(first), F.lit(True))
+    counted = placed.groupBy(F.ceil((F.col("_m") - F.col("_first")) / months).cast("int").alias("ord")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return grid.join(counted, "ord", "left").select("ord", "instant", F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
+
+
+def _first_order(spark, sf_dir):
+    """The first order's year and month, and how many months there are to the last's."""
+    at = views.table(spark, sf_dir, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b")).first()
+    return at.a.year, at.a.month, (at.b.year - at.a.year) * 12 + at.b.month - at.a.month + 1
+
+
+_FIRST_MONTH = "SELECT CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP) AS a, CAST(date_trunc('month', max(o_orderdate)) AS TIMESTAMP) AS b FROM orders"
+
+
+@query(f"""WITH span AS ({_FIRST_MONTH}), grid AS (SELECT CAST(i AS INTEGER) AS ord, a + to_months(CAST(i AS INTEGER)) AS start FROM span, unnest(range(0, date_diff('month', a, b) + 1)) u(i))
+    SELECT ord, start + INTERVAL 1 MONTH - INTERVAL 1 MICROSECOND AS instant, (SELECT count(*) FROM orders WHERE o_orderdate >= start AND o_orderdate < start + INTERVAL 1 MONTH) AS n_orders FROM grid""")
 def cal_monthly_grid(spark, sf_dir):
-    return cal.month_end_schedule(spark, 2020, 2, 60)
+    """Month ends from the first order's month to the last's, and the orders of each month."""
+    year, month, count = _first_order(spark, sf_dir)
+    return _grid_counts(cal.month_end_schedule(spark, year, month, count), spark, sf_dir, 1)
 
 
-@query(
-    """SELECT CAST(i AS INTEGER) AS ord, TIMESTAMP '2020-06-01' + to_months(CAST(3 * i AS INTEGER) + 1) - INTERVAL 1 MICROSECOND AS instant
-       FROM range(20) t(i)"""
-)
+@query(f"""WITH span AS (SELECT date_trunc('quarter', a) AS a, b FROM ({_FIRST_MONTH})),
+    grid AS (SELECT CAST(i AS INTEGER) AS ord, CAST(a AS TIMESTAMP) + to_months(CAST(3 * i AS INTEGER)) AS start FROM span, unnest(range(0, date_diff('quarter', a, b) + 1)) u(i))
+    SELECT ord, start + INTERVAL 3 MONTH - INTERVAL 1 MICROSECOND AS instant, (SELECT count(*) FROM orders WHERE o_orderdate >= start AND o_orderdate < start + INTERVAL 3 MONTH) AS n_orders FROM grid""")
 def cal_quarterly_grid(spark, sf_dir):
-    return cal.quarter_end_schedule(spark, 2020, 2, 20)
+    """Quarter ends from the first order's quarter to the last's, and the orders of each quarter."""
+    year, month, count = _first_order(spark, sf_dir)
+    first = (month - 1) // 3 + 1
+    months = count + (month - 1) % 3
+    return _grid_counts(cal.quarter_end_schedule(spark, year, first, -(-months // 3)), spark, sf_dir, 3)
+
+
+@query(f"""WITH span AS (SELECT CAST(min(o_orderdate) AS TIMESTAMP) AS first, CAST(max(o_orderdate) AS TIMESTAMP) AS last FROM orders),
+    grid AS (SELECT date_trunc('month', first) + to_months(CAST(5 * i + 1 AS INTEGER)) - INTERVAL 1 MICROSECOND AS cutoff, first, last FROM span, unnest(range(0, 100)) u(i))
+    SELECT CAST(cutoff AS TIMESTAMP) AS cutoff, 'evaluation' AS role, (SELECT count(*) FROM orders WHERE o_orderdate <= cutoff) AS n_known FROM grid WHERE cutoff BETWEEN first AND last""")
+def cal_refit_events(spark, sf_dir):
+    """Refits every five months within the span of the orders, and how many orders each may know."""
+    orders = views.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("at"))
+    span = orders.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    utc = lambda t: t.replace(tzinfo=timezone.utc)
+    refits = cal.month_end_refits(spark, utc(span.a), utc(span.b), 5, "evaluation")
+    # A running count over days and refits: no order is compared with each refit.
+    days = orders.groupBy("at").count().select("at", "count", F.lit(0).alias("asks"), F.lit(None).cast("string").alias("role"))
+    both = days.unionByName(refits.select(F.col("cutoff").alias("at"), F.lit(0).cast("long").alias("count"), F.lit(1).alias("asks"), "role"))
+    known = running(both, [], ["at", "asks"], {"n_known": ("sum", F.col("count"))})
+    return known.where("asks = 1").select(F.col("at").alias("cutoff"), "role", "n_known")
 
 
 @query("""SELECT o_orderkey, o_orderdate + to_months(CAST(o_orderkey % 25 AS INTEGER) - 12) AS moved FROM orders""")

@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintara.checks import require_none
 from vintara.errors import ResultStructureError
+from vintara.storage import saved
 
 VERDICTS = ("consistent", "sanctioned_deviation", "reject")
 
@@ -51,11 +54,88 @@ def freeze(value):
     raise ResultStructureError(f"not a setting: {value!r}")
 
 
-def ledger_digest(ledger: DataFrame, strategy_id: str) -> str:
-    """A digest of one strategy's path, over its rows in order (one row a period)."""
-    rows = ledger.where(F.col("strategy_id") == strategy_id).orderBy("period").collect()
-    as_json = [{k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in r.asDict().items()} for r in rows]
-    return hashlib.sha256(canonical_json(as_json).encode()).hexdigest()
+#: Periods of one bucket of a path's digest.
+DIGEST_PERIODS = 10_000
+
+
+def path_digests(ledger: DataFrame, by: str = "strategy_id") -> DataFrame:
+    """``by, n_periods, digest`` of each path, over its rows in order.
+
+    A row is canonical JSON of its columns; the rows of ``DIGEST_PERIODS`` periods are digested in their order,
+    and a path's digest is that of its buckets' numbers and digests in theirs. No path is held by one task.
+    """
+    columns = sorted(ledger.columns)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[pa.RecordBatch] = []
+        n, hashed = 0, hashlib.sha256()
+        for batch in batches:
+            names = names or [batch]
+            for row in batch.select(columns).to_pylist():
+                as_json = {k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in row.items()}
+                hashed.update(canonical_json(as_json).encode() + b"\n")
+            n += batch.num_rows
+        key = [names[0].column(c)[:1] for c in (by, "_bucket")]
+        yield pa.RecordBatch.from_arrays([*key, pa.array([n]), pa.array([hashed.hexdigest()])], names=[by, "_bucket", "n", "d"])
+
+    rows = ledger.withColumn("_bucket", F.floor(F.col("period") / DIGEST_PERIODS).cast("long"))
+    ordered = rows.repartition(by, "_bucket").sortWithinPartitions(by, "_bucket", "period")
+    buckets = ordered.groupBy(by, "_bucket").applyInArrow(digest, f"`{by}` {dict(ledger.dtypes)[by]}, _bucket long, n long, d string")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "n", "d"))), lambda x: F.concat_ws(":", x["_bucket"], x["n"], x["d"]))
+    return buckets.groupBy(by).agg(F.sum("n").alias("n_periods"), F.sha2(F.array_join(listed, ","), 256).alias("digest"))
+
+
+def ledger_digest(ledger: DataFrame, strategy_id: str) -> str | None:
+    """The digest of one strategy's path (:func:`path_digests`); none if it has no rows."""
+    found = path_digests(ledger.where(F.col("strategy_id") == strategy_id)).first()
+    return found and found["digest"]
+
+
+# Records as rows.
+
+
+def run_records(ledger: DataFrame, measured: DataFrame, manifest: RunManifest, conformance: DataFrame, declared: Mapping[str, object]) -> DataFrame:
+    """``strategy_id, record``: for each path of a run a record of all that is to be kept of it, as a VARIANT.
+
+    It holds the run's ``manifest``, the path's bounds and ``digest``, the ``metrics`` and the declaration that they hold
+    under, and the ``conformance`` of settings (:func:`verdicts`). A run with a rejected setting has no records.
+    """
+    require_none(conformance.where("verdict = 'reject'"), ResultStructureError, "a setting that nobody sanctioned")
+    settings = {r["field"]: {"declared": r["declared"], "effective": r["effective"], "verdict": r["verdict"]} for r in conformance.collect()}
+    fixed = {"manifest": asdict(manifest), "conformance": settings, "declared": freeze(dict(declared))}
+    names = [c for c in measured.columns if c not in ("strategy_id", "n_periods")]
+    path = F.struct("n_periods", *(F.col(c).cast("string").alias(c) for c in ("period_start", "period_end")), "wealth_open", "wealth_close", "digest")
+    rows = path_results(ledger).join(path_digests(ledger).drop("n_periods"), "strategy_id").join(measured.drop("n_periods"), "strategy_id")
+    parts = F.struct("strategy_id", path.alias("path"), F.struct(*names).alias("metrics"))
+    both = F.concat(F.lit(canonical_json(fixed)[:-1] + ","), F.substring(F.to_json(parts, {"ignoreNullFields": "false"}), 2, 2**31 - 1))
+    return rows.select("strategy_id", F.parse_json(both).alias("record"))
+
+
+def records_to_json(records: DataFrame) -> DataFrame:
+    """``strategy_id, text``: each record as canonical JSON, its keys in order."""
+    return records.select("strategy_id", F.to_json("record").alias("text"))
+
+
+#: What a record must have, and of which type.
+RECORD_FIELDS = {
+    "$.strategy_id": "string", "$.manifest.experiment_id": "string", "$.manifest.data_sha256": "string", "$.path.n_periods": "bigint",
+    "$.path.digest": "string", "$.path.wealth_close": "double", "$.metrics.metric_status": "string",
+}
+
+
+def records_from_json(texts: DataFrame) -> DataFrame:
+    """``strategy_id, record`` of ``strategy_id, text``; strict.
+
+    Text that isn't JSON or has a key twice, a missing field, one of another type, and another strategy than stated are
+    :class:`ResultStructureError`, for all rows at once.
+    """
+    parsed = saved(texts.select("strategy_id", "text", F.try_parse_json("text").alias("record")))
+    fields = [F.try_variant_get("record", path, kind).isNull() for path, kind in RECORD_FIELDS.items()]
+    wrong = F.col("record").isNull() | ~F.try_variant_get("record", "$.strategy_id", "string").eqNullSafe(F.col("strategy_id"))
+    for test in fields:
+        wrong = wrong | test
+    require_none(parsed.where(wrong).select("strategy_id", F.left("text", F.lit(100)).alias("text")), ResultStructureError, "not a record")
+    return parsed.select("strategy_id", "record")
 
 
 #: Leading hex digits of an identity's hash by which digests are taken, level by level.

@@ -169,6 +169,30 @@ def from_dataframe(df: DataFrame, declared: DeclaredTable, checked: bool = False
     return require_observations(out) if checked else out
 
 
+def from_pandas(spark: SparkSession, frame, declared: DeclaredTable, checked: bool = True) -> DataFrame:
+    """A pandas frame; its column names are the table's, its index plays no part.
+
+    Columns of mixed Python values must be made of one type before, as a table's column has one.
+    """
+    named = frame.reset_index(drop=True)
+    named.columns = [str(c) for c in named.columns]
+    return from_dataframe(spark.createDataFrame(named), declared, checked)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, sha256`` of each file of a source, read by the executors, as its provenance."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def source_digest(spark: SparkSession, path: str) -> str:
+    """One digest of a file's bytes, or of a folder's files in the order of their names."""
+    found = [(r["path"].rsplit("/", 1)[-1], r["sha256"]) for r in file_digests(spark, path).select("path", "sha256").collect()]
+    if len(found) == 1:
+        return found[0][1]
+    return hashlib.sha256("".join(f"{name}:{digest}\n" for name, digest in sorted(found)).encode()).hexdigest()
+
+
 def from_csv(spark: SparkSession, source: str, declared: DeclaredTable, checked: bool = True, multi_line: bool = False) -> DataFrame:
     """A CSV file or folder (or its text, if it has a line break) with a header; cells are decoded.
 
@@ -195,9 +219,11 @@ def from_records(spark: SparkSession, records: Iterable[Mapping], declared: Decl
     return from_dataframe(spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in records], schema), declared, checked)
 
 
-def provenance(df: DataFrame, declared: DeclaredTable, kind: str, data: bytes | None = None) -> Provenance:
-    """Row count, columns and, where there are bytes, their digest."""
+def provenance(df: DataFrame, declared: DeclaredTable, kind: str, data: bytes | None = None, path: str | None = None) -> Provenance:
+    """Row count, columns and, where there are bytes or a ``path`` that was read, their digest."""
     digest = hashlib.sha256(data).hexdigest() if data is not None else None
+    if digest is None and path is not None:
+        digest = source_digest(df.sparkSession, path)
     return Provenance(kind, tuple(df.columns), df.count(), declared.units, declared.frequency, digest)
 
 
