@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -188,3 +188,24 @@ def fit_input_violations(spark, sf_dir):
     late = F.col("available_time") <= F.col("cutoff") + F.expr("INTERVAL 20 DAYS")
     given = events.join(market.panel, late).where(~F.col("fit_id").isin("e18", "r21")).select("fit_id", "asset", "available_time")
     return fit.fit_input_violations(given, events)
+
+
+@query(f"""WITH {PANEL}, first AS (SELECT min(month) AS month FROM panel)
+    SELECT 'FRED/' || asset AS series_id, month_end AS observation_time, greatest(month_end + INTERVAL 45 DAY, TIMESTAMP '1998-06-30' + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND) AS available_time,
+    round(r, 9) + 0.0 AS value FROM panel WHERE NOT (asset = 'AF' AND month = (SELECT month FROM first))""")
+def src_answers(spark, sf_dir):
+    """The panel as answers of the series service, one JSON text a series, decoded in one plan."""
+    from vintara.sources import archives
+    from vintara.sources.tables import Availability
+
+    market = views.Market(spark, sf_dir)
+    first = market.panel.agg(F.min("month").alias("_first"))
+    cell = F.when((F.col("asset") == "AF") & (F.col("month") == F.col("_first")), ".").otherwise(F.col("r").cast("string"))
+    rows = market.panel.join(F.broadcast(first), F.lit(True)).select(
+        F.col("asset").alias("series_id"), F.struct(F.col("month").cast("date").cast("string").alias("date"), cell.alias("value")).alias("o")
+    )
+    # A series is one answer, as the service gives it.
+    answer = F.struct(F.lit("1998-06-30").alias("realtime_start"), F.lit("1998-06-30").alias("realtime_end"), F.array_sort(F.collect_list("o")).alias("observations"))
+    answers = rows.groupBy("series_id").agg(F.to_json(answer).alias("text")).withColumn("frequency", F.lit("Monthly"))
+    lag = Availability.fixed_lag(timedelta(days=45), justification="published 45 days after the month")
+    return _rounded(archives.decode_answers(answers, lag, "UTC"), "value", places=9)
