@@ -120,14 +120,20 @@ def dominating_set(have: _Lengths, largest: int, capacity: int) -> tuple[int, ..
 def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Pattern], dict[int, int]]:
     """The patterns that dominance fixes, and the counts that are left."""
     have, fixed = _Lengths(counts), []
-    while have.order:
-        chosen = dominating_set(have, have.order[-1], capacity)
-        if chosen is None:
-            break
-        # Taking pieces only narrows what else fits, so the set dominates each time anew.
-        times = have.times(chosen)
-        have.take(chosen, times)
-        fixed.append((chosen, times))
+    some = True
+    while some:
+        # Every length in falling order; what is fixed narrows what fits beside those passed over before.
+        some = False
+        for length in have.order[::-1]:
+            while have.count.get(length):
+                chosen = dominating_set(have, length, capacity)
+                if chosen is None:
+                    break
+                # Taking pieces only narrows what else fits, so the set dominates each time anew.
+                times = have.times(chosen)
+                have.take(chosen, times)
+                fixed.append((chosen, times))
+                some = True
     return fixed, have.count
 
 
