@@ -1,12 +1,14 @@
 """License, secret and personal-data scans against plain Python."""
 
 import hashlib
+import itertools
 import re
+import time
 
 import pytest
 
 from pyspark.sql import functions as F
-from vintara.llm import licenses, pii, queries, secrets
+from vintara.llm import common, licenses, pii, queries, secrets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 EXTRA = "doc_id long, text string, spans string, labels string, score double"
@@ -471,3 +473,39 @@ def test_overlapping_entities_become_one_label(spark):
 def test_pii_table(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert dict(pii_rows(queries.QUERIES["op7_personal_data"](spark, sf_dir))) == {i: base_pii(t) for i, t in docs.items()}
+
+
+def timed(frame):
+    began = time.time()
+    found = frame.collect()
+    return found, time.time() - began
+
+
+def test_time_grows_as_the_matches_of_a_text(spark):
+    """A hundred thousand matches in one text take no more than in proportion."""
+    mails = lambda n: " ".join(f"u{i}@x.de" for i in range(n))
+    licences = lambda n: "mit license and " * n
+    one = lambda text: spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for scan, text in ((lambda d: pii.personal_data_digest(pii.personal_data(d)), mails), (lambda d: licenses.license_digest(licenses.scan_licenses(d)), licences)):
+        timed(scan(one(text(100))))  # starts and compiles
+        _, few = timed(scan(one(text(10_000))))
+        (row,), many = timed(scan(one(text(100_000))))
+        assert (row.n_email if "n_email" in row else row.n_base) == 100_000
+        assert many < 10 * max(few, 2.0)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 127, 128, 129, 1000])
+def test_running_folds_of_arrays(spark, n):
+    values = [(i * 7919) % 23 - 11 for i in range(n)]
+    row = spark.createDataFrame([(values,)], "v array<int>").select(
+        common.running_fold(F.col("v"), F.lit(0), lambda a, b: a + b).alias("sums"), common.running_fold(F.col("v"), F.lit(0), F.greatest).alias("peaks")
+    ).first()
+    assert row.sums == list(itertools.accumulate(values)) and row.peaks == list(itertools.accumulate(values, max, initial=0))[1:]
+
+
+def test_cuts_of_long_texts(spark):
+    text = "".join(chr(97 + i % 26) if i % 5 else "é🙂"[i % 2] for i in range(20_000))
+    spans = [(0, 0), (0, 5), (4090, 4100), (4096, 4096), (8191, 8193), (0, 20_000), (19_999, 20_000), (12_288, 16_384)]
+    frame = spark.createDataFrame([(text, [list(s) for s in spans])], "t string, s array<array<int>>")
+    got = frame.select(common.slices_of(F.col("t"), lambda cut: F.transform("s", lambda s: cut(s[0], s[1]))).alias("c")).first().c
+    assert got == [text[a:b] for a, b in spans]

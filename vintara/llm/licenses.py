@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintara.llm.common import text_of
+from vintara.llm.common import bound, running_fold, text_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word of a text in lower case.
@@ -247,19 +247,14 @@ def _detections(text: Column, rules_: tuple[Rule, ...]) -> Column:
         between = F.split(text, rule["pattern"], -1)
         matches = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
         widths = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(_spaces(b).alias("b"), _spaces(m).alias("m")))
-        state = F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>").alias("found"),
-        )
-
-        def step(acc: Column, w: Column) -> Column:
-            start = acc["at"] + w["b"]
-            here = F.struct(
-                (start - 1).alias("start"), (start + w["m"]).alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label")
-            )
-            return F.struct((start + w["m"]).alias("at"), F.concat(acc["found"], F.array(here)).alias("found"))
+        def placed(some: Column) -> Column:
+            ends = running_fold(F.transform(some, lambda w: w["b"] + w["m"]), F.lit(0), lambda a, b: a + b)
+            return F.zip_with(
+                some, ends,
+                lambda w, end: F.struct((end - w["m"] - 1).alias("start"), end.alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label")),
+            )
 
-        return F.aggregate(widths, state, step, lambda acc: acc["found"])
+        return bound(widths, placed)
 
     some = F.filter(table, lambda k: F.contains(text, k["keyword"]))
     return F.flatten(F.transform(F.flatten(F.transform(some, lambda k: k["rules"])), places))
@@ -280,21 +275,33 @@ def _unsuppressed(found: Column) -> Column:
         )
     )
     levels = sorted(CONFIDENCE)
-    state = F.struct(
-        *(F.lit(0).alias(f"p{p}") for p in levels),
-        F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>").alias("kept"),
-    )
 
-    def step(acc: Column, d: Column) -> Column:
-        end, priority = -d["minus_end"], -d["minus_priority"]
-        held = reduce(lambda a, b: a | b, [(priority <= p) & (acc[f"p{p}"] >= end) for p in levels])
-        here = F.struct(d["start"].alias("start"), end.alias("end"), priority.alias("priority"), d["label"].alias("label"))
-        return F.struct(
-            *(F.when(priority == p, F.greatest(acc[f"p{p}"], end)).otherwise(acc[f"p{p}"]).alias(f"p{p}") for p in levels),
-            F.when(held, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(here))).alias("kept"),
+    def kept(some: Column) -> Column:
+        detections = F.transform(
+            some,
+            lambda d: F.struct(d["start"].alias("start"), (-d["minus_end"]).alias("end"), (-d["minus_priority"]).alias("priority"), d["label"].alias("label")),
         )
 
-    return F.aggregate(ordered, state, step, lambda acc: acc["kept"])
+        def chosen(all_of: Column) -> Column:
+            # The largest end so far of detections of a priority or a higher one.
+            def ends_of(p: int) -> Column:
+                return F.transform(all_of, lambda d: F.when(d["priority"] >= p, d["end"]).otherwise(F.lit(0)))
+
+            upto = F.array(*(running_fold(ends_of(p), F.lit(0), F.greatest) for p in levels))
+            places = {p: i for i, p in enumerate(levels)}
+
+            def apart(ends: Column) -> Column:
+                def free(d: Column, i: Column) -> Column:
+                    level = reduce(lambda a, p: F.when(d["priority"] == p, places[p]).otherwise(a), levels, F.lit(0))
+                    return (i == 0) | (F.get(F.get(ends, level), i - 1) < d["end"])
+
+                return F.filter(all_of, free)
+
+            return bound(upto, apart)
+
+        return bound(detections, chosen)
+
+    return bound(ordered, kept)
 
 
 def _base_places(words: Column) -> Column:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintara.llm.common import saved, text_of
+from vintara.llm.common import bound, running_fold, saved, slices_of, text_of
 
 #: Share of a kind's, and of a single entity's, information that a term may not reveal.
 DISCLOSURE = 0.9
@@ -101,7 +101,6 @@ GENERAL = {word: name for name, words in _GENERAL.items() for word in words.spli
 KIND_NAMES = (*(k.name for k in BASE_KINDS), TERM_KIND, *_GENERAL)
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
-_FOUND = "array<struct<start:int,end:int,match:string>>"
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
@@ -111,16 +110,11 @@ def matches(text: Column, pattern: str | Column) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.slice(F.split(text, F.lit(pattern), -1), 1, F.size(found))
-    pairs = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["skip"]
-        end = begin + F.length(x["match"])
-        here = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(here)).alias("found"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    sizes = F.zip_with(between, found, lambda b, m: F.length(b) + F.length(m))
+    ends = running_fold(sizes, F.lit(0), lambda a, b: a + b)
+    return F.zip_with(
+        found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"))
+    )
 
 
 def entity_spans(text: Column) -> Column:
@@ -141,14 +135,13 @@ def near_terms(text: Column, low: Column, spans: Column) -> Column:
     two entities is there for both; for each kind one of them is marked ``first``.
     """
 
-    def side(begin: Column, end: Column, s: Column, ragged_left: Column, ragged_right: Column) -> Column:
+    def side(begin: Column, end: Column, s: Column, window: Column, entity: Column, ragged_left: Column, ragged_right: Column) -> Column:
         # The text before this term in the window says where it stands; a run of letters
         # that the window's border may have cut is no term.
         found = F.filter(
-            matches(F.substring(low, begin + 1, end - begin), f"{_TERM}++"),
+            matches(window, f"{_TERM}++"),
             lambda m: ~(ragged_left & (m["start"] == 0)) & ~(ragged_right & (m["end"] == end - begin)),
         )
-        entity = F.xxhash64(F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
         return F.transform(
             found,
             lambda m: F.struct(
@@ -156,14 +149,21 @@ def near_terms(text: Column, low: Column, spans: Column) -> Column:
             ),
         )
 
-    def around(s: Column) -> Column:
-        left, right = F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["end"] + NEAR, F.length(low))
-        return F.concat(
-            side(left, s["start"], s, left > 0, F.lit(False)),
-            side(s["end"], right, s, F.lit(False), right < F.length(low)),
+    def around(s: Column, size: Column, of_text, of_low) -> Column:
+        left, right = F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["end"] + NEAR, size)
+        entity = F.xxhash64(F.lower(of_text(s["start"], s["end"])))
+        both = lambda e: F.concat(
+            side(left, s["start"], s, of_low(left, s["start"]), e, left > 0, F.lit(False)),
+            side(s["end"], right, s, of_low(s["end"], right), e, F.lit(False), right < size),
         )
+        return bound(entity, both)
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, around))))
+    def all_of(size: Column) -> Column:
+        return slices_of(text, lambda of_text: slices_of(low, lambda of_low: F.transform(spans, lambda s: around(s, size, of_text, of_low))))
+
+    found = F.array_sort(F.flatten(bound(F.length(low), all_of)))
+    # Equal ones follow each other.
+    return bound(found, lambda some: F.filter(some, lambda x, i: (i == 0) | (x != F.get(some, i - 1))))
 
 
 def _marked_first(near: Column) -> Column:
@@ -213,27 +213,39 @@ def disclosing_terms(
 def _apart(spans: Column) -> Column:
     """The spans in order, overlapping ones as one of the first's kind."""
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(F.size(acc) == 0, F.array(s)).when(
-            s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))
-        ).otherwise(F.concat(acc, F.array(s)))
+    def merged(some: Column) -> Column:
+        ends = running_fold(F.transform(some, lambda s: s["end"]), F.lit(0), F.greatest)
+
+        def groups(upto: Column) -> Column:
+            # A span that begins at or after all ends before it begins a group.
+            places = F.transform(some, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), i.alias("i")))
+            heads = F.filter(places, lambda s, i: (i == 0) | (s["start"] >= F.get(upto, i - 1)))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), merge)
+            def whole(some_heads: Column) -> Column:
+                last = lambda k: F.coalesce(F.get(some_heads, k + 1)["i"], F.size(upto)) - 1
+                return F.transform(
+                    some_heads, lambda h, k: F.struct(h["start"].alias("start"), h["kind"].alias("kind"), F.get(upto, last(k)).alias("end"))
+                )
+
+            return bound(heads, whole)
+
+        return bound(ends, groups)
+
+    return bound(F.array_sort(spans), merged)
 
 
 def _rewrite(text: Column, apart: Column, label) -> Column:
     """The text with what ``label`` says in place of each span."""
 
-    def piece(s: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(apart, F.greatest(i, F.lit(1)))["end"])
-        return F.concat(F.substring(text, before + 1, s["start"] - before), label(s))
+    def rewritten(cut) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(apart, F.greatest(i, F.lit(1)))["end"])
+            return F.concat(cut(before, s["start"]), label(s))
 
-    tail = F.element_at(apart, -1)["end"]
-    return F.when(F.size(apart) == 0, text).otherwise(
-        F.concat(F.array_join(F.transform(apart, piece), ""), F.substring(text, tail + 1, F.length(text) - tail))
-    )
+        tail = F.element_at(apart, -1)["end"]
+        return F.concat(F.array_join(F.transform(apart, piece), ""), F.substring(text, tail + 1, F.length(text) - tail))
+
+    return F.when(F.size(apart) == 0, text).otherwise(slices_of(text, rewritten))
 
 
 def _lowered(text: Column, apart: Column) -> Column:
