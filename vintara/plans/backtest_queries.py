@@ -558,7 +558,25 @@ def res_conformance_verdict(spark, sf_dir):
     return results.verdicts(spark, declared, have | {"rate": "0.002", "zone": "UTC"}, {"rate"})
 
 
-@query()
+def _levels(first):
+    """SQL of the digests of ``first`` (``decision_time, n, h, d``), level by level."""
+    from vintara.plans.results import MEMBER_LEVELS
+
+    parts, before = [], first
+    for k, digits in enumerate(MEMBER_LEVELS):
+        parts.append(f"""level{k} AS (SELECT decision_time, substr(h, 1, {digits}) AS h, sum(n) AS n, sha256(string_agg(d, ',' ORDER BY h, d)) AS d
+            FROM {before} GROUP BY decision_time, substr(h, 1, {digits}))""")
+        before = f"level{k}"
+    return ", ".join(parts) + f" SELECT decision_time, CAST(n AS BIGINT) AS n_members, d AS digest FROM {before}"
+
+
+_MEMBERS = f"""WITH {views.OBS}, {views.GRID}, ranked AS (SELECT decision_time, series_id, observation_time, available_time,
+      row_number() OVER (PARTITION BY decision_time, series_id, observation_time ORDER BY available_time DESC) AS k FROM obs JOIN grid ON available_time <= decision_time),
+    hashed AS (SELECT decision_time, sha256('["' || series_id || '","' || epoch_us(observation_time) || '","' || epoch_us(available_time) || '"]') AS d FROM ranked WHERE k = 1),
+    members AS (SELECT decision_time, 1 AS n, d AS h, d FROM hashed)"""
+
+
+@query(f"{_MEMBERS}, {_levels('members')}")
 def res_membership_digest(spark, sf_dir):
     from vintara.operators import pit
     from vintara.plans import results
