@@ -2,17 +2,15 @@
 
 Texts link if the Jaccard similarity of their sets of five-word shingles is ``SIMILARITY``
 (0.8) or more. At that similarity 64-bit fingerprints differ by about ten bits, so they
-are cut into eight segments, one of which most often differs by at most one bit. Each
+are cut into sixteen segments, most of which differ by at most one bit. Each
 segment is indexed once for each of its bits, with this bit left out, as in
 :mod:`vintara.llm.simhash`; but variants of so few bits would gather texts that have nothing
-in common, so each segment is joined with a minimum hash over the shingles, which equal
-texts share and texts of similarity ``s`` share with probability ``s``. An equality join on
-these keys gives candidates; whatever the number of texts, few are random.
-
-A link is missed only if all eight keys fail: at similarity 0.8 with a probability of about
-0.1 %, at 0.9 of less than 0.01 %, if bits differ as often as they should (0.5 % were missed
-of the links of a test table). Candidates that differ by more than
-``CANDIDATE_DISTANCE`` bits are passed over; all others are verified on their shingles
+in common, so each segment is joined with three minimum hashes over the shingles, all of which equal
+texts share and texts of similarity ``s`` share with probability ``s ** 3``; texts that share a passage, a third of
+both, agree in one key of some thousand. An equality join on these keys gives candidates; whatever the number of texts, few are random.
+
+A link is missed only if all sixteen keys fail: at similarity 0.8 with a probability of about
+0.02 %, if bits differ as often as they should. All candidates are verified on their shingles
 (as 32-bit hashes). In a key of many texts all are first compared with one of them, and
 only texts that this leaves in different components are compared after that.
 """
@@ -34,10 +32,11 @@ from vintara.llm.exact import drop_unkept
 WORDS = 5
 SIMILARITY = 0.8
 SEED = 42
-SEGMENTS = 8
-CANDIDATE_DISTANCE = 18
-#: Odd numbers that turn one hash into one for each segment.
-_TURNS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(SEGMENTS)], np.uint64)
+SEGMENTS = 16
+#: Minimum hashes that go with each segment.
+MINS = 3
+#: Odd numbers that turn one hash into one for each of them.
+_TURNS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(SEGMENTS * MINS)], np.uint64)
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -50,14 +49,18 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """The fingerprint, a minimum hash for each segment, and the set of shingles as 32-bit hashes."""
+    """The fingerprint, a hash of the minimum hashes of each segment, and the set of shingles as 32-bit hashes."""
     if not len(hashes):
         return 0, np.zeros(SEGMENTS, np.int32), np.empty(0, np.int32)
     # Each shingle once, as the similarity counts them.
     hashes = np.unique(hashes)
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
     over_half = np.add.reduce(bits, axis=0, dtype=np.int32) * 2 > len(hashes)
-    mins = np.array([(hashes * t).min() >> np.uint64(32) for t in _TURNS]).astype(np.uint32).view(np.int32)
+    mins = np.array([(hashes * t).min() for t in _TURNS]).reshape(SEGMENTS, MINS)
+    together = mins[:, 0]
+    for i in range(1, MINS):
+        together = (together ^ (together >> np.uint64(31))) * _TURNS[1] + mins[:, i]
+    mins = (together * _TURNS[2] >> np.uint64(32)).astype(np.uint32).view(np.int32)
     # Other bits than the fingerprint's upper ones decide nothing here; any 32 will do.
     return int(np.packbits(over_half).view(">i8")[0]), mins, np.unique((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
 
@@ -73,7 +76,7 @@ def _sketched(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _keys() -> Column:
-    """The keys of a text: each segment without each of its bits, with the segment's minimum hash."""
+    """The keys of a text: each segment without each of its bits, with the segment's minimum hashes."""
     width, found = 64 // SEGMENTS, []
     for s in range(SEGMENTS):
         segment = F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1))
@@ -83,10 +86,6 @@ def _keys() -> Column:
     return F.array(*found)
 
 
-def _far(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) > CANDIDATE_DISTANCE
-
-
 def _verified(pairs: DataFrame, sizes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` of nodes whose shingles are as similar as asked; texts without words equal each other.
 
@@ -126,17 +125,17 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     shingles = rows.select(F.col("row").alias("node"), "shingles")
 
     def keyed(some: DataFrame) -> DataFrame:
-        return some.withColumn("key", F.explode(_keys())).drop("mins")
+        return some.withColumn("key", F.explode(_keys())).drop("mins", "fp")
 
     # One member of each key is its hub; the order by which it is chosen is the same for
     # many keys, so a dense group has few hubs and few pairs to verify.
     whole_key = Window.partitionBy("key")
-    order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(SEGMENTS))).alias("hash"), F.col("node").alias("node"), F.col("fp").alias("fp"))
+    order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(SEGMENTS))).alias("hash"), F.col("node").alias("node"))
     first = (
         keyed(nodes.drop("n"))
         .withColumn("_hub", F.min(order).over(whole_key))
-        .select(F.col("node").alias("a"), F.col("_hub.node").alias("b"), "fp", F.col("_hub.fp").alias("fp2"))
-        .where((F.col("a") != F.col("b")) & ~_far("fp", "fp2"))
+        .select(F.col("node").alias("a"), F.col("_hub.node").alias("b"))
+        .where(F.col("a") != F.col("b"))
         .select("a", "b")
         .distinct()
     )
@@ -149,12 +148,12 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
         .withColumn("n", F.count(F.lit(1)).over(whole_key))
         .withColumn("mixed", F.min("label").over(whole_key) != F.max("label").over(whole_key))
         .where("n > 2 AND mixed")
-        .select("key", "node", "fp", "label")
+        .select("key", "node", "label")
     )
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("node", "fp", "label"))) for i in (1, 2))
+    x, y = (left.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("node", "label"))) for i in (1, 2))
     more = (
         x.join(y, "key")
-        .where((F.col("label1") < F.col("label2")) & ~_far("fp1", "fp2"))
+        .where(F.col("label1") < F.col("label2"))
         .select(F.col("node1").alias("a"), F.col("node2").alias("b"))
         .distinct()
     )
