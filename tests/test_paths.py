@@ -343,3 +343,27 @@ def test_decisions_are_no_key_of_a_sorted_join(spark, few_rows):
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_digests_of_members_that_come_and_go():
+    import hashlib
+
+    from vintara.plans import results
+
+    def joined(ds):
+        return hashlib.sha256(",".join(ds).encode()).hexdigest()
+
+    rng = np.random.default_rng(5)
+    members = []
+    for i in range(60):
+        first, end = sorted(rng.choice(12, 2, replace=False))
+        members.append((f"{i % 7:03x}" + hashlib.sha256(str(i).encode()).hexdigest()[3:], int(first), int(end)))
+    members.append((members[0][0][:-1] + "x", 14, 16))  # nobody is there at 12 and 13
+    expected = []
+    for place in range(16):
+        there = sorted(h for h, first, end in members if first <= place < end)
+        starts = sorted({h[:3] for h in there})
+        if there:
+            expected.append((place, len(there), joined(joined(h for h in there if h[:3] == s) for s in starts)))
+    assert list(results._digests_over_time(members, 3)) == expected
+    assert list(results._digests_over_time([], 3)) == []

@@ -581,4 +581,4 @@ def res_membership_digest(spark, sf_dir):
     from vintara.operators import pit
     from vintara.plans import results
 
-    return results.membership_digests(pit.information_set(views.obs(spark, sf_dir), views.grid(spark)))
+    return results.membership_digests(*pit.valid_vintages(views.obs(spark, sf_dir), views.grid(spark), ()))
