@@ -78,3 +78,25 @@ def test_similar_documents_of_table(spark, sf_dir):
     want = {r.doc_id: rows[c].doc_id for r, c in zip(rows, brute_similar([r.text for r in rows]))}
     got = {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()}
     assert sum(got[i] != c for i, c in want.items()) <= 0.01 * len(want)
+
+
+def test_rare_shingles_bring_together_all_similar_and_few_others(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    common = list(range(1000, 1060))  # a passage that all have, half of each
+    sets = [common + [int(x) for x in rng.integers(2000, 10**6, 60)] for _ in range(60)]
+    for k in range(12):  # and some that differ from another in a few places, up to and beyond the limit
+        sets.append(sets[k][: 120 - 2 * k] + [10**7 + 100 * k + j for j in range(2 * k)])
+    sets = [sorted(set(s)) for s in sets]
+    nodes = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "node long, label long, shingles array<int>")
+    found = {(r.a, r.b) for r in similar._sharing_rare(nodes, 0.8).collect()}
+
+    def alike(a, b):
+        shared = len(set(sets[a]) & set(sets[b]))
+        return shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared)
+
+    linked = {(a, b) for b in range(len(sets)) for a in range(b) if alike(a, b)}
+    assert linked and linked <= found and len(found) <= 12
+    one = nodes.withColumn("label", nodes.label * 0)
+    assert similar._sharing_rare(one, 0.8).isEmpty() and similar._sharing_rare(nodes.limit(0), 0.8).isEmpty()

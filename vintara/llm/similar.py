@@ -11,8 +11,9 @@ both, agree in one key of some thousand. An equality join on these keys gives ca
 
 A link is missed only if all sixteen keys fail: at similarity 0.8 with a probability of about
 0.02 %, if bits differ as often as they should. All candidates are verified on their shingles
-(as 32-bit hashes). In a key of many texts all are first compared with one of them, and
-only texts that this leaves in different components are compared after that.
+(as 32-bit hashes). In a key of many texts all are first compared with one of them. Texts of keys
+that this leaves in different components are then compared where their rarest shingles, an exact
+filter, share one: not with all others of a key, whose number is the square of its size.
 """
 
 from __future__ import annotations
@@ -106,6 +107,28 @@ def _verified(pairs: DataFrame, sizes: DataFrame, shingles: DataFrame, similarit
     return both.where((shared >= similarity * every) | (every == 0)).select("a", "b")
 
 
+def _sharing_rare(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of different labels that may be as similar as asked; none that is is missed.
+
+    Of two sets so similar, the rarest shingles of each (a fifth and one, at 0.8) share one, in any order that all sets keep. So
+    what many texts have in common brings together only those that have little else. The first shared shingle's places and the sizes bound
+    how many more can be shared. ``nodes`` has ``node, label, shingles``.
+    """
+    each = saved(nodes.select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("_often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("_often", "s"))
+    # A little less than the product, which may be rounded up.
+    least = F.ceil(F.col("n") * similarity - 1e-6)
+    rare = saved(each.join(often, "s").withColumn("i", place).where(F.col("i") <= F.col("n") - least + 1).select("s", "node", "label", "n", "i"))
+    x, y = (rare.select("s", *(F.col(c).alias(f"{c}{k}") for c in ("node", "label", "n", "i"))) for k in (1, 2))
+    most = 1 + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
+    enough = most >= (F.col("n1") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-6
+    # A shingle of one component only brings nothing together.
+    mixed = rare.groupBy("s").agg((F.min("label") != F.max("label")).alias("_mixed")).where("_mixed").select("s")
+    pairs = x.join(mixed, "s", "left_semi").join(y, (x["s"] == y["s"]) & (F.col("label1") < F.col("label2")) & enough)
+    return pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, digest, component_id, kept`` for each row.
 
@@ -142,21 +165,16 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     first = saved(first)
     roots = saved(connected_components(_verified(first, sizes, shingles, similarity)))
     labelled = nodes.join(roots, "node", "left").select("node", "fp", "mins", F.coalesce("root", "node").alias("label"))
-    # What is left: keys of three or more texts that are still in different components.
+    # What is left: texts of keys of three or more that are still in different components.
     left = saved(
         keyed(labelled)
         .withColumn("n", F.count(F.lit(1)).over(whole_key))
         .withColumn("mixed", F.min("label").over(whole_key) != F.max("label").over(whole_key))
         .where("n > 2 AND mixed")
-        .select("key", "node", "label")
-    )
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("node", "label"))) for i in (1, 2))
-    more = (
-        x.join(y, "key")
-        .where(F.col("label1") < F.col("label2"))
-        .select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+        .select("node", "label")
         .distinct()
     )
+    more = _sharing_rare(left.join(shingles, "node"), similarity)
     more = saved(more.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
     across = _verified(more, sizes, shingles, similarity)
     of = labelled.select("node", "label")
