@@ -100,3 +100,25 @@ def test_rare_shingles_bring_together_all_similar_and_few_others(spark):
     assert linked and linked <= found and len(found) <= 12
     one = nodes.withColumn("label", nodes.label * 0)
     assert similar._sharing_rare(one, 0.8).isEmpty() and similar._sharing_rare(nodes.limit(0), 0.8).isEmpty()
+
+
+def test_candidates_of_a_dense_group_are_few_for_each_text(spark, monkeypatch):
+    rng, texts = random.Random(1), []
+    base = [f"b{i}" for i in range(150)]
+    for _ in range(500):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            place = rng.randrange(len(words))
+            words[place : place + rng.randrange(2)] = [f"x{rng.randrange(10**6)}"] * rng.randrange(2)
+        texts.append(" ".join(words))
+    candidates, verified = [], similar._verified
+
+    def counted(pairs, *args):
+        candidates.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] != c for i, c in enumerate(brute_similar(texts))) <= 0.01 * len(texts)
+    # Those with hubs, and those that hubs leave apart.
+    assert candidates[0] <= 16 * len(texts) and candidates[1] <= len(texts)

@@ -11,8 +11,8 @@ both, agree in one key of some thousand. An equality join on these keys gives ca
 
 A link is missed only if all sixteen keys fail: at similarity 0.8 with a probability of about
 0.02 %, if bits differ as often as they should. All candidates are verified on their shingles
-(as 32-bit hashes). In a key of many texts all are first compared with one of them. Texts of keys
-that this leaves in different components are then compared where their rarest shingles, an exact
+(as 32-bit hashes). In a key of many texts all are first compared with the one that lies between them: at most one candidate
+for each key of a text. Texts of keys that this leaves in different components are then compared where their rarest shingles, an exact
 filter, share one: not with all others of a key, whose number is the square of its size.
 """
 
@@ -147,30 +147,29 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     sizes = nodes.select("node", "n")
     shingles = rows.select(F.col("row").alias("node"), "shingles")
 
-    def keyed(some: DataFrame) -> DataFrame:
-        return some.withColumn("key", F.explode(_keys())).drop("mins", "fp")
-
-    # One member of each key is its hub; the order by which it is chosen is the same for
-    # many keys, so a dense group has few hubs and few pairs to verify.
+    # Only keys of two texts or more matter from here on.
     whole_key = Window.partitionBy("key")
-    order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(SEGMENTS))).alias("hash"), F.col("node").alias("node"))
+    shared = saved(nodes.select("node", F.explode(_keys()).alias("key")).withColumn("n", F.count(F.lit(1)).over(whole_key)).where("n > 1"))
+    # One member of each key is its hub: the one whose own keys hold the most texts. Of a dense group it lies
+    # amid the others and is the same in most keys, so there are few pairs to verify, and few texts are left apart.
+    middle = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    order = F.struct((-F.col("weight")).alias("weight"), F.col("node").alias("node"))
     first = (
-        keyed(nodes.drop("n"))
+        shared.join(middle, "node")
         .withColumn("_hub", F.min(order).over(whole_key))
         .select(F.col("node").alias("a"), F.col("_hub.node").alias("b"))
         .where(F.col("a") != F.col("b"))
-        .select("a", "b")
         .distinct()
     )
     first = saved(first)
     roots = saved(connected_components(_verified(first, sizes, shingles, similarity)))
-    labelled = nodes.join(roots, "node", "left").select("node", "fp", "mins", F.coalesce("root", "node").alias("label"))
+    labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
     # What is left: texts of keys of three or more that are still in different components.
     left = saved(
-        keyed(labelled)
-        .withColumn("n", F.count(F.lit(1)).over(whole_key))
+        shared.where("n > 2")
+        .join(labelled, "node")
         .withColumn("mixed", F.min("label").over(whole_key) != F.max("label").over(whole_key))
-        .where("n > 2 AND mixed")
+        .where("mixed")
         .select("node", "label")
         .distinct()
     )
