@@ -98,7 +98,8 @@ def _verified(pairs: DataFrame, sizes: DataFrame, shingles: DataFrame, similarit
     near = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
     pairs = saved(sized.where(near).select("a", "b"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = shingles.join(nodes, "node", "left_semi")
+    # Written, as only joins of what is plainly shuffled are dealt anew where a hub has many pairs.
+    held = saved(shingles.join(nodes, "node", "left_semi"))
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
@@ -183,8 +184,10 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
         "node", F.coalesce("top", "label").alias("component")
     )
     named = saved(rows.select("doc_id", "digest", "row").join(names.join(component, "node").select("digest", "component"), "digest"))
-    best = named.groupBy("component").agg(
-        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "digest", "row")).alias("_best")
+    best = saved(
+        named.groupBy("component").agg(
+            F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "digest", "row")).alias("_best")
+        )
     )
     return named.join(best, "component").select(
         "doc_id", "digest", "component_id", (F.col("row") == F.col("_best.row")).alias("kept")
